@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import licenses, mixing, simhash, substrings
 
 QUERIES = {
+    "op6_substrings": substrings.op6_substrings,
+    "op7_licenses": licenses.op7_licenses,
     "op8_mixing": mixing.op8_mixing,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLE_SQL = {
+    "op6_substrings": substrings.ORACLE_SQL,
     "op8_mixing": mixing.ORACLE_SQL,
 }
