@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, simhash, substrings, tokens
+from . import decontaminate, licenses, mixing, simhash, substrings, tokens
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_tokens": tokens.op3_tokens,
     "op6_substrings": substrings.op6_substrings,
     "op7_licenses": licenses.op7_licenses,
