@@ -20,7 +20,7 @@ from .common import groups, table
 #: Words in a window, and in the pieces of which a window's smallest hash is its minimiser.
 WINDOW, PIECE = 35, 5
 #: Windows in one packed string at most, text bytes that are worked on at once, and buckets for each shuffle partition.
-RUN, CHUNK, BUCKETS = 256, 4 << 20, 4
+RUN, CHUNK, BUCKETS = 256, 4 << 20, 12
 
 ORACLE_SQL = r"""
 WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
