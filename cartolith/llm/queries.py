@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, mixing, simhash, substrings, tokens, toxicity
+from . import brown, decontaminate, licenses, mixing, simhash, substrings, tokens, toxicity
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_tokens": tokens.op3_tokens,
+    "op4_brown": brown.op4_brown,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_substrings": substrings.op6_substrings,
     "op7_licenses": licenses.op7_licenses,
