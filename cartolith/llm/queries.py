@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import brown, decontaminate, licenses, mixing, simhash, substrings, tokens, toxicity
+from . import brown, decontaminate, licenses, mixing, neardup_vectors, simhash, substrings, tokens, toxicity
 
 QUERIES = {
+    "op1_near_vectors": neardup_vectors.op1_near_vectors,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_tokens": tokens.op3_tokens,
     "op4_brown": brown.op4_brown,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLE_SQL = {
+    "op1_near_vectors": neardup_vectors.ORACLE_SQL,
     "op6_substrings": substrings.ORACLE_SQL,
     "op8_mixing": mixing.ORACLE_SQL,
 }

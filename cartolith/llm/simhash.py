@@ -173,5 +173,20 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
 
 
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` less their near-duplicates, with their columns: of each component the one with the smallest id.
+
+    Rows with a null id stand in no component and stay; of rows with one id, which are one document, one stays.
+    """
+    found = near_duplicates(docs)
+    ids = cut(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows")))
+    kept = ids.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("__kept"), F.col("rows").alias("__rows"))
+    once = docs.join(kept, docs.doc_id.cast("long").eqNullSafe(kept["__kept"]))
+    alone = once.where("__rows = 1 or doc_id is null").select(*docs.columns)
+    if ids.where("doc_id is not null and rows > 1").isEmpty():
+        return alone
+    return alone.unionByName(once.where("__rows > 1 and doc_id is not null").dropDuplicates(["doc_id"]).select(*docs.columns))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

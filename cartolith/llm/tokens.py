@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import sys
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +30,63 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte-level tokenizers write a byte as a printable letter: itself where it is one, else those from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: 256 + k for k, b in enumerate(other)}
+
+
+class Pieces(dict):
+    """Serialized ids of what follows a blank (or, without ``lead``, a line's end), remembered up to a bound.
+
+    Letters alone are one word of the tokenizer's pattern and go to its model; closing marks after them, and a line's end
+    between others than white space, are words of their own; anything else goes through the whole tokenizer.
+    """
+
+    letters, marks = _byte_letters(), ".,;:!?"
+
+    def __init__(self, tokenizer, kind: str, lead: str = " ") -> None:
+        self.tokenizer, self.tokenize, self.kind, self.lead, self.closing = tokenizer, tokenizer.model.tokenize, kind, lead, {"": b""}
+        self.code, self.ascii_lead = {"<u2": "H", "<u4": "I"}[kind], lead.encode().decode("latin-1").translate(self.letters)
+        self.unled = Pieces(tokenizer, kind, "") if lead else self
+
+    def packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.kind).tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def __missing__(self, piece: str) -> bytes:
+        word = piece.rstrip(self.marks)
+        if not word.isalpha():
+            left, line, right = piece.partition("\n")
+            if line and left and right and not left[-1].isspace() and not right[0].isspace():
+                found = self[left] + self.mark("\n") + self.unled[right]
+            else:
+                found = self.whole(self.lead + piece)
+        elif word != piece:
+            found = self[word] + self.mark(piece[len(word) :])
+        else:
+            letters = self.ascii_lead + word if word.isascii() else (self.lead + word).encode().decode("latin-1").translate(self.letters)
+            found = self.packed([t.id for t in self.tokenize(letters)])
+        if len(self) < MEMORY:
+            self[piece] = found
+        return found
+
+    def mark(self, text: str) -> bytes:
+        if text not in self.closing:
+            self.closing[text] = self.whole(text)
+        return self.closing[text]
+
+
 class Encoder:
     """Whole-text encoding that remembers the ids of pieces between blanks.
 
     A byte-level tokenizer with the usual word pattern never joins characters across a single blank that stands between
     others than blanks, the blank opening the next piece. So a text without double blanks is the sequence of its
-    blank-led pieces, and each distinct piece goes through the tokenizer once. Other texts, and those that may hold a
-    special token, go through it whole.
+    blank-led pieces, and those of few distinct forms are worked out once. Other texts, and those that may hold a
+    special token, go through the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -42,25 +94,20 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.kind = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ids: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers, in one byte string."""
-        whole = [not t or "  " in t or any(s in t for s in self.special) for t in texts]
-        pieces = [[] if w else t.split(" ") for w, t in zip(whole, texts)]
-        ids = self.ids
-        if len(ids) > MEMORY:
-            ids.clear()
-        new = {p for own in pieces for p in own[1:] if p not in ids}
-        fresh = list(new)
-        ids.update(zip(fresh, self._encode([" " + p for p in fresh])))
-        firsts = iter(self._encode([own[0] for own in pieces if own]))
-        direct = iter(self._encode([t for w, t in zip(whole, texts) if w]))
-        return [next(direct) if w else next(firsts) + b"".join([ids[p] for p in own[1:]]) for w, own in zip(whole, pieces)]
+        self.pieces = Pieces(self.tokenizer, self.kind)
+        parts = str(self.tokenizer.pre_tokenizer)
+        self.split = self.tokenizer.normalizer is None and parts == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text, as the file holds them before compression."""
+        if not self.split or not text or "  " in text or any(s in text for s in self.special):
+            return self.pieces.whole(text)
+        first, _, rest = text.partition(" ")
+        if not rest and len(first) == len(text):
+            return self.pieces.whole(text)
+        return self.pieces.whole(first) + b"".join(map(self.pieces.__getitem__, rest.split(" ")))
 
 
 @functools.cache
@@ -71,20 +118,18 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _kind(vocabulary: int) -> str:
-    return "<u2" if vocabulary <= 1 << 16 else "<u4"
-
-
-def _serialized(ids: bytes, kind: str) -> bytes:
-    """A document's ids with the end id, as the file holds them before compression."""
-    return np.append(np.frombuffer(ids, "<u4"), np.uint32(END_ID)).astype(kind).tobytes()
+def _serialized(text: str, own: Encoder) -> bytes:
+    """A document's ids with the end id."""
+    return own.encode(text) + np.array([END_ID], own.kind).tobytes()
 
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """A dictionary from the documents with the smallest hashes of their texts, within SAMPLE_DOCS and SAMPLE_BYTES."""
-    rows = docs.where(F.octet_length("text").between(1, SAMPLE_BYTES)).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(SAMPLE_DOCS).collect()
+    hashed = docs.where(F.octet_length("text").between(1, SAMPLE_BYTES)).withColumn("h", F.xxhash64("text"))
+    chosen = hashed.select("h").orderBy("h").limit(SAMPLE_DOCS).distinct().collect()
+    rows = hashed.where(F.col("h").isin([r.h for r in chosen])).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect() if chosen else []
     own = encoder(path)
-    samples = [_serialized(x, _kind(own.vocabulary)) for x in own.encode([r.text for r in rows])]
+    samples = [_serialized(r.text, own) for r in rows]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples: a raw prefix serves
@@ -105,12 +150,12 @@ def _texts(batches):
 def _compressor(path: str, raw, bounds: list[int]):
     def compress(batches):
         own = encoder(path)
-        kind, press = _kind(own.vocabulary), zstandard.ZstdCompressor(level=3, dict_data=_dictionary(raw.value) if raw.value else None, write_content_size=True)
+        press = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(raw.value) if raw.value else None, write_content_size=True)
         for ids, texts in _texts(batches):
-            done = [_serialized(x, kind) for x in own.encode(texts)]
+            done = [_serialized(x, own) for x in texts]
             shard = np.searchsorted(bounds, [-(1 << 63) if i is None else i for i in ids], side="left").astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard), pa.array(ids, pa.int64()), pa.array([len(x) // np.dtype(kind).itemsize for x in done], pa.int64()), pa.array([press.compress(x) for x in done], pa.binary())], ["shard", "doc_id", "n_tokens", "payload"]
+                [pa.array(shard), pa.array(ids, pa.int64()), pa.array([len(x) // np.dtype(own.kind).itemsize for x in done], pa.int64()), pa.array([press.compress(x) for x in done], pa.binary())], ["shard", "doc_id", "n_tokens", "payload"]
             )
 
     return compress
@@ -164,7 +209,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = docs.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)] or [1.0], 10_000).alias("b")).first().b or []
     raw = train_dictionary(docs, tokenizer)
-    name, kind = hashlib.sha256(raw).hexdigest(), _kind(encoder(tokenizer).vocabulary)
+    name, kind = hashlib.sha256(raw).hexdigest(), encoder(tokenizer).kind
     frames = docs.mapInArrow(_compressor(tokenizer, spark.sparkContext.broadcast(raw), sorted(set(bounds))), "shard int, doc_id long, n_tokens long, payload binary")
     blocks = frames.repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "payload").mapInArrow(_packer(name, kind), _BLOCK_DDL)
     blocks.write.parquet(f"{path}/blocks")
