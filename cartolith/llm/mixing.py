@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, table
 
 #: Weights by a source's place in code point order, null last, repeating; a source repeats at most so many epochs.
 WEIGHTS, EPOCHS = (1, 2, 3), 3
@@ -88,7 +88,7 @@ def mix(docs: DataFrame) -> DataFrame:
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"))
-    sized = cut(sized.withColumn("range", F.substring("key", 1, RANGE_DIGITS)))
+    sized = sized.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
     sums = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("range_size").alias("source_size")))
     ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
