@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import struct
 
 from .wkb import Geometry, bad, is_empty
 
@@ -59,9 +60,22 @@ def parse(value: dict | None) -> Geometry | None:
 
 
 def _no_twins(pairs):
-    if len({k for k, _ in pairs}) < len(pairs):
+    out = dict(pairs)
+    if len(out) < len(pairs):
         raise bad("a key stands twice")
-    return dict(pairs)
+    return out
+
+
+_POINT = struct.Struct("<BIdd")
+
+
+def plain_point(value) -> bytes | None:
+    """The cell of a point of two finite numbers, by a shorter way; None for all else."""
+    if type(value) is dict and value.get("type") == "Point":
+        c = value.get("coordinates")
+        if type(c) is list and len(c) == 2 and type(c[0]) in (int, float) and type(c[1]) in (int, float) and c[0] - c[0] == 0 == c[1] - c[1]:
+            return _POINT.pack(1, 1, *c)
+    return None
 
 
 def loads(text: str):

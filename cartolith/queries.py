@@ -43,10 +43,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def geometry_contract(crs=EPSG) -> GeometryContract:
+    return GeometryContract("geometry", crs, dimensions="xy", types=("point",), declaration="exact")
+
+
 def points(df: DataFrame, x: str, y: str, crs=EPSG) -> DataFrame:
     """``df`` with a first column of points."""
     own = df.select(wkb_point(F.col(x).cast("double"), F.col(y).cast("double")).alias("geometry"), "*")
-    return with_geometry(own, GeometryContract("geometry", crs, dimensions="xy", types=("point",), declaration="exact"))
+    return with_geometry(own, geometry_contract(crs))
 
 
 def squares(df: DataFrame, crs=EPSG) -> DataFrame:

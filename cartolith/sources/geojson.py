@@ -85,7 +85,12 @@ def describe(spark: SparkSession, path: str, options: dict) -> list[Layer]:
     for feature in features(path):
         for key, v in _properties(feature).items():
             seen.setdefault(key, set()).add(value_class(v))
-        shape = geojson.parse(feature.get("geometry"))
+        found = feature.get("geometry")
+        if geojson.plain_point(found):
+            types.add("point")
+            dims.add("xy")
+            continue
+        shape = geojson.parse(found)
         if shape is not None:
             types.add(shape.kind)
             dims.add(shape.dims)
@@ -103,9 +108,12 @@ def rows(path: str, plan: dict, extra: dict, piece):
     kinds, wanted = extra["kinds"], set(plan["wanted"])
     name, keys = plan["names"][0], [k for k in plan["names"][1:-1]]
     for n, feature in enumerate(features(path)):
-        shape, own = geojson.parse(feature.get("geometry")), _properties(feature)
+        found, own = feature.get("geometry"), _properties(feature)
+        cell = geojson.plain_point(found)
+        if cell is None and (shape := geojson.parse(found)) is not None:
+            cell = wkb.encode(shape)
         values = [value_as(own.get(k), kinds[k], lambda v: json.dumps(v, ensure_ascii=False, separators=(",", ":"))) if k in wanted else None for k in keys]
-        yield (wkb.encode(shape) if shape is not None and name in wanted else None, *values, n)
+        yield (cell if name in wanted else None, *values, n)
 
 
 def read(spark: SparkSession, path: str, layer: Layer, options: dict, columns: list[str] | None = None, index: bool = False) -> DataFrame:
