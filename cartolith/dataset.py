@@ -8,12 +8,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from .contract import Layer
-from .errors import EdgeError
+from .errors import EdgeError, guarded
 from .limits import BATCH_BYTES, BATCH_ROWS, Limits, initial_batch_rows
 from .operators import prune
-from .operators.validate import Diagnostics, diagnose
+from .operators.validate import EXAMPLES, Diagnostics, diagnose
 from .plans.catalog import Descriptor, driver, format_of
-from .plans.loss import fidelity, LossReport
+from .plans.loss import LossReport, fidelity
 from .plans.publish import preflight
 
 
@@ -109,11 +109,11 @@ class Dataset:
         size = initial_batch_rows(self.layer(request.layer).schema, request.batch_bytes, request.batch_rows)
         return prune.read_summary(self.read(request), size, request.limit)
 
-    def diagnose(self, key: int | str = 0) -> Diagnostics | None:
-        """What rows violate the layer's contract, from a scan of all."""
+    def diagnose(self, key: int | str = 0, examples: int = EXAMPLES, key_field: str | None = None, key_policy: str | None = None) -> Diagnostics | None:
+        """What rows violate the layer's contract, from a scan of all; examples may name rows by a field's value."""
         layer = self.layer(key)
         df = self.read(ReadRequest(layer.id, source_index=True))
-        return diagnose(df, layer.schema, "_source_row" if "_source_row" in df.columns else None)
+        return diagnose(df, layer.schema, "_source_row" if "_source_row" in df.columns else None, examples=examples, key_field=key_field, key_policy=key_policy)
 
     def losses(self) -> LossReport:
         module, report = driver(self.descriptor), LossReport()
@@ -137,7 +137,7 @@ def open_dataset(spark: SparkSession, path: str, limits: Limits = Limits(), **op
     descriptor = format_of(path)
     module = driver(descriptor)
     preflight(path, limits.max_input_bytes if not options.pop("unlimited", False) else None)
-    layers = module.describe(spark, path, options)
+    layers = guarded("open", module.describe, spark, path, options)
     if any(len(x.schema.fields) > limits.max_columns for x in layers):
         raise EdgeError("LIMIT", "too many columns", category="resource", phase="open")
     return Dataset(spark, path, descriptor, layers, options, limits)

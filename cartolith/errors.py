@@ -40,11 +40,22 @@ def fingerprint(error: BaseException) -> str:
     return hashlib.sha256(str(error).encode()).hexdigest()[:16]
 
 
+def guarded_rows(phase: str, rows):
+    """The items of ``rows``; what a third-party decoder raises on the way becomes a typed error with a fingerprint."""
+    rows = iter(rows)
+    while True:
+        try:
+            row = guarded(phase, next, rows)
+        except StopIteration:
+            return
+        yield row
+
+
 def guarded(phase: str, f, *args):
     """Run code of a third-party decoder; anything it raises becomes a typed error with a fingerprint."""
     try:
         return f(*args)
-    except EdgeError:
+    except (EdgeError, StopIteration):
         raise
     except Exception as error:  # noqa: BLE001
         raise EdgeError("FORMAT", f"decoder failed ({type(error).__name__}, {fingerprint(error)})", phase=phase) from None

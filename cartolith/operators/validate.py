@@ -78,15 +78,28 @@ def violations(df: DataFrame, schema: StructType | None = None, index: str | Non
     return df.select(row.alias("row"), cause.alias("cause")).where("cause is not null")
 
 
-def diagnose(df: DataFrame, schema: StructType | None = None, index: str | None = None, direction: str = "read") -> Diagnostics | None:
-    """Diagnostics of a whole scan, or None if all rows pass. Counts meet as partial sums; examples are a top-k."""
-    found = violations(df, schema, index)
+def diagnose(
+    df: DataFrame, schema: StructType | None = None, index: str | None = None, direction: str = "read", examples: int = EXAMPLES, key_field: str | None = None, key_policy: str | None = None
+) -> Diagnostics | None:
+    """Diagnostics of a whole scan, or None if all rows pass. Counts meet as partial sums; examples are a top-k.
+
+    examples: how many, 1 to EXAMPLES. key_field names a column whose value tells a row to its owner, and key_policy
+    whether examples show it (emit) or only that it is there (redact); one without the other is an error.
+    """
+    if not 1 <= examples <= EXAMPLES or (key_field is None) != (key_policy is None) or key_policy not in (None, "emit", "redact"):
+        raise EdgeError("USAGE", "examples are 1 to 64, and key_field and key_policy go together", category="usage")
+    if key_field is not None and key_field not in df.columns:
+        raise EdgeError("CONTRACT", "there is no such field", category="contract")
+    key = F.lit(None).cast("string") if key_field is None else F.col(f"`{key_field}`").cast("string")
+    cause, row = violation(schema or df.schema), F.col(index).cast("long") if index else F.lit(None).cast("long")
+    found = df.select(row.alias("row"), cause.alias("cause"), key.alias("key")).where("cause is not null")
     counts = {r.cause: r.n for r in found.groupBy("cause").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
-    examples = [{"row": r.row, "cause": r.cause} for r in found.orderBy("row", "cause").limit(EXAMPLES).collect()] if index else []
+    shown = lambda r: {"row": r.row, "cause": r.cause} | ({} if key_field is None else {"key": r.key if key_policy == "emit" else "redacted"})
+    listed = [shown(r) for r in found.orderBy("row", "cause").limit(examples).collect()] if index else []
     scan = "partial" if direction == "write" else "complete" if index else "unknown"
-    return Diagnostics(direction, scan, sum(counts.values()), dict(sorted(counts.items())), examples).validate()
+    return Diagnostics(direction, scan, sum(counts.values()), dict(sorted(counts.items())), listed).validate()
 
 
 def first_examples(found: DataFrame, n: int = EXAMPLES) -> DataFrame:

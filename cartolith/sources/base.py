@@ -10,7 +10,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..contract import Layer, with_geometry
-from ..errors import EdgeError, guarded
+from ..errors import EdgeError, guarded_rows
 from ..limits import BATCH_BYTES, Limits, initial_batch_rows, next_batch_rows
 
 INDEX = "_source_row"
@@ -47,7 +47,7 @@ class EdgeReader(DataSourceReader):
         return [Piece(p) for p in self._module().pieces(self.options["path"], json.loads(self.options["plan"]), json.loads(self.options["extra"]))]
 
     def read(self, partition: Piece):
-        yield from guarded("read", lambda: self._batches(partition.value))
+        yield from guarded_rows("read", self._batches(partition.value))
 
     def _batches(self, piece):
         """Batches sized by bytes: the first by estimate, the next by what the one before took."""

@@ -135,6 +135,14 @@ def test_geoparquet_prunes_and_never_under_returns(spark, tmp_path):
     assert data.read(ReadRequest(source_index=True)).where("_source_row = 7").first().id == 7
 
 
+def test_foreign_errors_are_typed(spark, tmp_path):
+    for name in ("a.arrow", "b.xlsx", "c.gpkg", "d.parquet", "e.shp"):
+        (tmp_path / name).write_bytes(b"junk" * 50)
+        with pytest.raises(EdgeError) as error:
+            open_dataset(spark, str(tmp_path / name), assume_crs="EPSG:4326", wkt_column="g")
+        assert "junk" not in str(error.value)
+
+
 def test_kml_guard(spark, tmp_path):
     for name, text in (("a", '<!DOCTYPE x><kml/>'), ("b", "<kml>" + "<a>" * 300 + "</a>" * 300 + "</kml>"), ("c", "<kml>")):
         path = tmp_path / f"{name}.kml"
@@ -234,6 +242,11 @@ def test_validation_stops_publication(spark, tmp_path):
     broken = spark.createDataFrame([(k, b"junk" if k % 3 == 0 else wkb.encode(wkt.parse("POINT(1 2)"))) for k in range(300)], "k long, geometry binary")
     found = diagnose(with_geometry(broken, GeometryContract("geometry")), index="k")
     assert found.counts == {"conversion.invalid_geometry": 100} and [e["row"] for e in found.examples] == list(range(0, 192, 3)) and found.scan == "complete"
+    told = diagnose(with_geometry(broken, GeometryContract("geometry")), index="k", examples=2, key_field="k", key_policy="emit")
+    assert told.examples == [{"row": 0, "cause": "conversion.invalid_geometry", "key": "0"}, {"row": 3, "cause": "conversion.invalid_geometry", "key": "3"}]
+    for options in ({"examples": 65}, {"key_field": "k"}, {"key_field": "k", "key_policy": "guess"}):
+        with pytest.raises(EdgeError):
+            diagnose(with_geometry(broken, GeometryContract("geometry")), **options)
     with pytest.raises(EdgeError):
         Diagnostics("read", "unknown", 1, {"x": 1}, [{"row": 1, "cause": "x"}]).validate()
 
