@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -32,6 +34,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of whole texts that travel to a Python worker at once.
+BATCH_ROWS = 1024
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of whole texts small, in the JVM and in the workers; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def tidy() -> None:
+    """Give memory that this worker has freed back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(f):
+    """A function of batches that leaves no freed memory behind."""
+
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            tidy()
+
+    return run
+
+
 def cut(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table into the shared folder and return the table: lineage ends here.
 
@@ -127,12 +161,6 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def binary(batch: pa.RecordBatch, name: str) -> list[bytes]:
-    """A binary or string column's values; null is the empty text."""
-    column = batch.column(batch.schema.get_field_index(name))
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-
-
 def groups(batches, key: str):
     """Rows of a partition sorted by ``key``, as (key, iterator over record batches) without holding a group."""
     state = {"batch": None, "it": iter(batches)}
