@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import table
+from .common import bound_batches, table, tidy
 
 #: The fit's bounded sample: documents of either label, bytes of each; tokens in a training segment, random segments of each.
-SAMPLE, SAMPLE_BYTES, SEGMENT, RANDOM = {1: 2000, 0: 4000}, 65_536, 12, 12
+SAMPLE, SAMPLE_BYTES, SEGMENT, RANDOM = {1: 1500, 0: 3000}, 65_536, 12, 8
 #: Hashed features; contexts that mark a feature as toxic, and the share of them that must be of toxic documents.
 FEATURES, CONTEXTS, PURITY = 1 << 18, 10, 0.98
+#: Slots in which documents are counted by feature before contexts are kept of the few that may be toxic.
+SPREAD = 1 << 22
 #: Remembered words in a worker; documents whose chains run side by side.
-MEMORY, SIDE_BY_SIDE = 500_000, 1024
+MEMORY, SIDE_BY_SIDE = 150_000, 512
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -53,20 +55,20 @@ def mark_tokens(documents: list[list[bytes]], toxic: list[bool]) -> list[np.ndar
     A feature is toxic if the documents and the contexts (word before and word after) that it is seen in are several and nearly all of
     toxic documents. Contexts, unlike documents, don't multiply with copies of a document.
     """
-    spread: dict[bytes, list[int]] = defaultdict(lambda: [0, 0])
+    spread = np.zeros((2, SPREAD), np.int32)
     for words, label in zip(documents, toxic):
-        for word in {w for w in words if len(w) >= 4}:
-            for f in features_of(word)[:4]:
-                spread[f][label] += 1
+        own = [zlib.crc32(f) % SPREAD for w in {w for w in words if len(w) >= 4} for f in features_of(w)[:4]]
+        if own:
+            np.add.at(spread[int(label)], own, 1)
     share = [max(1, sum(x == label for x in toxic)) for label in (False, True)]
     pure = lambda clean, own: own / share[1] >= PURITY * (own / share[1] + clean / share[0])
-    seen = {f: (set(), set()) for f, (clean, own) in spread.items() if own >= CONTEXTS and pure(clean, own)}
-    del spread
+    likely = (spread[1] >= CONTEXTS) & pure(spread[0], spread[1])
+    seen: dict[bytes, tuple[set, set]] = defaultdict(lambda: (set(), set()))
     for words, label in zip(documents, toxic):
         for k, word in enumerate(words):
             if len(word) >= 4:
                 for f in features_of(word)[:4]:
-                    if f in seen:
+                    if likely[zlib.crc32(f) % SPREAD]:
                         seen[f][label].add((words[k - 1] if k else b"", words[k + 1] if k + 1 < len(words) else b""))
     bad = {f for f, (clean, own) in seen.items() if len(own) >= CONTEXTS and pure(len(clean), len(own))}
     return [np.array([label and len(w) >= 4 and any(f in bad for f in features_of(w)[:4]) for w in words], bool) for words, label in zip(documents, toxic)]
@@ -103,12 +105,15 @@ def chain(emission: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) ->
 
 
 def document_features(marginals: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Largest marginal, log of their sum, and their mean, for each document; zeros without tokens."""
+    """Largest marginal, and log of the sum and mean of those over 0.5, for each document; zeros without tokens.
+
+    Small marginals are left out of the sums, or the length alone of a long text would add up to a toxic one.
+    """
     out = np.zeros((len(lengths), 3))
     full = np.flatnonzero(lengths)
     if len(full):
         at = (np.cumsum(lengths) - lengths)[full]
-        total = np.add.reduceat(marginals, at)
+        total = np.add.reduceat(np.where(marginals > 0.5, marginals, 0.0), at)
         out[full] = np.stack([np.maximum.reduceat(marginals, at), np.log1p(total), total / lengths[full]], axis=1)
     return out
 
@@ -153,7 +158,8 @@ def fit(texts: list[bytes], toxic: list[bool], seed: int = 0) -> Model:
     weights, transitions = np.zeros(FEATURES, np.float32), np.zeros((2, 2))
     if len(set(toxic)) < 2:
         return Model(weights, transitions, document)
-    documents = [fold_words(t) for t in texts]
+    one: dict[bytes, bytes] = {}
+    documents = [[one.setdefault(w, w) for w in fold_words(t)] for t in texts]
     marks, rng = mark_tokens(documents, toxic), np.random.default_rng(seed)
     words, gold = [], []
     for own, mark in zip(documents, marks):
@@ -166,9 +172,12 @@ def fit(texts: list[bytes], toxic: list[bool], seed: int = 0) -> Model:
                 pad = SEGMENT - len(part)
                 words += part + [b""] * pad
                 gold += mark[k * SEGMENT : k * SEGMENT + len(part)].tolist() + [False] * pad
-    slots = np.array([_slots(w) for w in words], np.int64)
+    place: dict[bytes, int] = {}
+    which = np.fromiter((place.setdefault(w, len(place)) for w in words), np.int32, len(words))
+    slots = np.array([_slots(w) for w in place], np.int32)
     used, at = np.unique(slots, return_inverse=True)
-    at, gold = at.reshape(slots.shape), np.array(gold, float).reshape(-1, SEGMENT)
+    at, gold = at.reshape(slots.shape).astype(np.int32)[which], np.array(gold, float).reshape(-1, SEGMENT)
+    del documents, marks, words, one, place, which, slots
     tags, n = gold.astype(int), len(gold)
     counts = np.array([[((tags[:, :-1] == a) & (tags[:, 1:] == b)).sum() + (a == 0) * (tags[:, 0] == b).sum() for b in (0, 1)] for a in (0, 1)], float)
 
@@ -233,7 +242,7 @@ class Scorer:
         return scores, spans
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _scorer(broadcast_id: int, broadcast) -> Scorer:
     return Scorer(broadcast.value)
 
@@ -267,6 +276,7 @@ _SPANS = StructType([
 
 def toxicity_column(spark: SparkSession, model: Model, text):
     """A column with the score of ``text`` and its toxic spans; null counts as empty."""
+    bound_batches(spark)
     held = spark.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
 
@@ -277,6 +287,7 @@ def toxicity_column(spark: SparkSession, model: Model, text):
             s, p = own.score([x or b"" for x in texts.slice(at, SIDE_BY_SIDE).to_pylist()])
             scores.append(s)
             spans += p
+        tidy()
         return pa.StructArray.from_arrays([pa.array(np.concatenate(scores) if scores else [], pa.float64()), pa.array(spans, kind)], ["score", "spans"])
 
     return toxicity(text.cast("binary"))
