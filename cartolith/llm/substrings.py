@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import groups, table
+from .common import bound_batches, groups, table, tidied
 
 #: Words in a window, and in the pieces of which a window's smallest hash is its minimiser.
 WINDOW, PIECE = 35, 5
@@ -100,10 +100,10 @@ def super_kmers(counts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...
     return doc[at], window[at], stop - at, low[at]
 
 
-def _pack(*parts) -> bytes:
+def _pack(*parts, level: int = 3) -> bytes:
     """Arrays and byte strings, one after the other, compressed."""
     raw = b"".join(struct.pack("<q", len(x)) + x for x in (p if isinstance(p, bytes) else p.tobytes() for p in parts))
-    return zstandard.ZstdCompressor(level=3).compress(raw)
+    return zstandard.ZstdCompressor(level=level).compress(raw)
 
 
 def _unpack(blob: bytes, *kinds) -> list:
@@ -143,6 +143,7 @@ def _chunks(batches):
 
 
 def _sender(buckets: int):
+    @tidied
     def send(batches):
         for ids, hashes, words in _chunks(batches):
             whole = b" ".join(b" ".join(w) for w in words) + b" "
@@ -206,6 +207,7 @@ def _runs(mask: np.ndarray, record: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(mask & ~before), np.flatnonzero(mask & ~after) + 1
 
 
+@tidied
 def _count(batches):
     """Sort and count each bucket's windows; give back the runs of repeated ones as word ranges of their documents."""
     kinds = [("id", pa.int64()), ("hash", pa.int64()), ("range", pa.int64())]
@@ -267,6 +269,7 @@ def _kept_column(text: pa.Array, ranges: pa.Array) -> pa.Array:
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(id, hash, range) of the repeated windows of docs (id: long, text: binary); range packs first and end word."""
     spark = docs.sparkSession
+    bound_batches(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = docs.mapInArrow(_sender(BUCKETS * partitions), _SENT_DDL)
     return sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_count, "id long, hash long, range long")

@@ -9,7 +9,6 @@ only suffixes with a tying sample ahead go on to be sorted, bucket by bucket, to
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +16,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import groups, shared_dir, table
+from .common import bound_batches, groups, table, tidied, tidy
 from .substrings import _pack, _unpack, mixed
 
 #: Depth of comparison; the cover's period and residues, every difference of two positions being one of two residues.
 DEPTH, PERIOD, COVER = 50, 31, (1, 5, 11, 24, 25, 27)
 SAMPLE = DEPTH - PERIOD + 1
-#: Text bytes in a block, buckets for each shuffle partition, and bits of a sample's key (a suffix's has 64).
-BLOCK, BUCKETS, SAMPLE_BITS = 6 << 20, 4, 40
+#: Text bytes in a block and dealt at once, buckets for each shuffle partition, bits of a sample's and of a suffix's key.
+BLOCK, DEAL, BUCKETS, SAMPLE_BITS, KEY_BITS = 16 << 20, 48 << 20, 1, 36, 62
 
 ORACLE_SQL = """
 WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -47,21 +46,35 @@ FROM b LEFT JOIN kept USING (doc_id)
 """
 
 
-def window_hashes(flat: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of every ``width`` consecutive bytes, by doubling."""
-    base = 0x9E3779B97F4A7C15
-    n = len(flat) - width + 1
-    power, size = flat.astype(np.uint64) + np.uint64(1), 1
-    out, done = None, 0
+def window_hashes(flat: np.ndarray, width: int, at: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+    """A 64-bit hash of the ``width`` bytes from each of the ascending positions ``at``; worked out in pieces that fit a cache."""
+    out, edges = np.empty(len(at), np.uint64), np.searchsorted(at, np.arange(0, len(flat) + step, step))
+    for k, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist())):
+        if b > a:
+            out[a:b] = _hash_piece(flat[k * step : (k + 1) * step + width - 1], width)[at[a:b] - k * step]
+    return mixed(out)
+
+
+def _hash_piece(flat: np.ndarray, width: int) -> np.ndarray:
+    base, n = 0x9E3779B97F4A7C15, len(flat) - width + 1
+    power, size, out, done = flat.astype(np.uint64) + np.uint64(1), 1, None, 0
     while True:
+        factor = np.uint64(pow(base, size, 1 << 64))
         if width & size:
             part = power[done:][:n]
-            out = part.copy() if out is None else out * np.uint64(pow(base, size, 1 << 64)) + part
+            out = part.copy() if out is None else out * factor + part
             done += size
         if done == width:
-            return mixed(out)
-        power = power[:-size] * np.uint64(pow(base, size, 1 << 64)) + power[size:]
-        size *= 2
+            return out
+        longer = power[:-size] * factor
+        longer += power[size:]
+        power, size = longer, size * 2
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys in order."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
 
 
 def pack_keys(sorted_keys: np.ndarray) -> bytes:
@@ -77,61 +90,65 @@ def unpack_keys(blob: bytes) -> np.ndarray:
 class Block:
     """Documents that follow each other in doc_id order, and what the rounds work out of them."""
 
-    def __init__(self, payload: bytes) -> None:
-        self.ids, self.null, self.sizes, raw = _unpack(payload, np.int64, np.int8, np.int64, None)
-        self.raw, self.flat = raw, np.frombuffer(raw, np.uint8)
+    def __init__(self, number: int, rows: list[tuple[int, int, bytes]]) -> None:
+        self.number, self.keys, self.raw = number, [r[:2] for r in rows], b"".join([r[2] for r in rows])
+        self.flat, self.sizes = np.frombuffer(self.raw, np.uint8), np.array([len(r[2]) for r in rows], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
-        fresh = np.ones(len(self.ids), bool)
-        fresh[1:] = (self.ids[1:] != self.ids[:-1]) | (self.null[1:] != self.null[:-1])
-        self.rank = np.cumsum(fresh).astype(np.int32)
-
-    def positions(self, width: int) -> np.ndarray:
-        """Positions at which ``width`` bytes of one document start."""
-        n = len(self.flat) - width + 1
-        if n <= 0:
-            return np.zeros(0, np.int64)
-        ok = np.ones(n, bool)
-        for end in self.ends.tolist():
-            ok[max(0, end - width + 1) : end] = False
-        return np.flatnonzero(ok)
+        fresh = [k == 0 or self.keys[k] != self.keys[k - 1] for k in range(len(rows))]
+        self.rank_at = np.repeat(np.cumsum(fresh).astype(np.int32), self.sizes)
 
-    def document(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.ends, at, side="right")
+    def left(self, width: int) -> np.ndarray:
+        """For every position that ``width`` bytes can start at, whether they end in the same document."""
+        n = max(0, len(self.flat) - width + 1)
+        ok = np.ones(n, bool)
+        for end, size in zip(self.ends.tolist(), self.sizes.tolist()):
+            ok[max(end - size, end - width + 1, 0) : end] = False
+        return ok
 
     def grouped(self, at: np.ndarray, keys: np.ndarray):
-        """Distinct keys in order, each position's place among them, and the first document's rank of each key."""
-        order = np.argsort(keys, kind="stable")
+        """Distinct keys in order, each position's place among them and rank, the least and greatest rank of each key."""
+        rank = self.rank_at[at]
+        if not len(at):
+            return keys, np.zeros(0, np.int32), rank, rank, rank
+        order = np.argsort(keys)
         ordered = keys[order]
-        new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(order) else np.zeros(0, bool)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.cumsum(new) - 1
-        rank = self.rank[self.document(at)] if len(at) else np.zeros(0, np.int32)
-        first = np.flatnonzero(new)
-        return ordered[first], place, rank, rank[order[first]], rank[order[np.append(first[1:], len(order)) - 1]] if len(order) else rank
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        place = np.empty(len(order), np.int32)
+        place[order] = np.cumsum(new, dtype=np.int32) - 1
+        first, ranks = np.flatnonzero(new), rank[order]
+        return ordered[first], place, rank, np.minimum.reduceat(ranks, first), np.maximum.reduceat(ranks, first)
 
     def samples(self):
         """Cover positions and their keys' groups."""
-        at = self.positions(SAMPLE)
-        if len(at):
-            within = at - self.starts[self.document(at)]
-            at = at[np.isin(within % PERIOD, COVER)]
-        keys = window_hashes(self.flat, SAMPLE)[at] >> np.uint64(64 - SAMPLE_BITS) if len(at) else np.zeros(0, np.uint64)
+        periods = -(-self.sizes // PERIOD)
+        nth = np.arange(periods.sum()) - np.repeat(np.cumsum(periods) - periods, periods)
+        at = (np.repeat(self.starts, periods) + PERIOD * nth)[:, None] + np.array(COVER)
+        at = at[at + SAMPLE <= np.repeat(self.ends, periods)[:, None]]
+        keys = window_hashes(self.flat, SAMPLE, at) >> np.uint64(64 - SAMPLE_BITS)
         return at, self.grouped(at, keys)
 
+    def ahead(self, samples: np.ndarray) -> np.ndarray:
+        """Positions that have one of these samples at an offset under the period."""
+        step = np.zeros(len(self.flat) + 1, np.int8)  # at most six samples lie within a period
+        step[np.minimum(samples + 1, len(self.flat))] -= 1
+        low = samples - PERIOD + 1
+        step[low[low >= 0]] += 1
+        step[0] += int((low < 0).sum())
+        return np.cumsum(step[:-1], dtype=np.int8) > 0
+
     def suffixes(self, tying: list | None):
-        """Positions whose suffix can tie, and their keys' groups. tying: the bucket bits of the samples."""
+        """Positions whose suffix can tie, their keys, and which can tie with one of another block.
+
+        tying: the bucket bits of the samples, true for those that other blocks have.
+        """
         at, (keys, place, _, first, last) = self.samples()
-        tie = (first != last) | bits_of(tying, keys, SAMPLE_BITS)
-        own = at[tie[place]] if len(at) else at
-        step = np.zeros(len(self.flat) + PERIOD + 1, np.int32)
-        np.add.at(step, np.maximum(own - PERIOD + 1, 0), 1)
-        np.add.at(step, own + 1, -1)
-        may = np.cumsum(step)[: len(self.flat)] > 0
-        at = self.positions(DEPTH)
-        at = at[may[at]]
-        keys = window_hashes(self.flat, DEPTH)[at] if len(at) else np.zeros(0, np.uint64)
-        return at, self.grouped(at, keys)
+        if not len(at):
+            return at, keys, np.zeros(0, bool)
+        across, ok = bits_of(tying, keys, SAMPLE_BITS), self.left(DEPTH)
+        elsewhere = self.ahead(at[across[place]])[: len(ok)]
+        at = np.flatnonzero((self.ahead(at[(first != last)[place]])[: len(ok)] | elsewhere) & ok)
+        return at, window_hashes(self.flat, DEPTH, at) >> np.uint64(64 - KEY_BITS), elsewhere[at]
 
 
 def bits_of(parts: list | None, keys: np.ndarray, bits: int) -> np.ndarray:
@@ -143,36 +160,50 @@ def bits_of(parts: list | None, keys: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _emit(block: int, keys: np.ndarray, bits: int, buckets: int):
-    """Sorted distinct keys cut into buckets, which are ranges of keys."""
+def _emitted(block: int, keys: np.ndarray, bits: int, buckets: int) -> list[tuple]:
+    """Sorted distinct keys cut into buckets, which are ranges of keys: (bucket, block, place, keys, packed)."""
     width = (1 << bits) // buckets + 1
     bounds = np.searchsorted(keys, np.array([min(k * width, (1 << bits) - 1) for k in range(1, buckets)], np.uint64))
     edges = [0, *bounds.tolist(), len(keys)]
-    rows = [(k, block, a, b - a, pack_keys(keys[a:b])) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
-    for k in range(0, len(rows), 64):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64]), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["bucket", "block", "lo", "n", "keys"])
+    return [(k, block, a, b - a, pack_keys(keys[a:b])) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+
+
+_SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("keys", pa.binary())])
+_SENT_DDL, _MARKS = "bucket int, block long, lo long, n long, keys binary", "block long, lo long, n long, bits binary"
 
 
-_SENT = "bucket int, block long, lo long, n long, keys binary"
-_MARKS = "block long, lo long, n long, bits binary"
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema) if rows else schema.empty_table()
 
 
-def _send_samples(buckets: int):
+def _send_samples(buckets: int, most: int):
+    @tidied
     def send(batches):
-        for batch in batches:
-            for number, payload in zip(*(batch.column(k).to_pylist() for k in (0, 1))):
-                _, (keys, *_) = Block(payload).samples()
-                yield from _emit(number, keys, SAMPLE_BITS, buckets)
+        for shard, part in groups(batches, "shard"):
+            for block in blocks_of(shard, [p for batch in part for p in batch.column(1).to_pylist()], most):
+                _, (keys, *_) = block.samples()
+                yield from _table(_emitted(block.number, keys, SAMPLE_BITS, buckets), _SENT).to_batches()
 
     return send
 
 
-def _send_suffixes(buckets: int):
-    def send(batches):
-        for batch in batches:
-            for number, payload, tying in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                _, (keys, *_) = Block(payload).suffixes(tying)
-                yield from _emit(number, keys, 64, buckets)
+def _marks_of(marks: pa.Table) -> dict[tuple[int, int], list[dict]]:
+    """Marks by kind (0 of samples, 1 of suffixes) and block."""
+    out: dict[tuple[int, int], list[dict]] = {}
+    for row in marks.to_pylist():
+        out.setdefault((row["kind"], row["block"]), []).append(row)
+    return out
+
+
+def _send_suffixes(buckets: int, most: int):
+    def send(shard: pa.Table, marks: pa.Table) -> pa.Table:
+        found, rows = _marks_of(marks), []
+        if len(shard):
+            for block in blocks_of(shard.column(0)[0].as_py(), shard.column(1).to_pylist(), most):
+                _, keys, across = block.suffixes(found.get((0, block.number)))
+                rows += _emitted(block.number, distinct(keys[across]), KEY_BITS, buckets)
+        tidy()
+        return _table(rows, _SENT)
 
     return send
 
@@ -180,6 +211,7 @@ def _send_suffixes(buckets: int):
 def _mark(earlier: bool):
     """Sort one bucket: which keys other blocks have too, or (``earlier``) blocks before have."""
 
+    @tidied
     def mark(batches):
         for _, part in groups(batches, "bucket"):
             held = []
@@ -187,13 +219,15 @@ def _mark(earlier: bool):
                 held += list(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), (unpack_keys(x) for x in batch.column(4).to_pylist())))
             held.sort(key=lambda x: x[0])
             keys = np.concatenate([x[3] for x in held])
-            order = np.argsort(keys, kind="stable")  # of equal keys the earliest block stands first
+            order = np.argsort(keys)
             ordered = keys[order]
-            same = ordered[1:] == ordered[:-1]
+            new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+            first, group = np.flatnonzero(new), np.cumsum(new) - 1
             hit = np.zeros(len(keys), bool)
-            hit[order[1:]] = same
-            if not earlier:
-                hit[order[:-1]] |= same
+            if earlier:  # places run with the blocks, so the least place of a key is in its earliest block
+                hit[order] = order > np.minimum.reduceat(order, first)[group]
+            else:
+                hit[order] = (np.diff(np.append(first, len(keys))) > 1)[group]
             at = 0
             for block, lo, n, _ in held:
                 own = hit[at : at + n]
@@ -204,27 +238,31 @@ def _mark(earlier: bool):
     return mark
 
 
-def _finish(with_bytes: bool):
-    def finish(batches):
-        for batch in batches:
-            for payload, tying, before in zip(*(batch.column(k).to_pylist() for k in range(1, 4))):
-                block = Block(payload)
-                at, (keys, place, rank, first, _) = block.suffixes(tying)
-                gone = (rank > first[place]) | bits_of(before, keys, 64)[place] if len(at) else np.zeros(0, bool)
-                step = np.zeros(len(block.flat) + 1, np.int32)
-                np.add.at(step, at[gone], 1)
-                np.add.at(step, at[gone] + DEPTH, -1)
-                cover = np.cumsum(step[:-1]) > 0
-                rows = []
-                for k, (a, b) in enumerate(zip(block.starts.tolist(), block.ends.tolist())):
-                    own = cover[a:b]
-                    kept = block.raw[a:b] if not own.any() else block.flat[a:b][~own].tobytes()
-                    spans = int(own[:1].sum() + (own[1:] & ~own[:-1]).sum())
-                    rows.append((None if block.null[k] else int(block.ids[k]), b - a, int(own.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
-                for k in range(0, len(rows), 1024):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*rows[k : k + 1024]), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-                    )
+_DONE = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+
+
+def _finish(with_bytes: bool, most: int):
+    def finish(shard: pa.Table, marks: pa.Table) -> pa.Table:
+        found, rows = _marks_of(marks), []
+        for block in blocks_of(shard.column(0)[0].as_py(), shard.column(1).to_pylist(), most) if len(shard) else []:
+            at, keys, across = block.suffixes(found.get((0, block.number)))
+            sent = distinct(keys[across])
+            keys, place, rank, first, _ = block.grouped(at, keys)
+            earlier = np.zeros(len(keys), bool)
+            earlier[np.searchsorted(keys, sent[bits_of(found.get((1, block.number)), sent, KEY_BITS)])] = True
+            gone = at[(rank > first[place]) | earlier[place]] if len(at) else at
+            step = np.zeros(len(block.flat) + 1, np.int8)  # at most DEPTH windows cover a byte
+            step[gone] += 1
+            step[gone + DEPTH] -= 1
+            cover = np.cumsum(step[:-1], dtype=np.int8) > 0
+            for (missing, i), a, b in zip(block.keys, block.starts.tolist(), block.ends.tolist()):
+                own = cover[a:b]
+                removed = int(own.sum())
+                kept = block.flat[a:b][~own].tobytes() if removed else block.raw[a:b]
+                spans = int(own[:1].sum() + (own[1:] & ~own[:-1]).sum()) if removed else 0
+                rows.append((None if missing == 0 else i, b - a, removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
+        tidy()
+        return _table(rows, _DONE)
 
     return finish
 
@@ -232,6 +270,7 @@ def _finish(with_bytes: bool):
 def _deal(bounds: list[int]):
     """Documents packed by range of ids, some megabytes at a time."""
 
+    @tidied
     def deal(batches):
         held: dict[int, list] = {}
         size = 0
@@ -239,7 +278,7 @@ def _deal(bounds: list[int]):
         def sent():
             for shard, rows in held.items():
                 ids, null, texts = zip(*rows)
-                blob = _pack(np.array(ids, np.int64), np.array(null, np.int8), np.array([len(t) for t in texts], np.int64), b"".join(texts))
+                blob = _pack(np.array(ids, np.int64), np.array(null, np.int8), np.array([len(t) for t in texts], np.int64), b"".join(texts), level=9)
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([blob], pa.binary())], ["shard", "payload"])
 
         for batch in batches:
@@ -247,7 +286,7 @@ def _deal(bounds: list[int]):
                 key = -(1 << 63) if i is None else i
                 held.setdefault(int(np.searchsorted(bounds, key, side="left")), []).append((key, i is None, text or b""))
                 size += len(text or b"")
-                if size >= 8 * BLOCK:
+                if size >= DEAL:
                     yield from sent()
                     held, size = {}, 0
         yield from sent()
@@ -255,31 +294,19 @@ def _deal(bounds: list[int]):
     return deal
 
 
-def _cut_blocks(most: int):
-    """A range's documents in order of id, in blocks that end between different ids."""
-
-    def cut_blocks(batches):
-        for shard, part in groups(batches, "shard"):
-            yield from _blocks_of(shard, part, most)
-
-    return cut_blocks
-
-
-def _blocks_of(shard: int, part, most: int):
+def blocks_of(shard: int, payloads: list[bytes], most: int):
+    """A range's documents in order of id, null ids first, in blocks that end between different ids."""
     rows: list[tuple[int, int, bytes]] = []
-    for batch in part:
-        for payload in batch.column(1).to_pylist():
-            ids, null, sizes, raw = _unpack(payload, np.int64, np.int8, np.int64, None)
-            ends = np.cumsum(sizes).tolist()
-            rows += [(i, -n, raw[a:b]) for i, n, a, b in zip(ids.tolist(), null.tolist(), [0, *ends], ends)]
+    for payload in payloads:
+        ids, null, sizes, raw = _unpack(payload, np.int64, np.int8, np.int64, None)
+        ends = np.cumsum(sizes).tolist()
+        rows += [(0 if n else 1, i, raw[a:b]) for i, n, a, b in zip(ids.tolist(), null.tolist(), [0, *ends], ends)]
     rows.sort()
     first, size, number = 0, 0, 0
     for k in range(len(rows)):
         size += len(rows[k][2])
         if k + 1 == len(rows) or size >= most and rows[k + 1][:2] != rows[k][:2]:
-            ids, null, texts = zip(*rows[first : k + 1])
-            blob = _pack(np.array(ids, np.int64), -np.array(null, np.int8), np.array([len(t) for t in texts], np.int64), b"".join(texts))
-            yield pa.RecordBatch.from_arrays([pa.array([(shard << 32) + number], pa.int64()), pa.array([blob], pa.binary())], ["block", "payload"])
+            yield Block((shard << 32) + number, rows[first : k + 1])
             first, size, number = k + 1, 0, number + 1
 
 
@@ -289,31 +316,29 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False, block: int = BLOCK
     Returns (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept), a row for each row of ``docs``; kept is null unless
     ``with_bytes``. Strings are judged on the input. Null texts are empty, texts of under 50 bytes lose nothing; a null
     id is smaller than all others; rows with one id lose nothing to each other; an empty table gives no rows; columns
-    other than doc_id and text are not read. Documents are laid out in blocks in order of id, as a table bucketed by block
-    that each round reads where it lies; a block sends a key once however often it holds it, so that a passage of a
-    third of all documents reaches its bucket once a block. A sample's key of 40 bits may collide, which only lets a
-    suffix through to be sorted; suffixes have 64-bit keys.
+    other than doc_id and text are not read. Documents are dealt once to ranges of ids and laid out in blocks in their order;
+    each round reads the same exchange, and only keys and bits travel between; a block sends a key once however often it holds it, so that a passage of a
+    third of all documents reaches its bucket once a block. A sample's key of 36 bits may collide, which only lets a
+    suffix through to be sorted; suffixes have keys of 62 bits.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = BUCKETS * partitions
     binary = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     bounds = binary.agg(F.percentile_approx("doc_id", [k / partitions for k in range(1, partitions)] or [1.0], 10_000).alias("b")).first().b or []
-    dealt = binary.mapInArrow(_deal(sorted(set(bounds))), "shard int, payload binary")
-    laid = dealt.repartition(partitions, "shard").sortWithinPartitions("shard").mapInArrow(_cut_blocks(block), "block long, payload binary")
-    name = f"cartolith_blocks_{uuid.uuid4().hex}"
-    laid.write.bucketBy(partitions, "block").sortBy("block").option("path", f"{shared_dir(spark)}/cartolith-tables/{name}").saveAsTable(name)
-    blocks = spark.table(name)
-
-    def marked(sent: DataFrame, earlier: bool) -> DataFrame:
-        marks = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_mark(earlier), _MARKS)
-        return marks.groupBy("block").agg(F.collect_list(F.struct("lo", "n", "bits")).alias("marks")).select(F.col("block").alias("of"), "marks")
-
-    samples = marked(blocks.mapInArrow(_send_samples(buckets), _SENT), earlier=False)
-    tying = blocks.join(samples, F.col("block") == F.col("of"), "left").select("block", "payload", F.col("marks").alias("tying"))
-    suffixes = marked(tying.mapInArrow(_send_suffixes(buckets), _SENT), earlier=True)
-    done = tying.join(suffixes, F.col("block") == F.col("of"), "left").select("block", "payload", "tying", "marks")
-    return done.mapInArrow(_finish(with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    dealt = binary.mapInArrow(_deal(sorted(set(bounds))), "shard int, payload binary").repartition(partitions, "shard")
+
+    def marked(sent: DataFrame, kind: int) -> DataFrame:
+        marks = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_mark(earlier=kind == 1), _MARKS)
+        return marks.select(F.shiftright("block", 32).cast("int").alias("shard"), F.lit(kind).alias("kind"), "block", "lo", "n", "bits")
+
+    def beside(marks: DataFrame, f, schema: str) -> DataFrame:
+        return dealt.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(f, schema)
+
+    samples = marked(dealt.sortWithinPartitions("shard").mapInArrow(_send_samples(buckets, block), _SENT_DDL), 0)
+    suffixes = marked(beside(samples, _send_suffixes(buckets, block), _SENT_DDL), 1)
+    return beside(samples.unionByName(suffixes), _finish(with_bytes, block), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
