@@ -15,13 +15,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import groups, shared_dir, table
+from .common import bound_batches, groups, shared_dir, table, tidied
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 0
 #: Bounds of the sample that the dictionary is trained on (documents, bytes of each), its size, and payload bytes in a block.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, BLOCK_BYTES = 512, 65_536, 65_536, 4 << 20
+#: Shards that one task packs into one file: fewer, larger files.
+SHARDS_A_FILE = 4
 #: Pieces whose ids a worker remembers.
-MEMORY = 400_000
+MEMORY = 300_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -148,9 +150,10 @@ def _texts(batches):
 
 
 def _compressor(path: str, raw, bounds: list[int]):
+    @tidied
     def compress(batches):
         own = encoder(path)
-        press = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(raw.value) if raw.value else None, write_content_size=True)
+        press = zstandard.ZstdCompressor(level=1, dict_data=_dictionary(raw.value) if raw.value else None, write_content_size=True)
         for ids, texts in _texts(batches):
             done = [_serialized(x, own) for x in texts]
             shard = np.searchsorted(bounds, [-(1 << 63) if i is None else i for i in ids], side="left").astype(np.int32)
@@ -169,6 +172,7 @@ _BLOCK_DDL = "shard int, block int, dictionary string, id_kind string, start lon
 
 
 def _packer(name: str, kind: str):
+    @tidied
     def pack(batches):
         for shard, part in groups(batches, "shard"):
             start, block, held, ids, counts, parts = 0, 0, 0, [], [], []
@@ -204,6 +208,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
     Spark's committer publishes both tables, so a lost executor leaves no partial file.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     tokenizer = tokenizer or tokenizer_path()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -212,7 +217,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
     name, kind = hashlib.sha256(raw).hexdigest(), encoder(tokenizer).kind
     frames = docs.mapInArrow(_compressor(tokenizer, spark.sparkContext.broadcast(raw), sorted(set(bounds))), "shard int, doc_id long, n_tokens long, payload binary")
     blocks = frames.repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "payload").mapInArrow(_packer(name, kind), _BLOCK_DDL)
-    blocks.write.parquet(f"{path}/blocks")
+    blocks.coalesce(max(1, shards // SHARDS_A_FILE)).write.parquet(f"{path}/blocks")
     spark.createDataFrame([(name, bytearray(raw))], "hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
 
@@ -225,6 +230,7 @@ def _load(spark: SparkSession, path: str):
 
 
 def _reader(name: str, raw, with_ids: bool):
+    @tidied
     def read(batches):
         zip_ = zstandard.ZstdDecompressor(dict_data=_dictionary(raw.value) if raw.value else None)
         for batch in batches:
@@ -266,7 +272,8 @@ def token_file(docs: DataFrame) -> DataFrame:
     """Write ``docs`` into a new folder among the shared ones and read the file back, a row for each document."""
     path = f"{shared_dir(docs.sparkSession)}/cartolith-tokens/{uuid.uuid4().hex}"
     write_tokens(docs, path)
-    return read_tokens(docs.sparkSession, path)
+    files = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // SHARDS_A_FILE)
+    return read_tokens(docs.sparkSession, path).coalesce(files)
 
 
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
