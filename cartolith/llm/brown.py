@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, groups, table
+from .common import bound_batches, cut, drop_cut, groups, table, tidied
 from .substrings import _pack, _unpack
 
 #: Classes, rounds of exchange, the smoothing added to counts.
@@ -58,6 +58,7 @@ def _rows(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
 
 
 def _count_words(buckets: int):
+    @tidied
     def count(batches):
         seen, held = Counter(), 0
 
@@ -305,6 +306,7 @@ def _signed(x: int) -> int:
 def _score(held, buckets: int):
     """Class scores and head words' counts here; all other words go to the bucket that has their counts."""
 
+    @tidied
     def score(batches):
         model: Model = held.value
         ids, head = Ids((w, k) for k, w in enumerate(model.own)), model.head
@@ -352,6 +354,7 @@ _FOUND_KINDS = [pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.in
 _FOUND_DDL = "doc_id long, text_hash long, is_null byte, copies long, n_tokens long, n_known long, log double, by_class double"
 
 
+@tidied
 def _look_up(batches):
     """Kind 0: a bucket's counts; 1: words of documents to look up there; 2: what documents have already."""
 
@@ -388,6 +391,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts of all other words meet the documents' words in a shuffle.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     model, counts, n = train(docs)
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = spark.sparkContext.broadcast(model)

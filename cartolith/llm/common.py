@@ -124,16 +124,18 @@ def _forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, reduced: bool = False) -> DataFrame:
     """Connected components of ``edges`` (a, b: long), as (id, component), component being its smallest id.
 
     Contraction: every node hooks onto its smallest neighbour, pointers are jumped, links are renamed to what
     their ends hook onto, and what is left goes into the next round, so that the links shrink geometrically.
     Everything stays in tables of the shared folder; a node's links meet only in a partial minimum.
-    Nodes without links are not returned. Null ends and self-links are ignored; no links give no rows.
+    ``reduced``: the links come as spanning forests already, and are not reduced once more in the stage that makes them,
+    which keeps one Python worker to a task. Nodes without links are not returned. Null ends and self-links are ignored; no links give no rows.
     """
     forest = lambda df: df.mapInArrow(_forest, "a long, b long")
-    live = cut(forest(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")))
+    own = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
+    live = cut(own if reduced else forest(own))
     spent, steps = [live], []
     while not live.isEmpty():
         both = live.select("a", "b").unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import table
+from .common import bound_batches, table
 
 #: Words in a shingle, shingle overlap of the item as a whole and of its question and answer, share of its own BM25 score.
 SHINGLE, OVERLAP, PART_OVERLAP, THRESHOLD = 5, 0.8, 0.5, 0.7
@@ -223,6 +223,7 @@ def leaks_column(items: DataFrame, text):
 
         return leaks(text.cast("binary"))
 
+    bound_batches(items.sparkSession)
     columns = [one(index) for index in indexes(items)]
     return columns[0] if len(columns) == 1 else F.concat(*columns)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from .common import table
+from .common import bound_batches, table
 
 #: Upper to lower case, and every byte outside of a word (0-9, a-z, 0x80 and above) to a blank.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -204,6 +204,7 @@ def scan_licenses(docs: DataFrame, text_column: str = "text") -> DataFrame:
     Null texts count as empty; no words give zero counts, null places, empty label lists and score 0; null ids and
     repeated rows are scanned like others; columns other than the two are not read.
     """
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", _scan_column(F.col(text_column).cast("binary")).alias("scan")).select("doc_id", "scan.*")
 
 

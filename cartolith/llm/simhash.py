@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
 
-from .common import binary, components, cut, groups, star_edges, table
+from .common import bound_batches, components, cut, groups, star_edges, table
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprint bits are cut into parts of 16; of two fingerprints with 4 or fewer differing bits one part differs in 1 at most.
@@ -149,7 +149,7 @@ def fingerprint_components(fingerprints: DataFrame) -> DataFrame:
     """Components of distinct fingerprints (fp: long) whose Hamming distance is 4 or less: (id, component) of linked ones."""
     shards = fingerprints.select("fp").mapInArrow(_route, "shard int, role byte, fp long")
     links = shards.repartition("shard").sortWithinPartitions("shard", "role").mapInArrow(_search, "a long, b long")
-    return components(links)
+    return components(links, reduced=True)
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -161,6 +161,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     two are not read. Copies share one fingerprint and are searched once; no link between different fingerprints is
     lost, since of four 16-bit parts one differs in a bit at most, and each part has its own vantage-point tree.
     """
+    bound_batches(docs.sparkSession)
     prints = cut(docs.select(F.col(id_column).cast("long").alias("doc_id"), fingerprint_of(F.col(text_column)).alias("fp")))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     linked = fingerprint_components(distinct)
