@@ -19,7 +19,7 @@ from .common import bound_batches, groups, shared_dir, table, tidied
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 0
 #: Bounds of the sample that the dictionary is trained on (documents, bytes of each), its size, and payload bytes in a block.
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, BLOCK_BYTES = 512, 65_536, 65_536, 4 << 20
+SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, BLOCK_BYTES = 512, 65_536, 65_536, 1 << 20
 #: Shards that one task packs into one file: fewer, larger files.
 SHARDS_A_FILE = 4
 #: Pieces whose ids a worker remembers.
@@ -217,7 +217,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
     name, kind = hashlib.sha256(raw).hexdigest(), encoder(tokenizer).kind
     frames = docs.mapInArrow(_compressor(tokenizer, spark.sparkContext.broadcast(raw), sorted(set(bounds))), "shard int, doc_id long, n_tokens long, payload binary")
     blocks = frames.repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "payload").mapInArrow(_packer(name, kind), _BLOCK_DDL)
-    blocks.coalesce(max(1, shards // SHARDS_A_FILE)).write.parquet(f"{path}/blocks")
+    # Payloads are compressed already; a second codec would only hold a buffer as large as a page of them.
+    blocks.coalesce(max(1, shards // SHARDS_A_FILE)).write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(name, bytearray(raw))], "hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
 
@@ -234,7 +235,7 @@ def _reader(name: str, raw, with_ids: bool):
     def read(batches):
         zip_ = zstandard.ZstdDecompressor(dict_data=_dictionary(raw.value) if raw.value else None)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
                 if row["dictionary"] != name:
                     raise ValueError("a block was written under another dictionary")
                 ids, counts, crcs, arrays = row["doc_ids"], [], [], []
@@ -272,8 +273,7 @@ def token_file(docs: DataFrame) -> DataFrame:
     """Write ``docs`` into a new folder among the shared ones and read the file back, a row for each document."""
     path = f"{shared_dir(docs.sparkSession)}/cartolith-tokens/{uuid.uuid4().hex}"
     write_tokens(docs, path)
-    files = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // SHARDS_A_FILE)
-    return read_tokens(docs.sparkSession, path).coalesce(files)
+    return read_tokens(docs.sparkSession, path)
 
 
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
