@@ -3,7 +3,10 @@
 Suffixes are compared to a depth of 50 bytes, so a suffix can tie with another only if the cover sample at one offset
 under the period ties too: two equal suffixes have, wherever they stand, a common offset at which both are in the
 cover, and there the samples of 20 bytes are equal. So the samples (6 of 31 positions) are sorted and ranked first, and
-only suffixes with a tying sample ahead go on to be sorted, bucket by bucket, to their full depth.
+only suffixes with a tying sample ahead go on to be sorted, bucket by bucket, to their full depth. Samples stand for
+themselves as hashes there, which may only let more suffixes through. Suffixes travel as their bytes: those that follow
+each other and share the least sample of their depth go to one bucket as one string. What ties by hash is told apart by
+its bytes.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from .substrings import _pack, _unpack, mixed
 #: Depth of comparison; the cover's period and residues, every difference of two positions being one of two residues.
 DEPTH, PERIOD, COVER = 50, 31, (1, 5, 11, 24, 25, 27)
 SAMPLE = DEPTH - PERIOD + 1
-#: Text bytes in a block and dealt at once, buckets for each shuffle partition, bits of a sample's and of a suffix's key.
-BLOCK, DEAL, BUCKETS, SAMPLE_BITS, KEY_BITS = 16 << 20, 48 << 20, 1, 36, 62
+#: Text bytes in a block and dealt at once, buckets for each shuffle partition, bits of a sample's key.
+BLOCK, DEAL, BUCKETS, SAMPLE_BITS = 16 << 20, 48 << 20, 1, 36
 
 ORACLE_SQL = """
 WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -71,10 +74,46 @@ def _hash_piece(flat: np.ndarray, width: int) -> np.ndarray:
         power, size = longer, size * 2
 
 
-def distinct(keys: np.ndarray) -> np.ndarray:
-    """Distinct keys in order."""
-    keys = np.sort(keys)
-    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+def same_strings(flat: np.ndarray, p: np.ndarray, q: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """Whether the DEPTH bytes from ``p`` are those from ``q``, for each pair of positions."""
+    out = np.ones(len(p), bool)
+    if len(p):
+        strings = np.ndarray(len(flat) - DEPTH + 1, f"V{DEPTH}", flat, strides=(1,))
+        for a in range(0, len(p), step):
+            x, y = (strings[at[a : a + step]].view(np.uint16).reshape(-1, DEPTH // 2) for at in (p, q))
+            if not np.array_equal(x, y):
+                out[a : a + step] = (x == y).all(axis=1)
+    return out
+
+
+def ordered_strings(flat: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the strings at ``at`` in which equal ones stand together, and where each begins: by hash, then by bytes."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    new = np.ones(len(order), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    ties = np.flatnonzero(~new)
+    differ = ties[~same_strings(flat, at[order[ties - 1]], at[order[ties]])]
+    if len(differ):
+        edges = np.append(np.flatnonzero(new), len(order))
+        for k in np.unique(np.searchsorted(edges, differ, side="right") - 1).tolist():
+            a, b = int(edges[k]), int(edges[k + 1])
+            own = sorted((flat[at[x] : at[x] + DEPTH].tobytes(), x) for x in order[a:b].tolist())
+            order[a:b] = [x for _, x in own]
+            new[a + 1 : b] = [s != t for (s, _), (t, _) in zip(own[1:], own)]
+    return order, new
+
+
+def string_buckets(flat: np.ndarray, at: np.ndarray, buckets: int, step: int = 1 << 15) -> np.ndarray:
+    """The bucket of the string at each of the ascending positions ``at``, from the least hash of the samples within it."""
+    out, edges = np.empty(len(at), np.uint64), np.searchsorted(at, np.arange(0, len(flat) + step, step))
+    for k, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist())):
+        if b > a:
+            least = mixed(_hash_piece(flat[k * step : (k + 1) * step + DEPTH - 1], SAMPLE))
+            for size in (1, 2, 4, 8, PERIOD - 16):
+                least = np.minimum(least[:-size], least[size:])
+            out[a:b] = least[at[a:b] - k * step]
+    return (mixed(out) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
 
 
 def pack_keys(sorted_keys: np.ndarray) -> bytes:
@@ -106,14 +145,21 @@ class Block:
             ok[max(end - size, end - width + 1, 0) : end] = False
         return ok
 
-    def grouped(self, at: np.ndarray, keys: np.ndarray):
-        """Distinct keys in order, each position's place among them and rank, the least and greatest rank of each key."""
+    def grouped(self, at: np.ndarray, keys: np.ndarray, exact: bool = False):
+        """Distinct keys in order, each position's place among them and rank, the least and greatest rank of each key.
+
+        exact: keys are hashes of the strings at ``at``, and different strings with one hash are kept apart.
+        """
         rank = self.rank_at[at]
         if not len(at):
             return keys, np.zeros(0, np.int32), rank, rank, rank
-        order = np.argsort(keys)
-        ordered = keys[order]
-        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        if exact:
+            order, new = ordered_strings(self.flat, at, keys)
+            ordered = keys[order]
+        else:
+            order = np.argsort(keys)
+            ordered = keys[order]
+            new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
         place = np.empty(len(order), np.int32)
         place[order] = np.cumsum(new, dtype=np.int32) - 1
         first, ranks = np.flatnonzero(new), rank[order]
@@ -138,22 +184,31 @@ class Block:
         return np.cumsum(step[:-1], dtype=np.int8) > 0
 
     def suffixes(self, tying: list | None):
-        """Positions whose suffix can tie, their keys, and which can tie with one of another block.
+        """Positions whose suffix can tie, their hashes, and which can tie with one of another block.
 
         tying: the bucket bits of the samples, true for those that other blocks have.
         """
         at, (keys, place, _, first, last) = self.samples()
         if not len(at):
             return at, keys, np.zeros(0, bool)
-        across, ok = bits_of(tying, keys, SAMPLE_BITS), self.left(DEPTH)
+        across, ok = bits_of(tying, keys), self.left(DEPTH)
         elsewhere = self.ahead(at[across[place]])[: len(ok)]
         at = np.flatnonzero((self.ahead(at[(first != last)[place]])[: len(ok)] | elsewhere) & ok)
-        return at, window_hashes(self.flat, DEPTH, at) >> np.uint64(64 - KEY_BITS), elsewhere[at]
+        return at, window_hashes(self.flat, DEPTH, at), elsewhere[at]
+
+    def sent(self, at: np.ndarray, place: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of suffixes at ``at`` the first of each place, by bucket and position, as indices into ``at``; their buckets."""
+        lead = np.full(int(place.max()) + 1 if len(place) else 0, -1, np.int64)
+        lead[place[::-1]] = np.arange(len(at))[::-1]  # the last that is written stays
+        lead = np.sort(lead[lead >= 0])
+        bucket = string_buckets(self.flat, at[lead], buckets)
+        order = np.argsort(bucket, kind="stable")
+        return lead[order], bucket[order]
 
 
-def bits_of(parts: list | None, keys: np.ndarray, bits: int) -> np.ndarray:
-    """The truths that buckets gave back for sorted distinct keys."""
-    out = np.zeros(len(keys), bool)
+def bits_of(parts: list | None, sent: np.ndarray) -> np.ndarray:
+    """The truths that buckets gave back for what a block sent."""
+    out = np.zeros(len(sent), bool)
     for part in parts or []:
         lo, hi = part["lo"], part["lo"] + part["n"]
         out[lo:hi] = np.unpackbits(np.frombuffer(part["bits"], np.uint8), count=part["n"]).astype(bool)
@@ -168,6 +223,18 @@ def _emitted(block: int, keys: np.ndarray, bits: int, buckets: int) -> list[tupl
     return [(k, block, a, b - a, pack_keys(keys[a:b])) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
 
 
+def _emitted_strings(block: Block, at: np.ndarray, bucket: np.ndarray) -> list[tuple]:
+    """Suffixes by bucket and position: (bucket, block, place, suffixes, packed lengths and bytes of those in a row)."""
+    rows, edges = [], [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(at)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            first = np.flatnonzero(np.diff(at[a:b], prepend=-2) != 1)
+            n, starts = np.diff(np.append(first, b - a)), at[a:b][first]
+            held = b"".join([block.raw[s:e] for s, e in zip(starts.tolist(), (starts + n + DEPTH - 1).tolist())])
+            rows.append((int(bucket[a]), block.number, a, b - a, _pack(n.astype("<i4"), held)))
+    return rows
+
+
 _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("keys", pa.binary())])
 _SENT_DDL, _MARKS = "bucket int, block long, lo long, n long, keys binary", "block long, lo long, n long, bits binary"
 
@@ -200,56 +267,73 @@ def _send_suffixes(buckets: int, most: int):
         found, rows = _marks_of(marks), []
         if len(shard):
             for block in blocks_of(shard.column(0)[0].as_py(), shard.column(1).to_pylist(), most):
-                _, keys, across = block.suffixes(found.get((0, block.number)))
-                rows += _emitted(block.number, distinct(keys[across]), KEY_BITS, buckets)
+                at, keys, across = block.suffixes(found.get((0, block.number)))
+                at, keys = at[across], keys[across]
+                own, bucket = block.sent(at, block.grouped(at, keys, exact=True)[1], buckets)
+                rows += _emitted_strings(block, at[own], bucket)
         tidy()
         return _table(rows, _SENT)
 
     return send
 
 
-def _mark(earlier: bool):
-    """Sort one bucket: which keys other blocks have too, or (``earlier``) blocks before have."""
-
-    @tidied
-    def mark(batches):
-        for _, part in groups(batches, "bucket"):
-            held = []
-            for batch in part:
-                held += list(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), (unpack_keys(x) for x in batch.column(4).to_pylist())))
-            held.sort(key=lambda x: x[0])
-            keys = np.concatenate([x[3] for x in held])
-            order = np.argsort(keys)
-            ordered = keys[order]
-            new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-            first, group = np.flatnonzero(new), np.cumsum(new) - 1
-            hit = np.zeros(len(keys), bool)
-            if earlier:  # places run with the blocks, so the least place of a key is in its earliest block
-                hit[order] = order > np.minimum.reduceat(order, first)[group]
-            else:
-                hit[order] = (np.diff(np.append(first, len(keys))) > 1)[group]
-            at = 0
-            for block, lo, n, _ in held:
-                own = hit[at : at + n]
-                at += n
-                if own.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([lo]), pa.array([n]), pa.array([np.packbits(own).tobytes()], pa.binary())], ["block", "lo", "n", "bits"])
-
-    return mark
+def _marked(held: list[tuple], hit: np.ndarray):
+    """The truths of a bucket, for each (block, lo, n) that sent to it."""
+    at = 0
+    for block, lo, n in held:
+        own = hit[at : at + n]
+        at += n
+        if own.any():
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([lo]), pa.array([n]), pa.array([np.packbits(own).tobytes()], pa.binary())], ["block", "lo", "n", "bits"])
+
+
+@tidied
+def _mark_samples(batches):
+    """Sort one bucket: which keys other blocks have too."""
+    for _, part in groups(batches, "bucket"):
+        held = []
+        for batch in part:
+            held += list(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), (unpack_keys(x) for x in batch.column(4).to_pylist())))
+        held.sort(key=lambda x: x[0])
+        keys = np.concatenate([x[3] for x in held])
+        order = np.argsort(keys)
+        ordered = keys[order]
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        hit = np.zeros(len(keys), bool)
+        hit[order] = (np.diff(np.append(np.flatnonzero(new), len(keys))) > 1)[np.cumsum(new) - 1]
+        yield from _marked([x[:3] for x in held], hit)
+
+
+@tidied
+def _mark_suffixes(batches):
+    """Sort one bucket: which suffixes blocks before have too."""
+    for _, part in groups(batches, "bucket"):
+        held = []
+        for batch in part:
+            held += list(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), (_unpack(x, "<i4", None) for x in batch.column(4).to_pylist())))
+        held.sort(key=lambda x: x[0])
+        flat = np.frombuffer(b"".join([x[3][1] for x in held]), np.uint8)
+        n = np.concatenate([x[3][0] for x in held]).astype(np.int64)
+        held = [x[:3] for x in held]
+        at = np.arange(n.sum()) + np.repeat(np.arange(len(n)) * (DEPTH - 1), n)
+        order, new = ordered_strings(flat, at, window_hashes(flat, DEPTH, at))
+        hit = np.zeros(len(at), bool)  # places run with the blocks, so the least place of a suffix is in its earliest block
+        hit[order] = order > np.minimum.reduceat(order, np.flatnonzero(new))[np.cumsum(new) - 1]
+        yield from _marked(held, hit)
 
 
 _DONE = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
-def _finish(with_bytes: bool, most: int):
+def _finish(with_bytes: bool, buckets: int, most: int):
     def finish(shard: pa.Table, marks: pa.Table) -> pa.Table:
         found, rows = _marks_of(marks), []
         for block in blocks_of(shard.column(0)[0].as_py(), shard.column(1).to_pylist(), most) if len(shard) else []:
             at, keys, across = block.suffixes(found.get((0, block.number)))
-            sent = distinct(keys[across])
-            keys, place, rank, first, _ = block.grouped(at, keys)
+            keys, place, rank, first, _ = block.grouped(at, keys, exact=True)
+            sent, _ = block.sent(at[across], place[across], buckets)
             earlier = np.zeros(len(keys), bool)
-            earlier[np.searchsorted(keys, sent[bits_of(found.get((1, block.number)), sent, KEY_BITS)])] = True
+            earlier[place[across][sent[bits_of(found.get((1, block.number)), sent)]]] = True
             gone = at[(rank > first[place]) | earlier[place]] if len(at) else at
             step = np.zeros(len(block.flat) + 1, np.int8)  # at most DEPTH windows cover a byte
             step[gone] += 1
@@ -317,9 +401,9 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False, block: int = BLOCK
     ``with_bytes``. Strings are judged on the input. Null texts are empty, texts of under 50 bytes lose nothing; a null
     id is smaller than all others; rows with one id lose nothing to each other; an empty table gives no rows; columns
     other than doc_id and text are not read. Documents are dealt once to ranges of ids and laid out in blocks in their order;
-    each round reads the same exchange, and only keys and bits travel between; a block sends a key once however often it holds it, so that a passage of a
+    each round reads the same exchange, and only keys, suffixes and bits travel between; a block sends a key or suffix once however often it holds it, so that a passage of a
     third of all documents reaches its bucket once a block. A sample's key of 36 bits may collide, which only lets a
-    suffix through to be sorted; suffixes have keys of 62 bits.
+    suffix through to be sorted; suffixes are compared by all their bytes.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -330,7 +414,7 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False, block: int = BLOCK
     dealt = binary.mapInArrow(_deal(sorted(set(bounds))), "shard int, payload binary").repartition(partitions, "shard")
 
     def marked(sent: DataFrame, kind: int) -> DataFrame:
-        marks = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_mark(earlier=kind == 1), _MARKS)
+        marks = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_mark_suffixes if kind else _mark_samples, _MARKS)
         return marks.select(F.shiftright("block", 32).cast("int").alias("shard"), F.lit(kind).alias("kind"), "block", "lo", "n", "bits")
 
     def beside(marks: DataFrame, f, schema: str) -> DataFrame:
@@ -338,7 +422,7 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False, block: int = BLOCK
 
     samples = marked(dealt.sortWithinPartitions("shard").mapInArrow(_send_samples(buckets, block), _SENT_DDL), 0)
     suffixes = marked(beside(samples, _send_suffixes(buckets, block), _SENT_DDL), 1)
-    return beside(samples.unionByName(suffixes), _finish(with_bytes, block), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return beside(samples.unionByName(suffixes), _finish(with_bytes, buckets, block), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

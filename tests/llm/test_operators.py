@@ -138,6 +138,16 @@ def test_suffixes(docs, empty, block):
     assert suffixes.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [suffixes.BLOCK, 1])
+def test_suffixes_that_tie_by_hash_only(spark, block):
+    one, two, rest = "mlkqklplliooipnj", "nnojooknorlkqklp", "the same thirty-four bytes of both."[:34]
+    both = np.frombuffer((one + rest + two + rest).encode(), np.uint8)
+    assert len(set(suffixes.window_hashes(both, 50, np.array([0, 50])).tolist())) == 1
+    data = [(1, one + rest + "A"), (2, two + rest + "B"), (3, "C" + one + rest), (4, two + rest + "D")]
+    got = suffixes.remove_repeats(spark.createDataFrame(data, "doc_id long, text string"), with_bytes=True, block=block)
+    assert rows(got, "doc_id", "n_removed", "kept") == [(1, 0, data[0][1].encode()), (2, 0, data[1][1].encode()), (3, 50, b"C"), (4, 50, b"D")]
+
+
 def test_cover_has_every_difference():
     assert {(a - b) % suffixes.PERIOD for a in suffixes.COVER for b in suffixes.COVER} == set(range(suffixes.PERIOD))
 
