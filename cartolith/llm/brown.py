@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from collections import Counter
@@ -19,7 +20,7 @@ from .substrings import _pack, _unpack
 #: Classes, rounds of exchange, the smoothing added to counts.
 CLASSES, ROUNDS, ADDED = 32, 8, 0.5
 #: Words clustered one by one, the most frequent; all other words stand in groups by their last two bytes, and each
-#: group is clustered like a word. Words whose counts are broadcast, and the longest such word: both bound a broadcast.
+#: group is clustered like a word, until each word of it gets a class by its own neighbours. Words whose counts and classes are broadcast, and the longest such word: both bound a broadcast.
 OWN, ENDINGS, HEAD, HEAD_BYTES = 8192, 256, 200_000, 64
 #: Text bytes that a task counts before it sends, and buckets for each shuffle partition.
 CHUNK, BUCKETS, CHUNKS_OF_WORDS = 16 << 20, 4, 64
@@ -94,16 +95,17 @@ def _add_words(batches):
 
 
 def _frequent(batches):
-    """Of every bucket the words that may be among the HEAD most frequent."""
+    """Of every bucket the words that may be among the HEAD most frequent, with their classes where those are known."""
     for batch in batches:
         for payload in batch.column(0).to_pylist():
-            words, n = _unpack(payload, None, np.int64)
+            words, n, *more = _unpack(payload, None, np.int64, *[np.int16] * (batch.num_columns - 1))
+            kinds = more[0] if more else np.zeros(len(n), np.int16)
             words = words.split(b" ")
             short = [k for k in np.argsort(-n, kind="stable").tolist() if len(words[k]) <= HEAD_BYTES][:HEAD]
             short = [k for k in short if n[k] > 1]
             for at in range(0, len(short), 20_000):
                 own = short[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([words[k] for k in own], pa.binary()), pa.array(n[own], pa.int64())], ["word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([words[k] for k in own], pa.binary()), pa.array(n[own], pa.int64()), pa.array(kinds[own], pa.int16())], ["word", "n", "kind"])
 
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,59 +246,139 @@ def exchange(pairs: DataFrame) -> np.ndarray:
     return classes
 
 
+def _count_contexts(held, buckets: int):
+    """For every word not clustered one by one the counts of the classes before and after it, sent to its bucket."""
+    size = CLASSES + 1
+
+    @tidied
+    def count(batches):
+        words_own, classes = held.value
+        ids = Ids((w, k) for k, w in enumerate(words_own))
+        local, parts, bytes_held = {}, [], 0
+
+        def sent():
+            keys, n = _summed(np.concatenate(parts), np.ones(sum(map(len, parts)), np.int64))  # noqa: B023
+            words, of, rows = list(local), keys // (2 * size), []  # noqa: B023
+            for b, own in _bucketed(words, buckets):
+                at = np.concatenate([np.arange(x, y) for x, y in zip(np.searchsorted(of, own).tolist(), np.searchsorted(of, own, "right").tolist())])
+                rows.append((b, 1, _pack(b" ".join([words[k] for k in own.tolist()]), np.searchsorted(own, of[at]) * 2 * size + keys[at] % (2 * size), n[at])))
+            for k in range(0, len(rows), 256):
+                yield _rows(rows[k : k + 256], _PART, _KINDS)
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = words_of(text or b"")
+                line = np.full(len(words) + 2, END, np.int64)
+                line[1:-1] = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+                at = np.flatnonzero((line >= OWN) & (line < END))
+                if len(at):
+                    word = np.fromiter((local.setdefault(words[k - 1], len(local)) for k in at.tolist()), np.int64, len(at)) * 2 * size
+                    parts += [word + classes[line[at - 1]], word + size + classes[line[at + 1]]]
+                bytes_held += len(text or b"")
+                if bytes_held >= CHUNK and parts:
+                    yield from sent()
+                    local, parts, bytes_held = {}, [], 0
+        if parts:
+            yield from sent()
+
+    return count
+
+
+def _decide_words(held, matrix: np.ndarray):
+    """The class of every word of a bucket: kind 0 are its counts, kind 1 the classes beside its words."""
+    size = CLASSES + 1
+
+    @tidied
+    def decide(batches):
+        words_own, classes = held.value
+        ids = Ids((w, k) for k, w in enumerate(words_own))
+        for bucket, part in groups(batches, "bucket"):
+            words, n, place = [], np.zeros(0, np.int64), {}
+            keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for batch in part:
+                for kind, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    if kind == 0:
+                        words, n = _unpack(payload, None, np.int64)
+                        words = words.split(b" ")
+                        place = {w: k for k, w in enumerate(words)}
+                    else:
+                        own, k, c = _unpack(payload, None, np.int64, np.int64)
+                        where = np.fromiter(map(place.__getitem__, own.split(b" ")), np.int64)
+                        keys, times = _summed(np.concatenate([keys, where[k // (2 * size)] * 2 * size + k % (2 * size)]), np.concatenate([times, c]))
+            kinds = classes[np.fromiter(map(ids.__getitem__, words), np.int64, len(words))]
+            for a in range(0, len(words), 4096):
+                b = min(a + 4096, len(words))
+                lo, hi = np.searchsorted(keys, [a * 2 * size, b * 2 * size])
+                beside = np.zeros((b - a) * 2 * size, np.int64)
+                beside[keys[lo:hi] - a * 2 * size] = times[lo:hi]
+                beside = beside.reshape(-1, 2, size)
+                kinds[a:b] = better(beside[:, 0], beside[:, 1], kinds[a:b], matrix, np.ones(b - a, bool))
+            yield _rows([(bucket, _pack(b" ".join(words), n, kinds.astype(np.int16)))], ["bucket", "payload"], [pa.int32(), pa.binary()])
+
+    return decide
+
+
 class Model(NamedTuple):
-    """All of fixed size: classes by id, log10 transitions, log10 of the emissions' divisors, log10 base divisor, head words."""
+    """All of fixed size: classes by id, words clustered one by one, counts and classes of head words, texts learnt from."""
 
     classes: np.ndarray
-    transitions: np.ndarray
-    divisors: np.ndarray
-    base: float
     own: list[bytes]
     head: dict[bytes, int]
+    kinds: dict[bytes, int]
     end: int
 
 
-def _distinct_by_class(own, classes: np.ndarray):
-    def count(batches):
-        ids, total = Ids((w, k) for k, w in enumerate(own.value)), np.zeros(CLASSES + 1, np.int64)
-        for batch in batches:
-            for payload in batch.column(0).to_pylist():
-                words = _unpack(payload, None, np.int64)[0].split(b" ")
-                total += np.bincount(classes[np.fromiter(map(ids.__getitem__, words), np.int64, len(words))], minlength=len(total))
-        yield _rows([(total.tobytes(),)], ["payload"], [pa.binary()])
+def _distinct_by_class(batches):
+    total = np.zeros(CLASSES + 1, np.int64)
+    for batch in batches:
+        for payload in batch.column(0).to_pylist():
+            total += np.bincount(_unpack(payload, None, np.int64, np.int16)[2], minlength=len(total))
+    yield _rows([(total.tobytes(),)], ["payload"], [pa.binary()])
 
-    return count
+
+def _by_bucket(df: DataFrame, *order: str) -> DataFrame:
+    return df.repartition("bucket").sortWithinPartitions("bucket", *order)
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame, int]:
-    """The model of the training documents, the table of all their word counts by bucket, and their tokens."""
+def _with_kind(counts: DataFrame) -> DataFrame:
+    return counts.select("bucket", F.lit(0).cast("byte").alias("kind"), "payload")
+
+
+def train(docs: DataFrame) -> tuple[Model, DataFrame, int, int, np.ndarray]:
+    """The model of the training documents, the table of all their words' counts and classes by bucket, their tokens and
+    distinct words, and distinct words by class."""
     spark = docs.sparkSession
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.where(remainder(F.col("doc_id")) != 1).select(F.col("text").cast("binary").alias("text"))
     sent = texts.mapInArrow(_count_words(buckets), "bucket int, payload binary")
-    counts = cut(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_add_words, "bucket int, payload binary, tokens long, words long"))
+    counts = cut(_by_bucket(sent).mapInArrow(_add_words, "bucket int, payload binary, tokens long, words long"))
     end = texts.count()
     n, v = (x or 0 for x in counts.agg(F.sum("tokens"), F.sum("words")).first())
     n, v = n + end, v + (end > 0)
-    head = counts.select("payload").mapInArrow(_frequent, "word binary, n long").orderBy(F.col("n").desc(), "word").limit(HEAD).toArrow()
-    words = head.column("word").to_pylist()
-    own = spark.sparkContext.broadcast(words[:OWN])
+    most = lambda table, *more: table.select("payload", *more).mapInArrow(_frequent, "word binary, n long, kind short").orderBy(F.col("n").desc(), "word")
+    words = most(counts).limit(OWN).select("word").toArrow().column("word").to_pylist()
+    own = spark.sparkContext.broadcast(words)
     sent = texts.mapInArrow(_count_pairs(own, CHUNKS_OF_WORDS), "bucket int, payload binary")
-    pairs = cut(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_add_pairs, "bucket int, payload binary"))
+    pairs = cut(_by_bucket(sent).mapInArrow(_add_pairs, "bucket int, payload binary"))
     classes = exchange(pairs)
     matrix = transition_matrix(pairs, classes)
-    parts = counts.select("payload").mapInArrow(_distinct_by_class(own, classes), "payload binary").collect()
+    drop_cut(pairs)
+    held = spark.sparkContext.broadcast((words, classes))
+    beside = texts.mapInArrow(_count_contexts(held, buckets), _PART_DDL)
+    known = cut(_by_bucket(_with_kind(counts).unionByName(beside), "kind").mapInArrow(_decide_words(held, matrix), "bucket int, payload binary"))
+    drop_cut(counts)
+    head = most(known, F.lit(0).alias("with_kind")).limit(HEAD).toArrow()
+    parts = known.select("payload").mapInArrow(_distinct_by_class, "payload binary").collect()
     distinct = sum((np.frombuffer(r.payload, np.int64) for r in parts), np.zeros(CLASSES + 1, np.int64))
     distinct[CLASSES] += end > 0
-    drop_cut(pairs)
-    transitions = np.log10((matrix + ADDED) / (matrix.sum(axis=1, keepdims=True) + ADDED * (CLASSES + 1)))
-    divisors = np.log10(matrix.sum(axis=0) + ADDED * (distinct + 1))
-    model = Model(classes, transitions, divisors, math.log10(n + ADDED * (v + 1)), words[:OWN], dict(zip(words, head.column("n").to_pylist())), end)
-    return model, counts, n
+    names = head.column("word").to_pylist()
+    model = Model(classes, words, dict(zip(names, head.column("n").to_pylist())), dict(zip(names, head.column("kind").to_pylist())), end)
+    return model, known, n, v, distinct
 
 
 _PART = ["bucket", "kind", "payload"]
 _KINDS = [pa.int32(), pa.int8(), pa.binary()]
+_PART_DDL = "bucket int, kind byte, payload binary"
 
 
 def _signed(x: int) -> int:
@@ -304,80 +386,126 @@ def _signed(x: int) -> int:
 
 
 def _score(held, buckets: int):
-    """Class scores and head words' counts here; all other words go to the bucket that has their counts."""
+    """Head words' counts and class pairs here (kind 2); all other words go to the bucket that has their counts (kind 1),
+    each with the classes beside it, -1 for a word that is no head word, and the next word if that is none."""
 
     @tidied
     def score(batches):
         model: Model = held.value
-        ids, head = Ids((w, k) for k, w in enumerate(model.own)), model.head
+        head, kinds = model.head, model.kinds
         logs = {w: math.log10(c + ADDED) for w, c in head.items()}
-        docs, rest, at, held_bytes = [], [], [], 0
+        docs, lines, tail, held_bytes = [], [], ([], [], [], [], []), 0
 
         def sent():
-            rows = []
-            doc, text = (np.array([d[k] for d in docs], np.int64) for k in (0, 1))  # noqa: B023
-            for b, own in _bucketed(rest, buckets):  # noqa: B023
-                which = np.array(at)[own]  # noqa: B023
-                rows.append((b, 1, _pack(b" ".join([rest[k] for k in own.tolist()]), doc[which], text[which])))  # noqa: B023
-            flags = np.array([d[2] for d in docs], np.int8)  # noqa: B023
-            numbers = np.array([d[3:] for d in docs], float)  # noqa: B023
-            rows.append((int(text[0]) % buckets, 2, _pack(doc, text, flags, numbers)))
+            doc, text, null, learnt = (np.array([d[k] for d in docs], np.int64) for k in range(4))  # noqa: B023
+            numbers = np.array([d[4:] for d in docs], float)  # noqa: B023
+            rows = [(int(text[0]) % buckets, 2, _pack(doc, text, null, learnt, np.ones(len(doc), np.int64), numbers, np.array([len(x) for x in lines], np.int64), np.concatenate(lines)))]  # noqa: B023
+            word, after, at, left, right = tail  # noqa: B023
+            at, left, right = (np.array(x, np.int64) for x in (at, left, right))
+            for b, own in _bucketed(word, buckets):
+                which = at[own]
+                rows.append((b, 1, _pack(b" ".join([word[k] for k in own.tolist()]), b" ".join([after[k] for k in own.tolist()]), doc[which], text[which], learnt[which], left[own], right[own])))
             for k in range(0, len(rows), 256):
                 yield _rows(rows[k : k + 256], _PART, _KINDS)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text, learnt in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 words = words_of(text or b"")
-                line = np.full(len(words) + 2, END, np.int64)
-                line[1:-1] = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-                c = model.classes[line]
-                by_class = float(model.transitions[c[:-1], c[1:]].sum() - model.divisors[c[1:]].sum())
-                tail = [w for w in words if w not in head]
-                known = len(words) - len(tail) + (model.end > 0)
+                line = np.full(len(words) + 2, CLASSES, np.int64)
+                line[1:-1] = np.fromiter((kinds.get(w, -1) for w in words), np.int64, len(words))
+                at = np.flatnonzero(line < 0)
+                known = len(words) - len(at) + (model.end > 0)
                 log = math.log10(model.end + ADDED) + math.fsum([logs[w] for w in words if w in logs])
-                here = len(docs)
-                docs.append((0 if doc_id is None else doc_id, _signed(xxhash.xxh64_intdigest(text or b"", 42)), doc_id is None, len(words) + 1, known, log, by_class))
-                rest += tail
-                at += [here] * len(tail)
+                a, b = line[:-1], line[1:]
+                lines.append((a * (CLASSES + 1) + b)[(a >= 0) & (b >= 0)].astype(np.int16))
+                for k in at.tolist():
+                    for column, x in zip(tail, (words[k - 1], words[k] if line[k + 1] < 0 else b"", len(docs), line[k - 1], line[k + 1])):
+                        column.append(x)
+                docs.append((0 if doc_id is None else doc_id, _signed(xxhash.xxh64_intdigest(text or b"", 42)), doc_id is None, learnt, len(words) + 1, known, log))
                 held_bytes += len(text or b"")
                 if held_bytes >= CHUNK // 4:
                     yield from sent()
-                    docs, rest, at, held_bytes = [], [], [], 0
+                    docs, lines, tail, held_bytes = [], [], ([], [], [], [], []), 0
         if docs:
             yield from sent()
 
     return score
 
 
+def _resolve(held, buckets: int):
+    """Kind 0: a bucket's counts and classes; kind 1: words of documents to look up there.
+
+    A word gives its count, the class pairs with the neighbours whose classes are known, and sends its class on to the
+    next word if that is no head word either; a word that only ends such a pair has -2 as its right class.
+    """
+
+    @tidied
+    def resolve(batches):
+        model: Model = held.value
+        ids, size = Ids((w, k) for k, w in enumerate(model.own)), CLASSES + 1
+        for bucket, part in groups(batches, "bucket"):
+            counts: dict[bytes, tuple[int, int]] = {}
+            for batch in part:
+                for kind, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    if kind == 0:
+                        words, n, kinds = _unpack(payload, None, np.int64, np.int16)
+                        counts = dict(zip(words.split(b" "), zip(n.tolist(), kinds.tolist())))
+                        continue
+                    words, after, doc, text, learnt, left, right = _unpack(payload, None, None, *[np.int64] * 5)
+                    found = [counts.get(w) or (0, int(model.classes[ids[w]])) for w in words.split(b" ")]
+                    n, c = np.array(found, np.int64).T
+                    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])]))
+                    whole = right != -2
+                    of = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(doc))))
+                    code = np.concatenate([(left * size + c)[left >= 0], (c * size + right)[right >= 0]])
+                    of = np.concatenate([of[left >= 0], of[right >= 0]])
+                    log = np.where(whole, np.log10(n + ADDED), 0)
+                    numbers = np.stack([np.zeros(len(new)), np.add.reduceat((whole & (n > 0)).astype(float), new), np.add.reduceat(log, new)], axis=1)
+                    zero = np.zeros(len(new), np.int64)
+                    rows = [(bucket, 2, _pack(doc[new], text[new], zero, learnt[new], zero, numbers, np.bincount(of, minlength=len(new)).astype(np.int64), code[np.argsort(of, kind="stable")].astype(np.int16)))]
+                    on = np.flatnonzero(right == -1)
+                    if len(on):
+                        after = after.split(b" ")
+                        word = [after[k] for k in on.tolist()]
+                        for b, own in _bucketed(word, buckets):
+                            k = on[own]
+                            rows.append((b, 1, _pack(b" ".join([word[x] for x in own.tolist()]), b"", doc[k], text[k], learnt[k], c[k], np.full(len(k), -2, np.int64))))
+                    for k in range(0, len(rows), 256):
+                        yield _rows(rows[k : k + 256], _PART, _KINDS)
+
+    return resolve
+
+
+def _parts(batches):
+    for batch in batches:
+        for payload in batch.column(0).to_pylist():
+            doc, text, null, learnt, copies, numbers, n, codes = _unpack(payload, *[np.int64] * 5, float, np.int64, np.int16)
+            yield doc, text, null, learnt, copies, numbers.reshape(-1, 3), n, codes
+
+
+def _class_pairs(batches):
+    total = np.zeros((CLASSES + 1) ** 2, np.int64)
+    for _, _, _, learnt, _, _, n, codes in _parts(batches):
+        total += np.bincount(codes[np.repeat(learnt > 0, n)], minlength=len(total))
+    yield _rows([(total.tobytes(),)], ["payload"], [pa.binary()])
+
+
 _FOUND = ["doc_id", "text_hash", "is_null", "copies", "n_tokens", "n_known", "log", "by_class"]
 _FOUND_KINDS = [pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 _FOUND_DDL = "doc_id long, text_hash long, is_null byte, copies long, n_tokens long, n_known long, log double, by_class double"
 
 
-@tidied
-def _look_up(batches):
-    """Kind 0: a bucket's counts; 1: words of documents to look up there; 2: what documents have already."""
+def _weigh(weights: np.ndarray):
+    """What documents have, with the log probabilities of their class pairs."""
 
-    def made(*columns):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FOUND_KINDS)], _FOUND)
+    @tidied
+    def weigh(batches):
+        for doc, text, null, _, copies, numbers, n, codes in _parts(batches):
+            by_class = np.bincount(np.repeat(np.arange(len(doc)), n), weights[codes], len(doc))
+            columns = doc, text, null, copies, numbers[:, 0].astype(np.int64), numbers[:, 1].astype(np.int64), numbers[:, 2], by_class
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FOUND_KINDS)], _FOUND)
 
-    for _, part in groups(batches, "bucket"):
-        counts: dict[bytes, int] = {}
-        for batch in part:
-            for kind, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if kind == 0:
-                    words, n = _unpack(payload, None, np.int64)
-                    counts = dict(zip(words.split(b" "), n.tolist()))
-                elif kind == 1:
-                    words, doc, text = _unpack(payload, None, np.int64, np.int64)
-                    c = np.array([counts.get(w, 0) for w in words.split(b" ")])
-                    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])]))
-                    zero = np.zeros(len(new), np.int64)
-                    yield made(doc[new], text[new], zero, zero, zero, np.add.reduceat((c > 0).astype(np.int64), new), np.add.reduceat(np.log10(c + ADDED), new), zero.astype(float))
-                else:
-                    doc, text, flags, numbers = _unpack(payload, np.int64, np.int64, np.int8, float)
-                    numbers = numbers.reshape(-1, 4)
-                    yield made(doc, text, flags, np.ones(len(doc), np.int64), numbers[:, 0].astype(np.int64), numbers[:, 1].astype(np.int64), numbers[:, 2], numbers[:, 3])
+    return weigh
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -388,17 +516,25 @@ def score_documents(docs: DataFrame) -> DataFrame:
     alike, each with a row; without training documents every count is 0; an empty table gives no rows. Columns other
     than doc_id and text are not read. All counts (words, pairs, classes, distinct words) cover all training documents;
     what the driver and the broadcasts hold (head words, classes, matrix) is bounded by OWN, HEAD and CLASSES, and the
-    counts of all other words meet the documents' words in a shuffle.
+    counts and classes of all other words meet the documents' words in a shuffle. Words outside of OWN are given their
+    classes once, after the exchange, each by its own neighbours; words never learnt have the class of their ending.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    model, counts, n = train(docs)
+    model, counts, n, v, distinct = train(docs)
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held = spark.sparkContext.broadcast(model)
-    binary = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sent = binary.mapInArrow(_score(held, buckets), "bucket int, kind byte, payload binary")
-    both = counts.select("bucket", F.lit(0).cast("byte").alias("kind"), "payload").unionByName(sent)
-    found = both.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_look_up, _FOUND_DDL)
+    held, known = spark.sparkContext.broadcast(model), _with_kind(counts)
+    learnt = (remainder(F.col("doc_id")) != 1).cast("int").alias("learnt")
+    binary = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), learnt)
+    parts = [cut(binary.mapInArrow(_score(held, buckets), _PART_DDL))]
+    for _ in range(2):  # words, then the second words of pairs of which neither is a head word
+        sent = known.unionByName(parts[-1].where("kind = 1"))
+        parts.append(cut(_by_bucket(sent, "kind").mapInArrow(_resolve(held, buckets), _PART_DDL)))
+    payloads = functools.reduce(DataFrame.unionByName, [p.where("kind = 2").select("payload") for p in parts])
+    matrix = sum((np.frombuffer(r.payload, np.int64) for r in payloads.mapInArrow(_class_pairs, "payload binary").collect()), np.zeros((CLASSES + 1) ** 2, np.int64)).reshape(CLASSES + 1, -1)
+    weights = np.log10((matrix + ADDED) / (matrix.sum(axis=1, keepdims=True) + ADDED * (CLASSES + 1))) - np.log10(matrix.sum(axis=0) + ADDED * (distinct + 1))
+    base = math.log10(n + ADDED * (v + 1))
+    found = payloads.mapInArrow(_weigh(weights.ravel()), _FOUND_DDL)
     sums = found.groupBy("doc_id", "text_hash").agg(
         F.sum("copies").alias("copies"), F.sum("is_null").alias("nulls"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "log", "by_class"))
     )
@@ -409,7 +545,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     rows = rows.select(doc_id.alias("doc_id"), one("n_tokens").alias("n_tokens"), one("n_known").alias("n_known"), one("log", "double").alias("log"), one("by_class", "double").alias("by_class"))
     return rows.select(
         "doc_id", (remainder(F.col("doc_id")) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("log") - F.col("n_tokens") * F.lit(model.base)).alias("base_score"), (F.col("log") + F.col("by_class")).alias("score"),
+        (F.col("log") - F.col("n_tokens") * F.lit(base)).alias("base_score"), (F.col("log") + F.col("by_class")).alias("score"),
     ).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 

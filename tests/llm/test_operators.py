@@ -237,6 +237,15 @@ def test_brown_learns_classes(spark):
     assert got and sum(r.score for r in got) > sum(r.base_score for r in got) + 0.2 * sum(r.n_tokens for r in got)
 
 
+def test_brown_learns_classes_of_rare_words(spark):
+    """Words of two tongues with one ending, too long for the clustering: only their own neighbours can tell their class."""
+    rnd = random.Random(3)
+    long = lambda k: f"{'xy'[k % 2]}{rnd.randint(0, 60)}{'p' * 64}en"
+    data = [(k, " ".join(rnd.choice((f"{'ab'[k % 2]}{rnd.randint(0, 60)}", long(k))) for _ in range(60))) for k in range(300)]
+    got = brown.score_documents(spark.createDataFrame(data, "doc_id long, text string")).where("held_out").collect()
+    assert got and sum(r.score for r in got) > sum(r.base_score for r in got) + 0.2 * sum(r.n_tokens for r in got)
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rnd, data, marks = random.Random(4), [], []
