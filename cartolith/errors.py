@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
+
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 
 
 class EdgeError(Exception):
@@ -40,6 +44,11 @@ def fingerprint(error: BaseException) -> str:
     return hashlib.sha256(str(error).encode()).hexdigest()[:16]
 
 
+#: What Spark names errors of the data with; anything else that Spark raises (memory, lost executors, permissions) is none.
+_DATA = re.compile(r"MALFORMED_|CANNOT_READ_FILE_FOOTER|is not a Parquet file|INVALID_UTF8|INVALID_GEOMETRY")
+_TYPED = re.compile(r"EdgeError: ([A-Z_]+): ([^\n]*)")
+
+
 def guarded_rows(phase: str, rows):
     """The items of ``rows``; what a third-party decoder raises on the way becomes a typed error with a fingerprint."""
     rows = iter(rows)
@@ -52,10 +61,23 @@ def guarded_rows(phase: str, rows):
 
 
 def guarded(phase: str, f, *args):
-    """Run code of a third-party decoder; anything it raises becomes a typed error with a fingerprint."""
+    """Run code of a third-party decoder; what it finds wrong with the data becomes a typed error with a fingerprint.
+
+    Errors of the machine (memory, files, a lost executor, a failed task) are let through as they are. A typed error that
+    was raised within a Spark task comes back with its code.
+    """
     try:
         return f(*args)
-    except (EdgeError, StopIteration):
+    except (EdgeError, StopIteration, MemoryError):
         raise
+    except (PySparkException, Py4JError) as error:
+        said = str(error)
+        if typed := _TYPED.search(said):
+            raise EdgeError(typed[1], typed[2], phase=phase) from error
+        if not _DATA.search(said):
+            raise
+        raise EdgeError("FORMAT", f"malformed data ({type(error).__name__}, {fingerprint(error)})", phase=phase) from None
     except Exception as error:  # noqa: BLE001
+        if isinstance(error, OSError) and error.errno is not None:  # decoders raise OSErrors without a number
+            raise
         raise EdgeError("FORMAT", f"decoder failed ({type(error).__name__}, {fingerprint(error)})", phase=phase) from None

@@ -14,7 +14,7 @@ from cartolith import cli
 from cartolith.contract import GeometryContract, geometry_of, with_geometry
 from cartolith.crs import CRS84, resolved
 from cartolith.dataset import ReadRequest, open_dataset
-from cartolith.errors import EdgeError
+from cartolith.errors import EdgeError, guarded
 from cartolith.functions import wkb, wkt
 from cartolith.operators.validate import Diagnostics, diagnose
 from cartolith.plans.capabilities import validate_write
@@ -80,8 +80,31 @@ def test_csv_refusals(spark, tmp_path):
     for text in ("a,lon,lat\n1,x,3\n", "a,lon,lat\n1,,3\n"):
         with pytest.raises(Exception, match="INVALID_GEOMETRY"):
             opened(text, **xy).read().collect()
-    with pytest.raises(Exception, match="MALFORMED"):
+    with pytest.raises(EdgeError) as error:
         opened("a,lon,lat\n1,2,3\n1,2\n", **xy).read().collect()
+    assert error.value.code == "FORMAT"
+
+
+def test_only_errors_of_the_data_are_typed(spark):
+    def failing(kind):
+        def rows(batches):
+            raise kind
+
+        return lambda: spark.range(1).mapInArrow(rows, "id long").collect()
+
+    with pytest.raises(EdgeError) as error:
+        guarded("open", failing(EdgeError("LIMIT", "too many rows")))
+    assert error.value.code == "LIMIT"
+    for f in (failing(MemoryError()), failing(ValueError("bad luck"))):
+        with pytest.raises(Exception, match="MemoryError|bad luck") as error:
+            guarded("open", f)
+        assert not isinstance(error.value, EdgeError)
+    for own in (PermissionError(13, "no"), MemoryError()):
+        with pytest.raises(type(own)):
+            guarded("open", lambda: (_ for _ in ()).throw(own))  # noqa: B023
+    with pytest.raises(EdgeError) as error:
+        guarded("open", lambda: int("x"))
+    assert error.value.code == "FORMAT"
 
 
 def test_geojson_refusals(spark, tmp_path):
