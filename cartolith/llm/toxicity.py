@@ -24,6 +24,8 @@ SAMPLE, SAMPLE_BYTES, SEGMENT, RANDOM = {1: 1500, 0: 3000}, 65_536, 12, 8
 FEATURES, CONTEXTS, PURITY = 1 << 18, 10, 0.98
 #: Slots in which documents are counted by feature before contexts are kept of the few that may be toxic.
 SPREAD = 1 << 22
+#: The score of every text where the labels hold no document of one of both kinds.
+UNTRAINED = 0.01
 #: Remembered words in a worker; documents whose chains run side by side.
 MEMORY, SIDE_BY_SIDE = 150_000, 512
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -151,10 +153,10 @@ def _expected(emission: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray
 def fit(texts: list[bytes], toxic: list[bool], seed: int = 0) -> Model:
     """Fit the field on marked tokens (in segments), then the logistic that turns marginals into a document's score.
 
-    Without documents of both labels, the model gives every text the share of toxic ones.
+    Without documents of both labels there is nothing to tell toxic texts by: the model gives every text UNTRAINED, which
+    is under one half, so that nothing is called toxic.
     """
-    rate = (sum(toxic) + 0.5) / (len(toxic) + 1.0)
-    document = np.array([np.log(rate / (1 - rate)), 0.0, 0.0, 0.0])
+    document = np.array([np.log(UNTRAINED / (1 - UNTRAINED)), 0.0, 0.0, 0.0])
     weights, transitions = np.zeros(FEATURES, np.float32), np.zeros((2, 2))
     if len(set(toxic)) < 2:
         return Model(weights, transitions, document)
@@ -297,8 +299,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Toxicity of every whole text: (doc_id, held_out, score, predicted, spans), a row for each row of ``docs``.
 
     Null and empty texts have no tokens and get the logistic's score of none. A null id was never learnt from, so it
-    is held out. Repeated rows score alike; without usable labels every text scores the same; an empty table gives no
-    rows. Columns other than doc_id and text, and of labels other than doc_id and toxic, are not read.
+    is held out. Repeated rows score alike; without labels of both kinds every text scores UNTRAINED, which is not toxic; an
+    empty table gives no rows. Columns other than doc_id and text, and of labels other than doc_id and toxic, are not read.
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
     scored = docs.select("doc_id", held_out.alias("held_out"), toxicity_column(docs.sparkSession, train(docs, labels), F.col("text")).alias("found"))
@@ -306,9 +308,13 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose toxicity is under 0.5, with their columns."""
+    """The rows of ``docs`` whose toxicity is under 0.5, with their columns.
+
+    Null and empty texts have no toxic token and stay as the logistic says; null ids and repeated rows are judged by their
+    text alone; without labels of both kinds, and so with an empty ``labels``, all rows stay; no rows give none.
+    """
     return docs.where(toxicity_column(docs.sparkSession, train(docs, labels), F.col("text"))["score"] < 0.5)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("spans")
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
