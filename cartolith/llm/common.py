@@ -163,6 +163,52 @@ def components(edges: DataFrame, reduced: bool = False) -> DataFrame:
     return out
 
 
+def slice_hashes(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, step: int = 1 << 21) -> np.ndarray:
+    """A 64-bit hash of each slice of the bytes; slices are not empty, ascend and don't overlap. Worked out in pieces of ``step``."""
+    out = np.empty(len(starts), np.uint64)
+    edges = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(flat), step)), len(starts)))
+    for a, b in zip(edges.tolist(), edges[1:].tolist()):
+        n = sizes[a:b]
+        before = np.cumsum(n) - n
+        at = np.arange(int(n.sum()))
+        offset = at - np.repeat(before, n)
+        terms = _powers(int(n.max()))[offset]
+        terms *= flat[offset + np.repeat(starts[a:b], n)].astype(np.uint64) + np.uint64(1)
+        out[a:b] = np.add.reduceat(terms, before)
+    x = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _powers(n: int) -> np.ndarray:
+    out = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def distinct_slices(raw: bytes, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Each slice's place among the distinct ones, and the number of a slice that stands for each; compared by hash, then by bytes."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    new = np.ones(len(order), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    lead = order[new]
+    same = bool((sizes[lead][place] == sizes).all())
+    for a in range(0, len(starts) if same else 0, step):
+        n, own = sizes[a : a + step], starts[a : a + step]
+        at = np.arange(int(n.sum())) + np.repeat(own - (np.cumsum(n) - n), n)
+        if (flat[at] != flat[at + np.repeat(starts[lead[place[a : a + step]]] - own, n)]).any():
+            same = False
+            break
+    if not same:  # two share a hash: group all by their bytes
+        numbers: dict[bytes, int] = {}
+        place = np.fromiter((numbers.setdefault(raw[x : x + m], len(numbers)) for x, m in zip(starts.tolist(), sizes.tolist())), np.int64, len(starts))
+        _, lead = np.unique(place, return_index=True)
+    return place, lead
+
+
 def groups(batches, key: str):
     """Rows of a partition sorted by ``key``, as (key, iterator over record batches) without holding a group."""
     state = {"batch": None, "it": iter(batches)}

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import sys
 import uuid
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -15,15 +13,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, groups, shared_dir, table, tidied
+from .common import bound_batches, distinct_slices, groups, shared_dir, slice_hashes, table, tidied
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 0
 #: Bounds of the sample that the dictionary is trained on (documents, bytes of each), its size, and payload bytes in a block.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, BLOCK_BYTES = 512, 65_536, 65_536, 1 << 20
-#: Shards that one task packs into one file: fewer, larger files.
-SHARDS_A_FILE = 4
-#: Pieces whose ids a worker remembers.
-MEMORY = 300_000
+#: What stands for a null id, which comes before all others.
+NO_ID = -(1 << 63)
+#: Pieces whose ids a worker remembers, and bytes of texts that it works on at once.
+MEMORY, HELD = 400_000, 2 << 20
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -39,77 +37,147 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + k for k, b in enumerate(other)}
 
 
-class Pieces(dict):
-    """Serialized ids of what follows a blank (or, without ``lead``, a line's end), remembered up to a bound.
-
-    Letters alone are one word of the tokenizer's pattern and go to its model; closing marks after them, and a line's end
-    between others than white space, are words of their own; anything else goes through the whole tokenizer.
-    """
-
-    letters, marks = _byte_letters(), ".,;:!?"
-
-    def __init__(self, tokenizer, kind: str, lead: str = " ") -> None:
-        self.tokenizer, self.tokenize, self.kind, self.lead, self.closing = tokenizer, tokenizer.model.tokenize, kind, lead, {"": b""}
-        self.code, self.ascii_lead = {"<u2": "H", "<u4": "I"}[kind], lead.encode().decode("latin-1").translate(self.letters)
-        self.unled = Pieces(tokenizer, kind, "") if lead else self
-
-    def packed(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.kind).tobytes()
-
-    def whole(self, text: str) -> bytes:
-        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def __missing__(self, piece: str) -> bytes:
-        word = piece.rstrip(self.marks)
-        if not word.isalpha():
-            left, line, right = piece.partition("\n")
-            if line and left and right and not left[-1].isspace() and not right[0].isspace():
-                found = self[left] + self.mark("\n") + self.unled[right]
-            else:
-                found = self.whole(self.lead + piece)
-        elif word != piece:
-            found = self[word] + self.mark(piece[len(word) :])
-        else:
-            letters = self.ascii_lead + word if word.isascii() else (self.lead + word).encode().decode("latin-1").translate(self.letters)
-            found = self.packed([t.id for t in self.tokenize(letters)])
-        if len(self) < MEMORY:
-            self[piece] = found
-        return found
-
-    def mark(self, text: str) -> bytes:
-        if text not in self.closing:
-            self.closing[text] = self.whole(text)
-        return self.closing[text]
+#: Kinds of bytes: ASCII letters, closing marks, blanks, line ends, other ASCII white space; the rest is 0.
+_LETTER, _MARK, _BLANK, _LINE, _SPACE = range(1, 6)
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[list(b".,;:!?")] = _MARK
+_KIND[32], _KIND[10] = _BLANK, _LINE
+_KIND[[9, 11, 12, 13, 28, 29, 30, 31]] = _SPACE
 
 
 class Encoder:
-    """Whole-text encoding that remembers the ids of pieces between blanks.
-
-    A byte-level tokenizer with the usual word pattern never joins characters across a single blank that stands between
-    others than blanks, the blank opening the next piece. So a text without double blanks is the sequence of its
-    blank-led pieces, and those of few distinct forms are worked out once. Other texts, and those that may hold a
-    special token, go through the tokenizer whole.
+    """Whole-text encoding of many texts at once, in which each distinct piece is tokenized once.
+
+    The usual byte-level word pattern never joins characters across a blank or a line's end that stands alone between
+    others than white space, nor an ASCII letter and a mark that follows it. So such texts are the sequence of their
+    pieces: words led by a blank, words led by nothing, line ends, and what follows from a closing mark on. Pieces are cut
+    and grouped as arrays, by hash and then by bytes. Words of letters alone go to the tokenizer's own model together;
+    pieces of other kinds go through the whole tokenizer. Texts with other white space, and those that may hold a special
+    token, go through it whole.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = Pieces(self.tokenizer, self.kind)
+        self.width = np.dtype(self.kind).itemsize
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[bytes, bytes] = {}
         parts = str(self.tokenizer.pre_tokenizer)
         self.split = self.tokenizer.normalizer is None and parts == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
+        # The model alone, on words that are separated by blanks and written in its own letters.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters, self.lead = _byte_letters(), chr(_byte_letters()[32])
+        letters = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(letters.values(), default=0) + 1, bool)
+        self.opens[[k for t, k in letters.items() if t[:1] == self.lead]] = True
+
+    def packed(self, ids) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _led(self, tokenizer, pieces: list[bytes], texts: list[str], alone) -> dict[bytes, bytes]:
+        """Ids of blank-led pieces that are encoded as one text and cut where a token opens with a blank."""
+        if not pieces:
+            return {}
+        ids = np.array(tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, np.int64)
+        at = np.flatnonzero(self.opens[ids])
+        if len(at) != len(pieces) or at[0]:  # a vocabulary that does not open words so
+            return {p: alone(p) for p in pieces}
+        raw, ends = ids.astype(self.kind).tobytes(), (np.append(at, len(ids)) * self.width).tolist()
+        return {p: raw[a:b] for p, a, b in zip(pieces, ends, ends[1:])}
+
+    def learn(self, pieces: list[bytes]) -> tuple[dict[bytes, bytes], set[bytes]]:
+        """Ids of pieces not known yet, and those that hold white space beyond ASCII."""
+        found, odd, led, texts, others, unled = {}, set(), [], [], [], []
+        for piece in pieces:
+            word = piece[1:] if piece[:1] == b" " else piece
+            if word.isalpha():  # ASCII letters
+                if word is piece:
+                    unled.append((piece, piece.decode()))
+                else:
+                    led.append(piece)
+                    texts.append(f" {self.lead}{word.decode()}")
+            else:
+                own = word.decode()
+                if own.split() != [own] and piece != b"\n":
+                    odd.add(piece)
+                elif own.isalpha():
+                    letters = word.decode("latin-1").translate(self.letters)
+                    if word is piece:
+                        unled.append((piece, letters))
+                    else:
+                        led.append(piece)
+                        texts.append(f" {self.lead}{letters}")
+                elif word is piece:
+                    found[piece] = self.whole(own)
+                else:
+                    others.append(piece)
+        for piece, letters in unled:
+            found[piece] = self.packed([t.id for t in self.tokenizer.model.tokenize(letters)])
+        found |= self._led(self.words, led, texts, lambda p: self.whole(p.decode()))
+        found |= self._led(self.tokenizer, others, [p.decode() for p in others], lambda p: self.whole(p.decode()))
+        for piece in list(found)[: max(0, MEMORY - len(self.known))]:
+            self.known[piece] = found[piece]
+        return found, odd
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts (UTF-8), as the file holds them before compression."""
+        out = [b""] * len(texts)
+        cut = [k for k, t in enumerate(texts) if t and self.split and not any(s in t for s in self.special)]
+        rest = [k for k, t in enumerate(texts) if t and not (self.split and not any(s in t for s in self.special))]
+        if cut:
+            found = self._pieces([texts[k] for k in cut])
+            for k, ids in zip(cut, found):
+                if ids is None:
+                    rest.append(k)
+                else:
+                    out[k] = ids
+        for k in rest:
+            out[k] = self.whole(texts[k].decode())
+        return out
+
+    def _pieces(self, texts: list[bytes]) -> list[bytes | None]:
+        """Ids of texts as the sequence of their pieces; None for those that must be encoded whole."""
+        sizes = np.array([len(t) for t in texts])
+        first = np.cumsum(sizes + 1) - sizes - 1
+        raw = b"\n".join(texts) + b"\n"  # a line's end closes each text and is left out of its ids
+        flat = np.frombuffer(raw, np.uint8)
+        kind = _KIND[flat]
+        space = kind >= _BLANK
+        doc = lambda at: np.searchsorted(first, at, side="right") - 1
+        odd = np.zeros(len(texts), bool)
+        odd[doc(np.flatnonzero(space[1:] & space[:-1]))] = True
+        odd[doc(np.flatnonzero(kind == _SPACE))] = True
+        begins = space.copy()
+        begins[0] = True
+        begins[1:] |= (kind[:-1] == _LINE) | ((kind[1:] == _MARK) & (kind[:-1] == _LETTER))
+        starts = np.flatnonzero(begins)
+        sizes_of = np.diff(np.append(starts, len(flat)))
+        place, lead = distinct_slices(raw, flat, starts, sizes_of, slice_hashes(flat, starts, sizes_of))
+        distinct = [raw[x : x + m] for x, m in zip(starts[lead].tolist(), sizes_of[lead].tolist())]
+        fresh, strange = self.learn([p for p in distinct if p not in self.known])
+        if strange:
+            odd[doc(starts[np.array([p in strange for p in distinct])[place]])] = True
+        ids = [self.known.get(p) or fresh.get(p, b"") for p in distinct]
+        long = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        pool, at = np.frombuffer(b"".join(ids), self.kind), (np.cumsum(long) - long)[place]
+        took = long[place]
+        ends = np.cumsum(took)
+        tokens = pool[np.repeat(at - ends + took, took) + np.arange(int(took.sum()))].tobytes()
+        # Of each text the tokens from its first piece to the line's end that closes it.
+        to = np.concatenate([[0], ends])
+        lo, hi = np.searchsorted(starts, first), np.searchsorted(starts, first + sizes)
+        return [None if skip else tokens[x : x + m] for skip, x, m in zip(odd.tolist(), (to[lo] * self.width).tolist(), ((to[hi] - to[lo]) * self.width).tolist())]
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text, as the file holds them before compression."""
-        if not self.split or not text or "  " in text or any(s in text for s in self.special):
-            return self.pieces.whole(text)
-        first, _, rest = text.partition(" ")
-        if not rest and len(first) == len(text):
-            return self.pieces.whole(text)
-        return self.pieces.whole(first) + b"".join(map(self.pieces.__getitem__, rest.split(" ")))
+        return self.encode_all([text.encode()])[0]
 
 
 @functools.cache
@@ -120,9 +188,10 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _serialized(text: str, own: Encoder) -> bytes:
-    """A document's ids with the end id."""
-    return own.encode(text) + np.array([END_ID], own.kind).tobytes()
+def _serialized(texts: list[bytes], own: Encoder) -> list[bytes]:
+    """Documents' ids with the end id."""
+    end = np.array([END_ID], own.kind).tobytes()
+    return [ids + end for ids in own.encode_all(texts)]
 
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
@@ -131,7 +200,7 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
     chosen = hashed.select("h").orderBy("h").limit(SAMPLE_DOCS).distinct().collect()
     rows = hashed.where(F.col("h").isin([r.h for r in chosen])).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect() if chosen else []
     own = encoder(path)
-    samples = [_serialized(r.text, own) for r in rows]
+    samples = _serialized([r.text.encode() for r in rows], own)
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples: a raw prefix serves
@@ -143,20 +212,34 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict:
 
 
 def _texts(batches):
+    """Ids and texts, some megabytes at a time; a longer text comes alone."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            own = batch.slice(at, 256)
-            yield own.column(0).to_pylist(), [x or "" for x in own.column(1).to_pylist()]
-
-
-def _compressor(path: str, raw, bounds: list[int]):
+        ids, texts, held = [], [], 0
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+            own = text.as_py() or b""
+            if texts and held + len(own) > HELD:
+                yield ids, texts
+                ids, texts, held = [], [], 0
+            ids.append(i)
+            texts.append(own)
+            held += len(own)
+        if ids:
+            yield ids, texts
+
+
+def _compressor(path: str, raw, bounds: np.ndarray):
     @tidied
     def compress(batches):
         own = encoder(path)
         press = zstandard.ZstdCompressor(level=1, dict_data=_dictionary(raw.value) if raw.value else None, write_content_size=True)
         for ids, texts in _texts(batches):
-            done = [_serialized(x, own) for x in texts]
-            shard = np.searchsorted(bounds, [-(1 << 63) if i is None else i for i in ids], side="left").astype(np.int32)
+            done = _serialized(texts, own)
+            key = np.array([NO_ID if i is None else i for i in ids], np.int64)
+            shard, beyond = np.searchsorted(bounds, key, side="left"), np.searchsorted(bounds, key, side="right")
+            # An id that fills several ranges is dealt to them by the texts.
+            many = np.flatnonzero(beyond > shard + 1)
+            shard[many] += np.array([zlib.crc32(texts[k]) % m for k, m in zip(many.tolist(), (beyond - shard)[many].tolist())], np.int64)
+            shard = shard.astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(shard), pa.array(ids, pa.int64()), pa.array([len(x) // np.dtype(own.kind).itemsize for x in done], pa.int64()), pa.array([press.compress(x) for x in done], pa.binary())], ["shard", "doc_id", "n_tokens", "payload"]
             )
@@ -204,7 +287,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
     in that order run through the documents by ascending doc_id, null ids first. A row has the dictionary's hash, the
     tokens of its shard before it, and for its documents the ids, the token counts, the offsets and the payload of
     separately compressed frames, so that one document is read by its offsets alone. Null texts are empty texts (just
-    the end id); rows with one id are written one by one, ordered by their frames; an empty table writes empty tables.
+    the end id); rows with one id are written one by one, in an order fixed by their texts, and where they fill several
+    ranges they are dealt to them by their texts; an empty table writes empty tables.
     Spark's committer publishes both tables, so a lost executor leaves no partial file.
     """
     spark = docs.sparkSession
@@ -212,13 +296,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
     tokenizer = tokenizer or tokenizer_path()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = docs.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)] or [1.0], 10_000).alias("b")).first().b or []
+    key = F.coalesce("doc_id", F.lit(NO_ID))
+    bounds = docs.agg(F.percentile_approx(key, [k / shards for k in range(1, shards)] or [1.0], 10_000).alias("b")).first().b or []
     raw = train_dictionary(docs, tokenizer)
     name, kind = hashlib.sha256(raw).hexdigest(), encoder(tokenizer).kind
-    frames = docs.mapInArrow(_compressor(tokenizer, spark.sparkContext.broadcast(raw), sorted(set(bounds))), "shard int, doc_id long, n_tokens long, payload binary")
-    blocks = frames.repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "payload").mapInArrow(_packer(name, kind), _BLOCK_DDL)
+    frames = docs.mapInArrow(_compressor(tokenizer, spark.sparkContext.broadcast(raw), np.array(sorted(bounds), np.int64)), "shard int, doc_id long, n_tokens long, payload binary")
+    blocks = frames.repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "payload").mapInArrow(_packer(name, kind), _BLOCK_DDL)
     # Payloads are compressed already; a second codec would only hold a buffer as large as a page of them.
-    blocks.coalesce(max(1, shards // SHARDS_A_FILE)).write.option("compression", "none").parquet(f"{path}/blocks")
+    blocks.write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(name, bytearray(raw))], "hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
 
