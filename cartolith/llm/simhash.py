@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
 
-from .common import bound_batches, components, cut, groups, star_edges, table
+from .common import bound_batches, components, cut, drop_cut, groups, star_edges, table
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: Fingerprint bits are cut into parts of 16; of two fingerprints with 4 or fewer differing bits one part differs in 1 at most.
-PARTS, PART_BITS, LEAF = 4, 16, 64
+#: Parts of a fingerprint as (lowest bit, bits, radius): their radii, each with one added, sum up to more than RADIUS.
+PARTS, ALL = ((0, 22, 1), (22, 22, 1), (44, 20, 0)), np.uint64((1 << 64) - 1)
+#: Fingerprints that trees are made from at most, sampled ones to a leaf at least, fingerprints that a shard shall hold,
+#: that are dealt at once, and that are compared one by one in a shard's own tree.
+SAMPLE, LEAST, SHARD, DEAL, LEAF = 1 << 16, 8, 1 << 14, 1 << 18, 256
 
 
 def fingerprint(text: bytes) -> int:
@@ -52,106 +53,226 @@ def fingerprint_of(text: Column) -> Column:
 
 
 class VantageTree:
-    """A vantage-point tree over all values of one part, and the leaves that each value's ball of radius 1 overlaps.
+    """A vantage-point tree over fingerprints, by the Hamming distance of the bits in ``mask``.
 
-    A node splits its values by their distance to a vantage value; a ball visits the rings that the triangle bound
-    leaves, and of the leaves so reached those which hold a value within the radius. The space of values is fixed
-    (65,536), so the tree's size does not depend on the data.
+    A node holds a vantage point and a distance: fingerprints no farther from the point go to the inner child, others to
+    the outer. The points are those given (a bounded sample), and any fingerprint has its leaf. Of some vantage points and
+    distances near the median the pair is taken that the fewest balls of ``radius`` overlap. Points that are all equal
+    under the mask cannot be split and stay in one leaf.
     """
 
-    def __init__(self, bits: int = PART_BITS, leaf: int = LEAF, radius: int = 1, seed: int = 7) -> None:
-        self.home = np.zeros(1 << bits, np.int32)
-        reached: list[tuple[np.ndarray, int]] = []
-        rng, count = np.random.default_rng(seed), 0
-        todo = [(np.arange(1 << bits, dtype=np.uint32), np.arange(1 << bits, dtype=np.uint32))]
+    TRIES = 8
+
+    def __init__(self, points: np.ndarray, mask: int, radius: int, leaves: int, seed: int = 7) -> None:
+        self.mask, self.radius = np.uint64(mask), radius
+        vantage, split, child = [], [], []
+        rng, self.leaves = np.random.default_rng(seed), 0
+        size = max(1, len(points) // max(1, leaves))
+        todo: list[tuple[np.ndarray, int, int]] = [(points & self.mask, -1, 0)]
         while todo:
-            members, balls = todo.pop()
-            if len(members) <= leaf:
-                self.home[members] = count
-                near = np.bitwise_count(balls[:, None] ^ members[None, :]).min(axis=1) <= radius
-                reached.append((balls[near], count))
-                count += 1
+            own, parent, side = todo.pop()
+            found = self._best(own, rng) if len(own) > size else None
+            if found is None:
+                here, self.leaves = -1 - self.leaves, self.leaves + 1
+            else:
+                here, (point, at, near) = len(vantage), found
+                vantage.append(point)
+                split.append(at)
+                child.append([0, 0])
+                todo += [(own[~near], here, 1), (own[near], here, 0)]
+            if parent >= 0:
+                child[parent][side] = here
+        self.vantage, self.split = np.array(vantage, np.uint64), np.array(split, np.int64)
+        self.child = np.array(child, np.int64).reshape(-1, 2)
+
+    def _best(self, own: np.ndarray, rng) -> tuple | None:
+        best = None
+        for point in own[rng.integers(0, len(own), self.TRIES)]:
+            apart = np.bitwise_count(own ^ point).astype(np.int64)
+            upto = np.cumsum(np.bincount(apart, minlength=66))
+            inner = np.arange(int(apart.max()))
+            inner = inner[(upto[inner] >= len(own) // 4) & (upto[inner] <= len(own) - len(own) // 4)] if len(own) > 8 else inner
+            inner = inner if len(inner) else np.arange(int(apart.max()))
+            if not len(inner):
                 continue
-            vantage = members[rng.integers(len(members))]
-            to_member, to_ball = np.bitwise_count(members ^ vantage).astype(int), np.bitwise_count(balls ^ vantage).astype(int)
-            if (to_member == to_member[0]).all():
-                todo += [(half, balls) for half in np.array_split(members, 2)]
-                continue
-            for ring in np.unique(to_member):
-                todo.append((members[to_member == ring], balls[np.abs(to_ball - ring) <= radius]))
-        self.leaves = count
-        value, leaves = np.concatenate([b for b, _ in reached]), np.concatenate([np.full(len(b), k, np.int32) for b, k in reached])
-        order = np.argsort(value, kind="stable")
-        self.visits = leaves[order]
-        self.first = np.searchsorted(value[order], np.arange((1 << bits) + 1))
-
-
-@functools.cache
-def _tree() -> VantageTree:
-    return VantageTree()
-
-
-def _route(batches):
-    """Each fingerprint goes home to one leaf of each part's tree, and as a visitor to all leaves that its ball overlaps."""
-    tree = _tree()
-    for batch in batches:
-        fp = np.asarray(batch.column(0)).view(np.uint64)
-        for part in range(PARTS):
-            value = ((fp >> np.uint64(part * PART_BITS)) & np.uint64(0xFFFF)).astype(np.int64)
-            n = tree.first[value + 1] - tree.first[value]
-            at = np.repeat(tree.first[value], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            shard = np.concatenate([tree.home[value], tree.visits[at]]) + part * tree.leaves
-            role = np.concatenate([np.zeros(len(fp), np.int8), np.ones(len(at), np.int8)])
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(role), pa.array(np.concatenate([fp, np.repeat(fp, n)]).view(np.int64))], ["shard", "role", "fp"])
-
-
-def _near(home: np.ndarray, visitor: np.ndarray):
-    """Index pairs within RADIUS, in blocks; visitors meet only the rings around a vantage that the triangle bound leaves."""
-    vantage = home[len(home) // 2]
-    to_home = np.bitwise_count(home ^ vantage)
-    order = np.argsort(to_home, kind="stable")
-    home, at = home[order], np.searchsorted(to_home[order], np.arange(66))
-    to_visitor = np.bitwise_count(visitor ^ vantage).astype(int)
-    for ring in np.unique(to_visitor):
-        own = np.flatnonzero(to_visitor == ring)
-        lo, hi = at[max(0, ring - RADIUS)], at[min(65, ring + RADIUS + 1)]
-        if lo == hi:
+            # Balls around points from just inside to just outside reach both children.
+            both = upto[np.minimum(inner + self.radius, 65)] - np.where(inner >= self.radius, upto[np.maximum(inner - self.radius, 0)], 0)
+            k = int(np.lexsort((np.abs(2 * upto[inner] - len(own)), both))[0])
+            if best is None or both[k] < best[0]:
+                best = both[k], point, int(inner[k]), apart <= inner[k]
+        return best and best[1:]
+
+    def leaves_of(self, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(index of a fingerprint, leaf) for all leaves that its ball of ``radius`` may overlap; its own leaf for 0."""
+        own = fp & self.mask
+        rows, node = np.arange(len(own)), np.full(len(own), 0 if len(self.vantage) else -1)
+        done = []
+        while len(rows):
+            ended = node < 0
+            done.append((rows[ended], -1 - node[ended]))
+            rows, node = rows[~ended], node[~ended]
+            apart, at = np.bitwise_count(own[rows] ^ self.vantage[node]).astype(np.int64), self.split[node]
+            inner, outer = apart - radius <= at, apart + radius > at
+            rows, node = np.concatenate([rows[inner], rows[outer]]), np.concatenate([self.child[node[inner], 0], self.child[node[outer], 1]])
+        return np.concatenate([r for r, _ in done]), np.concatenate([n for _, n in done])
+
+
+def trees_of(sample: np.ndarray, fingerprints: int) -> list[VantageTree]:
+    """A tree for each part, with as many leaves as shards of SHARD fingerprints, or as the sample can tell apart."""
+    leaves = min(-(-fingerprints // SHARD), max(1, len(sample) // LEAST))
+    return [VantageTree(sample, ((1 << bits) - 1) << shift, radius, leaves) for shift, bits, radius in PARTS]
+
+
+def _route(trees, first: list[int]):
+    """Each fingerprint goes home to one leaf of each part's tree, and visits the later leaves that its ball overlaps."""
+
+    def routed(fp: np.ndarray):
+        for tree, base in zip(trees.value, first):
+            rows, leaf = tree.leaves_of(fp, 0)
+            home = np.empty(len(fp), np.int64)
+            home[rows] = leaf
+            sent = [(home, np.zeros(len(fp), np.int8), np.arange(len(fp)))]
+            if tree.radius:
+                rows, leaf = tree.leaves_of(fp, tree.radius)
+                later = leaf > home[rows]
+                sent.append((leaf[later], np.ones(int(later.sum()), np.int8), rows[later]))
+            leaf, role, rows = (np.concatenate([x[k] for x in sent]) for k in range(3))
+            order = np.lexsort((role, leaf))
+            leaf, role, values = leaf[order], role[order], fp[rows[order]].astype("<u8")
+            edges = np.flatnonzero(np.concatenate([[True], (leaf[1:] != leaf[:-1]) | (role[1:] != role[:-1]), [True]])) if len(leaf) else np.zeros(1, int)
+            payload = [values[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+            at = edges[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array((leaf[at] + base).astype(np.int32)), pa.array(role[at]), pa.array(payload, pa.binary())], ["shard", "role", "payload"])
+
+    def route(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(np.asarray(batch.column(0)).view(np.uint64))
+            size += batch.num_rows
+            if size >= DEAL:
+                yield from routed(np.concatenate(held))
+                held, size = [], 0
+        if held:
+            yield from routed(np.concatenate(held))
+
+    return route
+
+
+def near_pairs(home: np.ndarray, visitor: np.ndarray, mask: int, radius: int, done: list | None = None):
+    """Index pairs (home, visitor) whose fingerprints differ in RADIUS bits or fewer, if they differ in ``radius`` or fewer under the mask.
+
+    A vantage-point tree made on the way: home fingerprints fall into rings around a vantage point, and visitors enter the
+    rings that the triangle bound leaves; first by the bits of the mask, where those are all equal by all bits. done:
+    gets the number of comparisons.
+    """
+    todo = [(np.arange(len(home)), np.arange(len(visitor)), np.uint64(mask), radius)]
+    while todo:
+        h, v, bits, reach = todo.pop()
+        if not len(h) or not len(v):
             continue
-        step = max(1, 4_000_000 // (hi - lo))
-        for k in range(0, len(own), step):
-            v, h = np.nonzero(np.bitwise_count(visitor[own[k : k + step], None] ^ home[None, lo:hi]) <= RADIUS)
-            yield own[k : k + step][v], order[lo + h]
+        if len(h) > LEAF:
+            point = home[h[len(h) // 2]]
+            to_home = np.bitwise_count((home[h] ^ point) & bits)
+            if (to_home == to_home[0]).all():
+                if bits != ALL:
+                    todo.append((h, v, ALL, RADIUS))
+                    continue
+            else:
+                to_visitor = np.bitwise_count((visitor[v] ^ point) & bits).astype(np.int64)
+                if done is not None:
+                    done.append(len(h) + len(v))
+                order_h, order_v = np.argsort(to_home, kind="stable"), np.argsort(to_visitor, kind="stable")
+                at_h, at_v = np.searchsorted(to_home[order_h], np.arange(66)), np.searchsorted(to_visitor[order_v], np.arange(66))
+                for ring in np.flatnonzero(np.diff(at_h)).tolist():
+                    own = v[order_v[at_v[max(0, ring - reach)] : at_v[min(65, ring + reach + 1)]]]
+                    todo.append((h[order_h[at_h[ring] : at_h[ring + 1]]], own, bits, reach))
+                continue
+        step = max(1, 1_000_000 // len(h))
+        if done is not None:
+            done.append(len(h) * len(v))
+        own = home[h]
+        for k in range(0, len(v), step):
+            x, y = np.nonzero(np.bitwise_count(visitor[v[k : k + step], None] ^ own) <= RADIUS)
+            if len(x):
+                yield h[y], v[k + x]
 
 
-def _search(batches):
+def _search(parts: list[tuple[int, int]], first: list[int]):
     """Links within each shard, reduced to a spanning forest for every batch of visitors."""
-    for _, part in groups(batches, "shard"):
-        home: list[np.ndarray] = []
-        for batch in part:
-            role, fp = np.asarray(batch.column(1)), np.asarray(batch.column(2)).view(np.uint64)
-            home.append(fp[role == 0])
-            visitor = fp[role == 1]
-            if not len(visitor):
-                continue
-            home = [np.concatenate(home)]
-            if not len(home[0]):
-                continue
-            ids = np.concatenate([home[0], visitor])
-            for v, h in _near(home[0], visitor):
-                live = home[0][h] < visitor[v]
-                used, ends = np.unique(np.concatenate([h[live], v[live] + len(home[0])]), return_inverse=True)
-                a, b = star_edges(ends[: live.sum()], ends[live.sum() :], ids[used].view(np.int64))
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def links(home: np.ndarray, visitor: np.ndarray, part: int):
+        mask, radius = parts[part]
+        ids = np.concatenate([home, visitor]).view(np.int64)
+        held, size = [], 0
+
+        def forest():
+            h, v = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            used, ends = np.unique(np.concatenate([h, v + len(home)]), return_inverse=True)
+            a, b = star_edges(ends[: len(h)], ends[len(h) :], ids[used])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for h, v in near_pairs(home, visitor, mask, radius):
+            live = home[h] != visitor[v]
+            held.append((h[live], v[live]))
+            size += int(live.sum())
+            if size > 1 << 20:
+                yield forest()
+                held, size = [], 0
+        if size:
+            yield forest()
+
+    def search(batches):
+        for shard, group in groups(batches, "shard"):
+            part, home, whole = int(np.searchsorted(first, shard, side="right") - 1), [], None
+            for batch in group:
+                for role, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    own = np.frombuffer(payload, "<u8")
+                    if role == 0:
+                        home.append(own)
+                        continue
+                    if not home:
+                        continue
+                    if whole is None:
+                        whole = np.concatenate(home)
+                        yield from links(whole, whole, part)
+                    yield from links(whole, own, part)
+            if whole is None and home:
+                whole = np.concatenate(home)
+                yield from links(whole, whole, part)
+
+    return search
 
 
 def fingerprint_components(fingerprints: DataFrame) -> DataFrame:
-    """Components of distinct fingerprints (fp: long) whose Hamming distance is 4 or less: (id, component) of linked ones."""
-    shards = fingerprints.select("fp").mapInArrow(_route, "shard int, role byte, fp long")
-    links = shards.repartition("shard").sortWithinPartitions("shard", "role").mapInArrow(_search, "a long, b long")
+    """Components of distinct fingerprints (fp: long) whose Hamming distance is 4 or less: (id, component) of linked ones.
+
+    Fingerprints are cut into three parts; of two within 4 bits one part differs in no more than its radius (1, 1 or 0),
+    since otherwise they differ in 2 + 2 + 1 bits. Each part has a vantage-point tree over a bounded sample of the
+    fingerprints, whose leaves are the shards.
+    """
+    spark = fingerprints.sparkSession
+    sample = fingerprints.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toArrow().column("fp").to_numpy().view(np.uint64)
+    trees = trees_of(sample, fingerprints.count())
+    first = np.cumsum([0, *(t.leaves for t in trees[:-1])]).tolist()
+    parts = [(int(t.mask), t.radius) for t in trees]
+    sent = fingerprints.select("fp").mapInArrow(_route(spark.sparkContext.broadcast(trees), first), "shard int, role byte, payload binary")
+    links = sent.repartition("shard").sortWithinPartitions("shard", "role").mapInArrow(_search(parts, first), "a long, b long")
     return components(links, reduced=True)
 
 
+def _grouped(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """Tables of all rows' fingerprints (doc_id, text_hash, fp), and of each fingerprint's component and least row in it."""
+    bound_batches(docs.sparkSession)
+    text = F.col(text_column)
+    prints = cut(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), fingerprint_of(text).alias("fp")))
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))
+    distinct = cut(prints.groupBy("fp").agg(F.min(row).alias("first")))
+    linked = fingerprint_components(distinct)
+    named = cut(distinct.join(linked, distinct.fp == linked.id, "left").select("fp", "first", F.coalesce("component", "fp").alias("component")))
+    drop_cut(distinct)
+    return prints, named
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Group documents whose SimHash fingerprints differ in 4 bits or fewer, directly or through others.
 
@@ -159,34 +280,36 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     without words have fingerprint zero and link like any other; a null id stands in no component (null) but its
     fingerprint still links; repeated rows come back repeated; an empty table gives no rows. Columns other than the
     two are not read. Copies share one fingerprint and are searched once; no link between different fingerprints is
-    lost, since of four 16-bit parts one differs in a bit at most, and each part has its own vantage-point tree.
+    lost, since what a ball overlaps is decided by triangle bounds alone.
     """
-    bound_batches(docs.sparkSession)
-    prints = cut(docs.select(F.col(id_column).cast("long").alias("doc_id"), fingerprint_of(F.col(text_column)).alias("fp")))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    linked = fingerprint_components(distinct)
-    named = distinct.join(linked, distinct.fp == linked.id, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    named = cut(named)
+    prints, named = _grouped(docs, id_column, text_column)
     smallest = named.groupBy("component").agg(F.min("first").alias("smallest"))
-    by_print = named.join(smallest, "component").select(F.col("fp").alias("key"), "smallest")
+    by_print = named.join(smallest, "component").select(F.col("fp").alias("key"), F.col("smallest.doc_id").alias("smallest"))
     return prints.join(by_print, prints.fp == by_print.key).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("smallest")).alias("component_id")
     )
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` less their near-duplicates, with their columns: of each component the one with the smallest id.
+    """The rows of ``docs`` less their near-duplicates, with their columns: of each component the row with the smallest id.
 
-    Rows with a null id stand in no component and stay; of rows with one id, which are one document, one stays.
+    Rows are judged one by one: rows with one id and different texts stand in the components of their texts; if a
+    component's smallest id has several texts in it, the one with the smallest hash stays, and of equal rows one. Rows
+    with a null id stay. Null and empty texts are near-duplicates of each other. An empty table gives no rows.
     """
-    found = near_duplicates(docs)
-    ids = cut(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows")))
-    kept = ids.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("__kept"), F.col("rows").alias("__rows"))
-    once = docs.join(kept, docs.doc_id.cast("long").eqNullSafe(kept["__kept"]))
-    alone = once.where("__rows = 1 or doc_id is null").select(*docs.columns)
-    if ids.where("doc_id is not null and rows > 1").isEmpty():
-        return alone
-    return alone.unionByName(once.where("__rows > 1 and doc_id is not null").dropDuplicates(["doc_id"]).select(*docs.columns))
+    prints, named = _grouped(docs, "doc_id", "text")
+    kept = named.groupBy("component").agg(F.min("first").alias("least")).where("least is not null").select(F.col("least.doc_id").alias("__kept"), F.col("least.text_hash").alias("__hash"))
+    again = prints.where("doc_id is not null").groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")
+    nameless = docs.where("doc_id is null")
+    same = lambda left: (left["doc_id"].cast("long") == F.col("__kept")) & (F.xxhash64(left["text"]) == F.col("__hash"))
+    if again.isEmpty():
+        return docs.join(kept, same(docs)).select(*(docs[c] for c in docs.columns)).unionByName(nameless)
+    # Repeated rows: the one whose other columns have the least hash stays.
+    marked = kept.join(again.withColumn("__again", F.lit(True)), (F.col("__kept") == F.col("doc_id")) & (F.col("__hash") == F.col("text_hash")), "left").select("__kept", "__hash", "__again")
+    once = docs.join(marked, same(docs)).select(*(docs[c] for c in docs.columns), "__kept", "__hash", "__again")
+    nth = F.row_number().over(Window.partitionBy("__kept", "__hash").orderBy(F.xxhash64(*docs.columns)))
+    single = once.where("__again is null").select(*docs.columns)
+    return single.unionByName(once.where("__again").withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)).unionByName(nameless)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

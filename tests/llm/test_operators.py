@@ -77,11 +77,87 @@ def test_simhash(docs, empty):
     assert kept.where("doc_id is null").count() == 2
 
 
+def scattered(n, seed):
+    """Fingerprints of which some differ in few bits."""
+    rng = np.random.default_rng(seed)
+    fp = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64)
+    for k in range(n // 2, n):
+        fp[k] = fp[k - n // 2] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 7), replace=False)))
+    return np.unique(fp)
+
+
 def test_simhash_tree_finds_all_within_radius():
-    tree = simhash.VantageTree(bits=10, leaf=8, seed=3)
-    for v in range(0, 1 << 10, 37):
-        seen = {int(tree.home[v ^ f]) for f in [0, *(1 << k for k in range(10))]}
-        assert seen <= set(tree.visits[tree.first[v] : tree.first[v + 1]].tolist())
+    fp = scattered(3000, 3)
+    tree = simhash.VantageTree(fp[::3], (1 << 22) - 1, 1, 60)
+    assert tree.leaves > 30
+    rows, leaf = tree.leaves_of(fp, 0)
+    home = dict(zip(rows.tolist(), leaf.tolist()))
+    assert len(home) == len(fp) == len(rows)
+    visits = collections.defaultdict(set)
+    for r, n in zip(*(x.tolist() for x in tree.leaves_of(fp, 1))):
+        visits[r].add(n)
+    near = np.bitwise_count((fp[:, None] ^ fp) & np.uint64((1 << 22) - 1)) <= 1
+    assert all(home[j] in visits[i] for i, j in zip(*(x.tolist() for x in np.nonzero(near))))
+
+
+def test_simhash_parts_cover_the_radius():
+    assert sum(r + 1 for _, _, r in simhash.PARTS) > simhash.RADIUS and sorted(b for s, n, _ in simhash.PARTS for b in range(s, s + n)) == list(range(64))
+
+
+@pytest.mark.parametrize("fold", [0, 40])
+def test_simhash_pairs_in_a_shard(fold):
+    fp = np.unique(scattered(2500, 5) >> np.uint64(fold))  # folded: crowded together
+    near = {(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(np.bitwise_count(fp[:, None] ^ fp) <= 4)))}
+    found = set()
+    for shift, bits, radius in simhash.PARTS:
+        for h, v in simhash.near_pairs(fp, fp, ((1 << bits) - 1) << shift, radius):
+            found |= set(zip(h.tolist(), v.tolist()))
+    assert found == near
+
+
+def test_simhash_components(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", 256)
+    fp = scattered(4000, 6)
+    label = np.arange(len(fp))
+    near = [np.flatnonzero(np.bitwise_count(fp ^ x) <= 4) for x in fp]
+    while True:
+        new = np.array([label[n].min() for n in near])
+        if (new == label).all():
+            break
+        label = new
+    signed = fp.view(np.int64)
+    least = {k: int(signed[label == k].min()) for k in set(label.tolist()) if (label == k).sum() > 1}
+    got = {r.id: r.component for r in simhash.fingerprint_components(spark.createDataFrame([(int(x),) for x in signed], "fp long").repartition(3)).collect()}
+    assert got == {int(x): least[k] for x, k in zip(signed, label.tolist()) if k in least}
+
+
+def test_simhash_comparisons_grow_less_than_the_square():
+    count = []
+    for n in (16_000, 64_000):
+        fp, total = scattered(n, 8), []
+        for tree in simhash.trees_of(fp[:: max(1, len(fp) // 8000)], len(fp) * 16):  # shards of 1,024
+            rows, leaf = tree.leaves_of(fp, 0)
+            home = np.empty(len(fp), np.int64)
+            home[rows] = leaf
+            rows, visit = tree.leaves_of(fp, tree.radius)
+            rows, visit = rows[visit >= home[rows]], visit[visit >= home[rows]]
+            order = np.argsort(visit, kind="stable")
+            at = np.searchsorted(visit[order], np.arange(tree.leaves + 1))
+            for k in range(tree.leaves):
+                for _ in simhash.near_pairs(fp[home == k], fp[rows[order[at[k] : at[k + 1]]]], int(tree.mask), tree.radius, total):
+                    pass
+        count.append(sum(total))
+    assert math.log(count[1] / count[0], 4) < 1.5 and count[1] < 0.05 * 64_000**2
+
+
+def test_distinct_documents_judges_rows(spark):
+    long, other = words(200, 1), words(200, 2)
+    data = [(5, long, "a"), (5, other, "a"), (3, long, "b"), (5, other, "a"), (5, other, "b"), (None, long, "a"), (None, long, "a"), (9, None, "a"), (10, "", "a")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, fp string").repartition(3)
+    got = [simhash.distinct_documents(docs.repartition(k)).collect() for k in (1, 4)]
+    assert sorted(map(repr, got[0])) == sorted(map(repr, got[1]))
+    assert sorted(((r.doc_id, r.text) for r in got[0]), key=repr) == sorted([(3, long), (5, other), (None, long), (None, long), (9, None)], key=repr)
+    assert simhash.distinct_documents(docs.where("false")).count() == 0
 
 
 def test_components(spark):
@@ -211,9 +287,27 @@ def test_encoder_matches_the_tokenizer():
     own, tokenizer = tokens.Encoder(tokens.tokenizer_path()), Tokenizer.from_file(tokens.tokenizer_path())
     rnd = random.Random(5)
     odd = ["a  b", "a \n b", "a\n\n b", "　x y", " a", " ", "a ", "", "it's we'll", "x.y, z!?", "é ü\xa0 x", "́a b́c ٣", "<|endoftext|> q", "a.\nB c", "a\n b"]
-    odd += ["".join(rnd.choice("ab .,'\n\té1-") for _ in range(rnd.randint(1, 40))) for _ in range(400)]
-    for text in odd:
-        assert np.frombuffer(own.encode(text), own.kind).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    odd += ["x\n \ny", "'s 'S a,'s b.'ll\n're", "€, a€,b é,c é, ß.", "word,,, word,abc 12,3 x1,2"]
+    odd += ["".join(rnd.choice("ab .,'\n\té1-s!€\u3000\u0301") for _ in range(rnd.randint(1, 40))) for _ in range(2000)]
+    odd += ["".join(chr(rnd.choice([rnd.randint(32, 126), 10, 32, rnd.randint(128, 0x2FFF)])) for _ in range(rnd.randint(1, 60))) for _ in range(2000)]
+    for k in range(0, len(odd), 300):
+        for text, ids in zip(odd[k : k + 300], own.encode_all([t.encode() for t in odd[k : k + 300]])):
+            assert np.frombuffer(ids, own.kind).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_encoder_tells_pieces_of_one_hash_apart(monkeypatch):
+    monkeypatch.setattr(tokens, "slice_hashes", lambda flat, starts, sizes: np.zeros(len(starts), np.uint64))
+    own = tokens.Encoder(tokens.tokenizer_path())
+    for text in ("one two, three\none two.", "é one"):
+        assert np.frombuffer(own.encode(text), own.kind).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_tokens_of_a_hot_id(spark):
+    data = [(None if k % 3 else k, f"text {k} of many") for k in range(300)] + [(7, f"seven {k}") for k in range(200)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    got = sorted(tokens.token_file(docs).collect(), key=lambda r: r.start)
+    assert [(r.doc_id is not None, r.doc_id or 0) for r in got] == sorted((i is not None, i or 0) for i, _ in data)
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
 
 
 def test_brown(docs, empty):
@@ -229,6 +323,56 @@ def test_brown(docs, empty):
     assert brown.score_documents(empty).count() == 0
 
 
+def test_brown_scores_are_those_of_its_classes(docs):
+    """The classes are the operator's; transitions, emissions and scores are worked out anew."""
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    table = brown.word_classes(docs).collect()
+    kind = {bytes(r.word): r["class"] for r in table}
+    token = [(i, held(i), [None, *split(t and t.encode().lower().decode()), None]) for i, t, _ in texts()]
+    kind[None] = brown.CLASSES
+    assert set(kind) == {w for _, _, own in token for w in own}
+    pair, into, count = collections.Counter(), collections.Counter(), collections.Counter()
+    for _, out, own in token:
+        if not out:
+            count.update(own[1:])
+            for a, b in zip(own, own[1:]):
+                pair[kind[a], kind[b]] += 1
+                into[kind[b]] += 1
+    left = collections.Counter()
+    for (a, _), n in pair.items():
+        left[a] += n
+    distinct = collections.Counter(kind[w] for w in count)
+    assert {bytes(r.word): r.n for r in table} == {w: count[w] for w in kind if w is not None}
+    size = brown.CLASSES + 1
+    expected = []
+    for i, _, own in token:
+        total = 0.0
+        for a, b in zip(own, own[1:]):
+            c, d = kind[a], kind[b]
+            total += math.log10((pair[c, d] + 0.5) / (left[c] + 0.5 * size)) + math.log10((count[b] + 0.5) / (into[d] + 0.5 * (distinct[d] + 1)))
+        expected.append((i, len(own) - 1, round(total, 5)))
+    got = [(r.doc_id, r.n_tokens, round(r.score, 5)) for r in brown.score_documents(docs).collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
+def test_brown_likelihood_never_falls(spark, monkeypatch):
+    told, own, rnd = [], brown.exchange, random.Random(2)
+    monkeypatch.setattr(brown, "exchange", lambda pairs: told.append(own(pairs)) or told[-1])
+    data = [(k, " ".join(f"{'ab'[k % 2]}{rnd.randint(0, 60)}" for _ in range(60))) for k in range(200)]
+    brown.word_classes(spark.createDataFrame(data, "doc_id long, text string")).count()
+    classes, matrix, rounds = told[0]
+    assert len(rounds) > 2 and rounds == sorted(rounds) and rounds[-1] == brown.log_likelihood(matrix)
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    data = [b"a bb a\tccc", b"", b" \n", b"bb  dd"]
+    for hashes in (brown.slice_hashes, lambda flat, starts, sizes: np.zeros(len(starts), np.uint64)):
+        monkeypatch.setattr(brown, "slice_hashes", hashes)
+        counts, known, _, stream = brown.numbered_words(data)
+        assert counts.tolist() == [4, 0, 0, 2] and len(set(known)) == 4
+        assert [known[k] for k in stream.tolist()] == [w for t in data for w in t.split()]
+
+
 def test_brown_learns_classes(spark):
     """Two tongues that never mix: the class bigrams must beat single words on held-out texts."""
     rnd = random.Random(2)
@@ -272,8 +416,11 @@ def test_toxicity(spark, labelled):
     assert (span.start, span.end) == (0, 6)
     clean = toxicity.clean_documents(docs, labels)
     assert clean.columns == docs.columns and clean.where("doc_id = 900").count() == 1
-    nothing = toxicity.score_documents(docs, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert nothing.count() == docs.count()
+    for marks in ([], [(1, 1), (2, 1)], [(1, 0), (2, 0)], [(1, None), (None, 0)]):  # labels that nothing can be learnt from call nothing toxic
+        few = spark.createDataFrame(marks, "doc_id long, toxic int")
+        assert {r.predicted for r in toxicity.score_documents(docs, few).collect()} == {0}
+        assert toxicity.clean_documents(docs, few).count() == docs.count()
+    assert toxicity.score_documents(docs.where("false"), labels).count() == 0
 
 
 def test_chain_marginals_match_enumeration():
