@@ -1,144 +1,205 @@
-"""Brown class-based bigrams: distributed exchange clustering, smoothed class transitions and word emissions."""
+"""Brown class-based bigrams: distributed exchange clustering, smoothed class transitions and word emissions.
+
+Texts are cut into words once, in chunks whose words are numbered; counts, clustering and scores then work on numbers. A
+chunk tells a bucket of words each of its distinct words once, and the bucket answers with counts and classes in the
+same order, so that nothing is looked up word by word and no table of all words is ever held in one place.
+"""
 
 from __future__ import annotations
 
-import functools
 import math
 import zlib
-from collections import Counter
-from typing import NamedTuple
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, drop_cut, groups, table, tidied
+from .common import bound_batches, cut, distinct_slices, drop_cut, groups, slice_hashes, table, tidied, tidy
 from .substrings import _pack, _unpack
 
 #: Classes, rounds of exchange, the smoothing added to counts.
 CLASSES, ROUNDS, ADDED = 32, 8, 0.5
-#: Words clustered one by one, the most frequent; all other words stand in groups by their last two bytes, and each
-#: group is clustered like a word, until each word of it gets a class by its own neighbours. Words whose counts and classes are broadcast, and the longest such word: both bound a broadcast.
-OWN, ENDINGS, HEAD, HEAD_BYTES = 8192, 256, 200_000, 64
-#: Text bytes that a task counts before it sends, and buckets for each shuffle partition.
-CHUNK, BUCKETS, CHUNKS_OF_WORDS = 16 << 20, 4, 64
-MEMORY = 400_000
+#: Words clustered one by one, the most frequent, and the longest such word, which bound a broadcast; all other words stand
+#: in groups by their last two bytes, and each group is clustered like a word, until each word of it gets a class by its
+#: own neighbours.
+OWN, ENDINGS, WORD_BYTES = 8192, 256, 64
+#: Text bytes in a chunk; ranges of words in which moves are decided.
+CHUNK, RANGES = 8 << 20, 64
 #: Ids: words, groups of endings, and the end of a text, which is also what stands before its first word.
 END = OWN + ENDINGS
-IDS = END + 1
-
+IDS, SIZE = END + 1, CLASSES + 1
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: The group of an ending, by its two bytes as one number; words of one byte have the groups from 65,536 on.
+_ENDING = np.array([zlib.crc32(bytes((a, b))) % ENDINGS for a in range(256) for b in range(256)] + [zlib.crc32(bytes((a,))) % ENDINGS for a in range(256)], np.int64)
 
 
 def remainder(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(0))
 
 
-class Ids(dict):
-    """Ids of words; a word outside of those clustered one by one gets the id of its ending, remembered up to a bound."""
+def _rows(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    def __missing__(self, word: bytes) -> int:
-        found = OWN + zlib.crc32(word[-2:]) % ENDINGS
-        if len(self) < MEMORY:
-            self[word] = found
-        return found
 
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
 
-def _bucketed(words: list[bytes], buckets: int) -> list[tuple[int, np.ndarray]]:
-    bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
-    order = np.argsort(bucket, kind="stable")
-    return [(int(bucket[own[0]]), own) for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(own)]
 
+def numbered_words(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """Of lower-cased texts: words of each, all distinct words, their hashes, and the texts as numbers of those."""
+    raw = b"\n".join(texts) + b"\n"
+    flat = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(len(flat) + 1, np.int8)
+    inside[1:] = ~_IS_SPACE[flat]
+    step = np.diff(inside)
+    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    closes = np.cumsum([len(t) + 1 for t in texts])
+    counts = np.diff(np.searchsorted(starts, np.concatenate([[0], closes])))
+    if not len(starts):
+        return counts, [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    hashes = slice_hashes(flat, starts, ends - starts)
+    place, lead = distinct_slices(raw, flat, starts, ends - starts, hashes)
+    return counts, [raw[a:b] for a, b in zip(starts[lead].tolist(), ends[lead].tolist())], hashes[lead], place
+
+
+def _chunks(buckets: int):
+    """Texts in chunks: (chunk, documents, words by bucket with their training counts, words of the texts as numbers)."""
+
+    def made(number: int, ids: list, learnt: list, texts: list[bytes]):
+        counts, words, hashes, stream = numbered_words(texts)
+        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        new = np.empty(len(order), np.int32)
+        new[order] = np.arange(len(order), dtype=np.int32)
+        stream = new[stream]
+        own = np.bincount(stream[np.repeat(np.array(learnt, bool), counts)], minlength=len(words)).astype(np.int64)
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        docs = _pack(np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids], np.int8), np.array(learnt, np.int8), counts.astype(np.int64))
+        blob = b"".join([words[k] + b" " for k in order.tolist()])
+        return _rows([((TaskContext.get().partitionId() << 32) + number, docs, _pack(edges, own, blob), _pack(stream))], _CHUNK, [pa.int64(), pa.binary(), pa.binary(), pa.binary()])
 
-def _rows(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+    @tidied
+    def chunks(batches):
+        ids, learnt, texts, held, number = [], [], [], 0, 0
+        for batch in batches:
+            for i, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                ids.append(i)
+                learnt.append(own)
+                texts.append((text.as_py() or b"").lower())
+                held += len(texts[-1])
+                if held >= CHUNK or len(ids) >= 1 << 16:
+                    yield made(number, ids, learnt, texts)
+                    ids, learnt, texts, held, number = [], [], [], 0, number + 1
+        if ids:
+            yield made(number, ids, learnt, texts)
 
+    return chunks
 
-def _count_words(buckets: int):
-    @tidied
-    def count(batches):
-        seen, held = Counter(), 0
 
-        def sent():
-            words, n = list(seen), np.fromiter(seen.values(), np.int64, len(seen))  # noqa: B023
-            rows = [(b, _pack(b" ".join([words[k] for k in own.tolist()]), n[own])) for b, own in _bucketed(words, buckets)]
-            for k in range(0, len(rows), 256):
-                yield _rows(rows[k : k + 256], ["bucket", "payload"], [pa.int32(), pa.binary()])
+_CHUNK, _CHUNK_DDL = ["chunk", "docs", "words", "stream"], "chunk long, docs binary, words binary, stream binary"
+_PART, _PART_DDL = ["bucket", "kind", "chunk", "payload"], "bucket int, kind byte, chunk long, payload binary"
+_KINDS = [pa.int32(), pa.int8(), pa.int64(), pa.binary()]
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(words_of(text or b""))
-                held += len(text or b"")
-                if held >= CHUNK:
-                    yield from sent()
-                    seen, held = Counter(), 0
-        if seen:
-            yield from sent()
 
-    return count
+def _in_steps(rows: list[tuple], names: list[str], kinds: list, step: int = 64):
+    for k in range(0, len(rows), step):
+        yield _rows(rows[k : k + step], names, kinds)
 
 
+@tidied
+def _send_words(batches):
+    """A chunk's distinct words and training counts, to their buckets."""
+    for batch in batches:
+        for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+            edges, n, blob = _unpack(payload.as_py(), np.int64, np.int64, None)
+            ends = np.concatenate([[0], np.flatnonzero(np.frombuffer(blob, np.uint8) == 32) + 1])
+            cuts = edges.tolist()
+            rows = [(k, 1, chunk, _pack(n[a:b], blob[ends[a] : ends[b]])) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            yield from _in_steps(rows, _PART, _KINDS)
+
+
+@tidied
 def _add_words(batches):
-    """The counts of a bucket's words, in one payload."""
+    """A bucket's words with their counts (kind 0), and for each chunk which of them it has, in its order (kind 1)."""
     for bucket, part in groups(batches, "bucket"):
-        total: Counter = Counter()
+        place: dict[bytes, int] = {}
+        total = np.zeros(1 << 12, np.int64)
         for batch in part:
-            for payload in batch.column(1).to_pylist():
-                words, n = _unpack(payload, None, np.int64)
-                for word, k in zip(words.split(b" "), n.tolist()):
-                    total[word] += k
-        yield _rows([(bucket, _pack(b" ".join(total), np.fromiter(total.values(), np.int64, len(total))), sum(total.values()), len(total))], ["bucket", "payload", "tokens", "words"], [pa.int32(), pa.binary(), pa.int64(), pa.int64()])
+            for chunk, payload in zip(batch.column(2).to_pylist(), batch.column(3)):
+                n, blob = _unpack(payload.as_py(), np.int64, None)
+                words = blob.split(b" ")[:-1]
+                at = np.fromiter([place.setdefault(w, len(place)) for w in words], np.int32, len(words))
+                if len(place) > len(total):
+                    total = np.concatenate([total, np.zeros(max(len(total), len(place) - len(total)), np.int64)])
+                total[at] += n  # a chunk has a word once
+                yield _rows([(bucket, 1, chunk, _pack(at), 0, 0)], [*_PART, "tokens", "words"], [*_KINDS, pa.int64(), pa.int64()])
+        n = total[: len(place)]
+        blob = b"".join([w + b" " for w in place])
+        yield _rows([(bucket, 0, -1, _pack(n, blob), int(n.sum()), int((n > 0).sum()))], [*_PART, "tokens", "words"], [*_KINDS, pa.int64(), pa.int64()])
 
 
 def _frequent(batches):
-    """Of every bucket the words that may be among the HEAD most frequent, with their classes where those are known."""
+    """Of every bucket the words that may be among the OWN most frequent."""
     for batch in batches:
-        for payload in batch.column(0).to_pylist():
-            words, n, *more = _unpack(payload, None, np.int64, *[np.int16] * (batch.num_columns - 1))
-            kinds = more[0] if more else np.zeros(len(n), np.int16)
-            words = words.split(b" ")
-            short = [k for k in np.argsort(-n, kind="stable").tolist() if len(words[k]) <= HEAD_BYTES][:HEAD]
-            short = [k for k in short if n[k] > 1]
-            for at in range(0, len(short), 20_000):
-                own = short[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([words[k] for k in own], pa.binary()), pa.array(n[own], pa.int64()), pa.array(kinds[own], pa.int16())], ["word", "n", "kind"])
-
-
-def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-    return keys[first], np.add.reduceat(n, first) if len(first) else n
+        for payload in batch.column(0):
+            n, blob = _unpack(payload.as_py(), np.int64, None)
+            words = blob.split(b" ")[:-1]
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            at = np.flatnonzero((sizes <= WORD_BYTES) & (n > 1))
+            least = np.partition(n[at], len(at) - OWN)[len(at) - OWN] if len(at) > OWN else 0
+            at = at[n[at] >= least]
+            yield pa.RecordBatch.from_arrays([pa.array([words[k] for k in at.tolist()], pa.binary()), pa.array(n[at], pa.int64())], ["word", "n"])
+
+
+def ids_of(blob: bytes, own: dict[bytes, int]) -> np.ndarray:
+    """Ids of words, each followed by a blank: their own, or that of their ending."""
+    flat = np.frombuffer(blob, np.uint8).astype(np.int64)
+    ends = np.flatnonzero(flat == 32)
+    sizes = np.diff(ends, prepend=-1) - 1
+    ending = np.where(sizes > 1, flat[ends - 2] * 256 + flat[ends - 1], 65_536 + flat[ends - 1])
+    found = np.fromiter(map(own.get, blob.split(b" ")[:-1], repeat(-1)), np.int64, len(ends))
+    return np.where(found < 0, OWN + _ENDING[ending], found)
+
+
+def line_of(values: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of texts in a row, an end before each text and after the last; and the places of the words."""
+    at = np.arange(len(values)) + np.repeat(np.arange(len(counts)), counts) + 1
+    line = np.full(len(values) + len(counts) + 1, end, np.int64)
+    line[at] = values
+    return line, at
+
+
+def _learnt(docs: bytes, stream: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's training texts: words of each, and their numbers."""
+    _, _, learnt, counts = _unpack(docs, np.int64, np.int8, np.int8, np.int64)
+    (own,) = _unpack(stream, np.int32)
+    mask = learnt > 0
+    return counts[mask], own[np.repeat(mask, counts)]
 
 
 def _count_pairs(own, buckets: int):
+    @tidied
     def count(batches):
-        ids = Ids((w, k) for k, w in enumerate(own.value))
-        parts, held = [], 0
-
-        def sent():
-            pairs = np.concatenate([p[:-1].astype(np.int64) * IDS + p[1:] for p in parts])  # noqa: B023
-            keys, n = _summed(pairs, np.ones(len(pairs), np.int64))
-            bucket = (keys // IDS) % buckets
-            rows = [(b, _pack(keys[bucket == b], n[bucket == b])) for b in np.unique(bucket).tolist()]
-            yield _rows(rows, ["bucket", "payload"], [pa.int32(), pa.binary()])
-
+        known = {w: k for k, w in enumerate(own.value)}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = words_of(text or b"")
-                line = np.full(len(words) + 2, END, np.int32)
-                line[1:-1] = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
-                parts.append(line)
-                held += len(text or b"")
-                if held >= CHUNK:
-                    yield from sent()
-                    parts, held = [], 0
-        if parts:
-            yield from sent()
+            for docs, words, stream in zip(*(batch.column(k) for k in range(3))):
+                counts, numbers = _learnt(docs.as_py(), stream.as_py())
+                if not len(counts):
+                    continue
+                _, _, blob = _unpack(words.as_py(), np.int64, np.int64, None)
+                line, _ = line_of(ids_of(blob, known)[numbers], counts, END)
+                keys, n = _summed(line[:-1] * IDS + line[1:], np.ones(len(line) - 1, np.int64))
+                bucket = (keys // IDS) % buckets
+                rows = [(b, _pack(keys[bucket == b], n[bucket == b])) for b in np.unique(bucket).tolist()]
+                yield _rows(rows, ["bucket", "payload"], [pa.int32(), pa.binary()])
 
     return count
 
@@ -161,24 +222,42 @@ def _pairs(batches):
 
 def _transitions(classes: np.ndarray):
     def count(batches):
-        total = np.zeros((CLASSES + 1) ** 2, np.int64)
+        total = np.zeros(SIZE**2, np.int64)
         for a, b, n in _pairs(batches):
-            total += np.bincount(classes[a].astype(np.int64) * (CLASSES + 1) + classes[b], n, len(total)).astype(np.int64)
-        yield _rows([(total.tobytes(),)], ["payload"], [pa.binary()])
+            total += np.bincount(classes[a].astype(np.int64) * SIZE + classes[b], n, len(total)).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["code", "n"])
 
     return count
 
 
+def summed_matrix(counts: DataFrame) -> np.ndarray:
+    """The matrix of classes from (code, n) rows; the driver gets a row for each pair of classes."""
+    out = np.zeros(SIZE**2, np.int64)
+    for r in counts.groupBy("code").agg(F.sum("n").alias("n")).collect():
+        out[r.code] = r.n
+    return out.reshape(SIZE, SIZE)
+
+
+def transition_matrix(pairs: DataFrame, classes: np.ndarray) -> np.ndarray:
+    return summed_matrix(pairs.select("payload").mapInArrow(_transitions(classes), "code long, n long"))
+
+
+def log_likelihood(matrix: np.ndarray) -> float:
+    """What the classes add to the log likelihood of the pairs that the matrix counts."""
+    log = lambda x: float((x[x > 0] * np.log(x[x > 0])).sum())
+    return log(matrix.astype(float)) - log(matrix.sum(axis=0).astype(float)) - log(matrix.sum(axis=1).astype(float))
+
+
 def _neighbours(classes: np.ndarray):
     """For every word the counts of the classes before and after it, sent in ranges of words."""
 
     def count(batches):
-        size = CLASSES + 1
-        total = np.zeros(2 * IDS * size, np.int64)
+        total = np.zeros(2 * IDS * SIZE, np.int64)
         for a, b, n in _pairs(batches):
-            total += np.bincount(np.concatenate([b * size + classes[a], (IDS + a) * size + classes[b]]), np.concatenate([n, n]), len(total)).astype(np.int64)
-        total = total.reshape(2, IDS, size)
-        for k, own in enumerate(np.array_split(np.arange(IDS), CHUNKS_OF_WORDS)):
+            total += np.bincount(np.concatenate([b * SIZE + classes[a], (IDS + a) * SIZE + classes[b]]), np.concatenate([n, n]), len(total)).astype(np.int64)
+        total = total.reshape(2, IDS, SIZE)
+        for k, own in enumerate(np.array_split(np.arange(IDS), RANGES)):
             if total[:, own].any():
                 yield _rows([(k, _pack(total[:, own]))], ["chunk", "payload"], [pa.int32(), pa.binary()])
 
@@ -190,7 +269,7 @@ def better(before: np.ndarray, after: np.ndarray, classes: np.ndarray, matrix: n
 
     A word's own counts are taken out of its present class before that class is judged.
     """
-    size, n = CLASSES + 1, matrix.sum(axis=0).astype(float)
+    size, n = SIZE, matrix.sum(axis=0).astype(float)
     own = before.sum(axis=1).astype(float)
     score = before @ np.log(matrix + ADDED) + after @ np.log(matrix + ADDED).T - 2 * own[:, None] * np.log(n + ADDED * size)
     for k in np.flatnonzero(moving & (own > 0)):
@@ -204,12 +283,12 @@ def better(before: np.ndarray, after: np.ndarray, classes: np.ndarray, matrix: n
 
 
 def _decide(classes: np.ndarray, matrix: np.ndarray, moving: np.ndarray):
-    ranges = np.array_split(np.arange(IDS), CHUNKS_OF_WORDS)
+    ranges = np.array_split(np.arange(IDS), RANGES)
 
     def decide(batches):
         for chunk, part in groups(batches, "chunk"):
             own = ranges[chunk]
-            total = np.zeros((2, len(own), CLASSES + 1), np.int64)
+            total = np.zeros((2, len(own), SIZE), np.int64)
             for batch in part:
                 for payload in batch.column(1).to_pylist():
                     total += _unpack(payload, np.int64)[0].reshape(total.shape)
@@ -218,296 +297,220 @@ def _decide(classes: np.ndarray, matrix: np.ndarray, moving: np.ndarray):
     return decide
 
 
-def transition_matrix(pairs: DataFrame, classes: np.ndarray) -> np.ndarray:
-    parts = pairs.select("payload").mapInArrow(_transitions(classes), "payload binary").collect()
-    return sum((np.frombuffer(r.payload, np.int64) for r in parts), np.zeros((CLASSES + 1) ** 2, np.int64)).reshape(CLASSES + 1, -1)
-
-
-def exchange(pairs: DataFrame) -> np.ndarray:
-    """Classes of all ids by exchange clustering over the pair counts; the end of a text is a class of its own.
+def exchange(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Classes of all ids by exchange clustering over the pair counts, their matrix, and the likelihood after each round.
 
-    Classes start by frequency rank. In a round half of the words, by turns, each move to the class that makes the class
-    bigrams likeliest; all that a word needs to decide, the classes beside it, meets in one range of words. The driver
+    Classes start by frequency rank; the end of a text is a class of its own. In a round half of the words each move to
+    the class that makes the class bigrams likeliest, the others staying; all that a word needs to decide, the classes
+    beside it, meets in one range of words. Words move on counts of before the round, so the round's likelihood is
+    computed, and a round that lowers it is taken back and the next moves half as many words: it never falls. The driver
     gets one class for each id and one matrix of classes, both of fixed size.
     """
     classes = (np.arange(IDS) % CLASSES).astype(np.int16)
     classes[END] = CLASSES
+    matrix = transition_matrix(pairs, classes)
+    told, every = [log_likelihood(matrix)], 2
     for step in range(ROUNDS):
-        moving = (np.arange(IDS) // CLASSES + np.arange(IDS) + step) % 2 == 0
+        moving = (np.arange(IDS) // CLASSES + np.arange(IDS) + step) % every == 0
         moving[END] = False
         sent = pairs.select("payload").mapInArrow(_neighbours(classes), "chunk int, payload binary")
-        decided = sent.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_decide(classes, transition_matrix(pairs, classes), moving), "chunk int, classes binary")
-        ranges, new = np.array_split(np.arange(IDS), CHUNKS_OF_WORDS), classes.copy()
+        decided = sent.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_decide(classes, matrix, moving), "chunk int, classes binary")
+        ranges, new = np.array_split(np.arange(IDS), RANGES), classes.copy()
         for row in decided.collect():
             new[ranges[row.chunk]] = np.frombuffer(row.classes, np.int16)
-        moved, classes = int((new != classes).sum()), new
-        if step and not moved:
-            break
-    return classes
-
-
-def _count_contexts(held, buckets: int):
-    """For every word not clustered one by one the counts of the classes before and after it, sent to its bucket."""
-    size = CLASSES + 1
+        if (new == classes).all():
+            if step >= every:
+                break
+            continue
+        after = transition_matrix(pairs, new)
+        if log_likelihood(after) < told[-1]:
+            every *= 2
+        else:
+            classes, matrix = new, after
+            told.append(log_likelihood(after))
+    return classes, matrix, told
+
+
+def _count_contexts(held):
+    """For every word not clustered one by one the counts of the classes before and after it, sent to its bucket (kind 2)."""
 
     @tidied
     def count(batches):
-        words_own, classes = held.value
-        ids = Ids((w, k) for k, w in enumerate(words_own))
-        local, parts, bytes_held = {}, [], 0
-
-        def sent():
-            keys, n = _summed(np.concatenate(parts), np.ones(sum(map(len, parts)), np.int64))  # noqa: B023
-            words, of, rows = list(local), keys // (2 * size), []  # noqa: B023
-            for b, own in _bucketed(words, buckets):
-                at = np.concatenate([np.arange(x, y) for x, y in zip(np.searchsorted(of, own).tolist(), np.searchsorted(of, own, "right").tolist())])
-                rows.append((b, 1, _pack(b" ".join([words[k] for k in own.tolist()]), np.searchsorted(own, of[at]) * 2 * size + keys[at] % (2 * size), n[at])))
-            for k in range(0, len(rows), 256):
-                yield _rows(rows[k : k + 256], _PART, _KINDS)
-
+        own, classes = held.value
+        known = {w: k for k, w in enumerate(own)}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = words_of(text or b"")
-                line = np.full(len(words) + 2, END, np.int64)
-                line[1:-1] = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-                at = np.flatnonzero((line >= OWN) & (line < END))
-                if len(at):
-                    word = np.fromiter((local.setdefault(words[k - 1], len(local)) for k in at.tolist()), np.int64, len(at)) * 2 * size
-                    parts += [word + classes[line[at - 1]], word + size + classes[line[at + 1]]]
-                bytes_held += len(text or b"")
-                if bytes_held >= CHUNK and parts:
-                    yield from sent()
-                    local, parts, bytes_held = {}, [], 0
-        if parts:
-            yield from sent()
+            for chunk, docs, words, stream in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in range(1, 4))):
+                counts, numbers = _learnt(docs.as_py(), stream.as_py())
+                edges, _, blob = _unpack(words.as_py(), np.int64, np.int64, None)
+                ids = ids_of(blob, known)
+                line, at = line_of(classes[ids].astype(np.int64)[numbers], counts, CLASSES)
+                rest = ids[numbers] >= OWN
+                word, at = numbers[rest].astype(np.int64) * 2 * SIZE, at[rest]
+                keys, n = _summed(np.concatenate([word + line[at - 1], word + SIZE + line[at + 1]]), np.ones(2 * len(word), np.int64))
+                cuts, first, rows = np.searchsorted(keys, edges * 2 * SIZE).tolist(), (edges * 2 * SIZE).tolist(), []
+                for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                    if b > a:
+                        rows.append((k, 2, chunk, _pack(keys[a:b] - first[k], n[a:b])))
+                yield from _in_steps(rows, _PART, _KINDS)
 
     return count
 
 
+_ANSWER, _ANSWER_DDL = ["chunk", "bucket", "payload"], "chunk long, bucket int, payload binary"
+#: What stands for a chunk where a bucket tells its words' classes, and the distinct words of each class.
+WORDS, DISTINCT = -1, -2
+
+
 def _decide_words(held, matrix: np.ndarray):
-    """The class of every word of a bucket: kind 0 are its counts, kind 1 the classes beside its words."""
-    size = CLASSES + 1
+    """The class of every word of a bucket, and the answers to chunks: counts and classes of the words that they have.
+
+    Kind 0 are the bucket's words and counts, kind 1 the words of each chunk, kind 2 the classes beside them there.
+    """
 
     @tidied
     def decide(batches):
-        words_own, classes = held.value
-        ids = Ids((w, k) for k, w in enumerate(words_own))
+        own, classes = held.value
+        known = {w: k for k, w in enumerate(own)}
+        kinds_ = [pa.int64(), pa.int32(), pa.binary()]
         for bucket, part in groups(batches, "bucket"):
-            words, n, place = [], np.zeros(0, np.int64), {}
-            keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            n, blob, of = np.zeros(0, np.int64), b"", {}
+            parts, waiting = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
             for batch in part:
-                for kind, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                for kind, chunk, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                     if kind == 0:
-                        words, n = _unpack(payload, None, np.int64)
-                        words = words.split(b" ")
-                        place = {w: k for k, w in enumerate(words)}
+                        n, blob = _unpack(payload.as_py(), np.int64, None)
+                    elif kind == 1:
+                        of[chunk] = payload.as_py()
                     else:
-                        own, k, c = _unpack(payload, None, np.int64, np.int64)
-                        where = np.fromiter(map(place.__getitem__, own.split(b" ")), np.int64)
-                        keys, times = _summed(np.concatenate([keys, where[k // (2 * size)] * 2 * size + k % (2 * size)]), np.concatenate([times, c]))
-            kinds = classes[np.fromiter(map(ids.__getitem__, words), np.int64, len(words))]
-            for a in range(0, len(words), 4096):
-                b = min(a + 4096, len(words))
-                lo, hi = np.searchsorted(keys, [a * 2 * size, b * 2 * size])
-                beside = np.zeros((b - a) * 2 * size, np.int64)
-                beside[keys[lo:hi] - a * 2 * size] = times[lo:hi]
-                beside = beside.reshape(-1, 2, size)
-                kinds[a:b] = better(beside[:, 0], beside[:, 1], kinds[a:b], matrix, np.ones(b - a, bool))
-            yield _rows([(bucket, _pack(b" ".join(words), n, kinds.astype(np.int16)))], ["bucket", "payload"], [pa.int32(), pa.binary()])
+                        keys, times = _unpack(payload.as_py(), np.int64, np.int64)
+                        where = _unpack(of[chunk], np.int32)[0].astype(np.int64)
+                        parts.append((where[keys // (2 * SIZE)] * 2 * SIZE + keys % (2 * SIZE), times))
+                        waiting += len(keys)
+                        if waiting > 1 << 22:
+                            parts, waiting = [_summed(np.concatenate([k for k, _ in parts]), np.concatenate([t for _, t in parts]))], 0
+            keys, times = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([t for _, t in parts]))
+            found = classes[ids_of(blob, known)]
+            for a in range(0, len(n), 4096):
+                b = min(a + 4096, len(n))
+                lo, hi = np.searchsorted(keys, [a * 2 * SIZE, b * 2 * SIZE])
+                beside = np.zeros((b - a) * 2 * SIZE, np.int64)
+                beside[keys[lo:hi] - a * 2 * SIZE] = times[lo:hi]
+                beside = beside.reshape(-1, 2, SIZE)
+                found[a:b] = better(beside[:, 0], beside[:, 1], found[a:b], matrix, np.ones(b - a, bool))
+            found = found.astype(np.int8)
+            yield _rows([(WORDS, bucket, _pack(n, found, blob)), (DISTINCT, bucket, np.bincount(found[n > 0], minlength=SIZE).astype(np.int64).tobytes())], _ANSWER, kinds_)
+            for chunk, payload in of.items():
+                at = _unpack(payload, np.int32)[0]
+                yield _rows([(chunk, bucket, _pack(n[at], found[at]))], _ANSWER, kinds_)
 
     return decide
 
 
-class Model(NamedTuple):
-    """All of fixed size: classes by id, words clustered one by one, counts and classes of head words, texts learnt from."""
-
-    classes: np.ndarray
-    own: list[bytes]
-    head: dict[bytes, int]
-    kinds: dict[bytes, int]
-    end: int
-
-
-def _distinct_by_class(batches):
-    total = np.zeros(CLASSES + 1, np.int64)
-    for batch in batches:
-        for payload in batch.column(0).to_pylist():
-            total += np.bincount(_unpack(payload, None, np.int64, np.int16)[2], minlength=len(total))
-    yield _rows([(total.tobytes(),)], ["payload"], [pa.binary()])
-
-
 def _by_bucket(df: DataFrame, *order: str) -> DataFrame:
     return df.repartition("bucket").sortWithinPartitions("bucket", *order)
 
 
-def _with_kind(counts: DataFrame) -> DataFrame:
-    return counts.select("bucket", F.lit(0).cast("byte").alias("kind"), "payload")
-
-
-def train(docs: DataFrame) -> tuple[Model, DataFrame, int, int, np.ndarray]:
-    """The model of the training documents, the table of all their words' counts and classes by bucket, their tokens and
-    distinct words, and distinct words by class."""
-    spark = docs.sparkSession
-    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.where(remainder(F.col("doc_id")) != 1).select(F.col("text").cast("binary").alias("text"))
-    sent = texts.mapInArrow(_count_words(buckets), "bucket int, payload binary")
-    counts = cut(_by_bucket(sent).mapInArrow(_add_words, "bucket int, payload binary, tokens long, words long"))
-    end = texts.count()
+def learn(chunks: DataFrame) -> tuple[DataFrame, int, int, int]:
+    """Of a table of chunks: the table of all buckets' answers, training tokens, distinct words and texts."""
+    spark = chunks.sparkSession
+    sent = chunks.select("chunk", "words").mapInArrow(_send_words, _PART_DDL)
+    counts = cut(_by_bucket(sent, "chunk").mapInArrow(_add_words, f"{_PART_DDL}, tokens long, words long"))
     n, v = (x or 0 for x in counts.agg(F.sum("tokens"), F.sum("words")).first())
-    n, v = n + end, v + (end > 0)
-    most = lambda table, *more: table.select("payload", *more).mapInArrow(_frequent, "word binary, n long, kind short").orderBy(F.col("n").desc(), "word")
-    words = most(counts).limit(OWN).select("word").toArrow().column("word").to_pylist()
-    own = spark.sparkContext.broadcast(words)
-    sent = texts.mapInArrow(_count_pairs(own, CHUNKS_OF_WORDS), "bucket int, payload binary")
-    pairs = cut(_by_bucket(sent).mapInArrow(_add_pairs, "bucket int, payload binary"))
-    classes = exchange(pairs)
-    matrix = transition_matrix(pairs, classes)
+    most = counts.where("kind = 0").select("payload").mapInArrow(_frequent, "word binary, n long").orderBy(F.col("n").desc(), "word").limit(OWN)
+    own = most.select("word").toArrow().column("word").to_pylist()
+    pairs = chunks.select("docs", "words", "stream").mapInArrow(_count_pairs(spark.sparkContext.broadcast(own), RANGES), "bucket int, payload binary")
+    pairs = cut(_by_bucket(pairs).mapInArrow(_add_pairs, "bucket int, payload binary"))
+    classes, matrix, _ = exchange(pairs)
+    end = int(matrix[CLASSES].sum())
     drop_cut(pairs)
-    held = spark.sparkContext.broadcast((words, classes))
-    beside = texts.mapInArrow(_count_contexts(held, buckets), _PART_DDL)
-    known = cut(_by_bucket(_with_kind(counts).unionByName(beside), "kind").mapInArrow(_decide_words(held, matrix), "bucket int, payload binary"))
+    held = spark.sparkContext.broadcast((own, classes))
+    beside = chunks.mapInArrow(_count_contexts(held), _PART_DDL)
+    answers = cut(_by_bucket(counts.select(*_PART).unionByName(beside), "kind", "chunk").mapInArrow(_decide_words(held, matrix), _ANSWER_DDL))
     drop_cut(counts)
-    head = most(known, F.lit(0).alias("with_kind")).limit(HEAD).toArrow()
-    parts = known.select("payload").mapInArrow(_distinct_by_class, "payload binary").collect()
-    distinct = sum((np.frombuffer(r.payload, np.int64) for r in parts), np.zeros(CLASSES + 1, np.int64))
-    distinct[CLASSES] += end > 0
-    names = head.column("word").to_pylist()
-    model = Model(classes, words, dict(zip(names, head.column("n").to_pylist())), dict(zip(names, head.column("kind").to_pylist())), end)
-    return model, known, n, v, distinct
+    return answers, n + end, v + (end > 0), end
 
 
-_PART = ["bucket", "kind", "payload"]
-_KINDS = [pa.int32(), pa.int8(), pa.binary()]
-_PART_DDL = "bucket int, kind byte, payload binary"
+_FOUND = pa.schema([("docs", pa.binary()), ("numbers", pa.binary()), ("codes", pa.binary())])
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _look_up(end: int):
+    """The documents of a chunk with what the answers say: known words, sum of logs, and the pairs of classes."""
 
+    def look_up(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(chunk):
+            return _FOUND.empty_table()
+        order = np.argsort(answers.column(1).to_numpy())
+        got = [_unpack(answers.column(2)[k].as_py(), np.int64, np.int8) for k in order.tolist()]
+        n, kinds = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
+        _, docs, stream = (chunk.column(k)[0].as_py() for k in range(3))
+        *_, counts = _unpack(docs, np.int64, np.int8, np.int8, np.int64)
+        (numbers,) = _unpack(stream, np.int32)
+        line, _ = line_of(kinds[numbers], counts, CLASSES)
+        codes = (line[:-1] * SIZE + line[1:]).astype(np.int16)
+        first = np.concatenate([[0], np.cumsum(counts)])
+        known, logs = (np.diff(np.concatenate([[0], np.cumsum(x[numbers])])[first]) for x in ((n > 0).astype(np.int64), np.log10(n + ADDED)))
+        found = np.stack([counts + 1, known + (end > 0), logs + math.log10(end + ADDED)]).astype(float)
+        tidy()
+        return pa.Table.from_arrays([pa.array([docs], pa.binary()), pa.array([_pack(found)], pa.binary()), pa.array([_pack(codes)], pa.binary())], schema=_FOUND)
 
-def _score(held, buckets: int):
-    """Head words' counts and class pairs here (kind 2); all other words go to the bucket that has their counts (kind 1),
-    each with the classes beside it, -1 for a word that is no head word, and the next word if that is none."""
+    return look_up
 
-    @tidied
-    def score(batches):
-        model: Model = held.value
-        head, kinds = model.head, model.kinds
-        logs = {w: math.log10(c + ADDED) for w, c in head.items()}
-        docs, lines, tail, held_bytes = [], [], ([], [], [], [], []), 0
-
-        def sent():
-            doc, text, null, learnt = (np.array([d[k] for d in docs], np.int64) for k in range(4))  # noqa: B023
-            numbers = np.array([d[4:] for d in docs], float)  # noqa: B023
-            rows = [(int(text[0]) % buckets, 2, _pack(doc, text, null, learnt, np.ones(len(doc), np.int64), numbers, np.array([len(x) for x in lines], np.int64), np.concatenate(lines)))]  # noqa: B023
-            word, after, at, left, right = tail  # noqa: B023
-            at, left, right = (np.array(x, np.int64) for x in (at, left, right))
-            for b, own in _bucketed(word, buckets):
-                which = at[own]
-                rows.append((b, 1, _pack(b" ".join([word[k] for k in own.tolist()]), b" ".join([after[k] for k in own.tolist()]), doc[which], text[which], learnt[which], left[own], right[own])))
-            for k in range(0, len(rows), 256):
-                yield _rows(rows[k : k + 256], _PART, _KINDS)
 
-        for batch in batches:
-            for doc_id, text, learnt in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                words = words_of(text or b"")
-                line = np.full(len(words) + 2, CLASSES, np.int64)
-                line[1:-1] = np.fromiter((kinds.get(w, -1) for w in words), np.int64, len(words))
-                at = np.flatnonzero(line < 0)
-                known = len(words) - len(at) + (model.end > 0)
-                log = math.log10(model.end + ADDED) + math.fsum([logs[w] for w in words if w in logs])
-                a, b = line[:-1], line[1:]
-                lines.append((a * (CLASSES + 1) + b)[(a >= 0) & (b >= 0)].astype(np.int16))
-                for k in at.tolist():
-                    for column, x in zip(tail, (words[k - 1], words[k] if line[k + 1] < 0 else b"", len(docs), line[k - 1], line[k + 1])):
-                        column.append(x)
-                docs.append((0 if doc_id is None else doc_id, _signed(xxhash.xxh64_intdigest(text or b"", 42)), doc_id is None, learnt, len(words) + 1, known, log))
-                held_bytes += len(text or b"")
-                if held_bytes >= CHUNK // 4:
-                    yield from sent()
-                    docs, lines, tail, held_bytes = [], [], ([], [], [], [], []), 0
-        if docs:
-            yield from sent()
-
-    return score
-
-
-def _resolve(held, buckets: int):
-    """Kind 0: a bucket's counts and classes; kind 1: words of documents to look up there.
-
-    A word gives its count, the class pairs with the neighbours whose classes are known, and sends its class on to the
-    next word if that is no head word either; a word that only ends such a pair has -2 as its right class.
-    """
-
-    @tidied
-    def resolve(batches):
-        model: Model = held.value
-        ids, size = Ids((w, k) for k, w in enumerate(model.own)), CLASSES + 1
-        for bucket, part in groups(batches, "bucket"):
-            counts: dict[bytes, tuple[int, int]] = {}
-            for batch in part:
-                for kind, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    if kind == 0:
-                        words, n, kinds = _unpack(payload, None, np.int64, np.int16)
-                        counts = dict(zip(words.split(b" "), zip(n.tolist(), kinds.tolist())))
-                        continue
-                    words, after, doc, text, learnt, left, right = _unpack(payload, None, None, *[np.int64] * 5)
-                    found = [counts.get(w) or (0, int(model.classes[ids[w]])) for w in words.split(b" ")]
-                    n, c = np.array(found, np.int64).T
-                    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])]))
-                    whole = right != -2
-                    of = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(doc))))
-                    code = np.concatenate([(left * size + c)[left >= 0], (c * size + right)[right >= 0]])
-                    of = np.concatenate([of[left >= 0], of[right >= 0]])
-                    log = np.where(whole, np.log10(n + ADDED), 0)
-                    numbers = np.stack([np.zeros(len(new)), np.add.reduceat((whole & (n > 0)).astype(float), new), np.add.reduceat(log, new)], axis=1)
-                    zero = np.zeros(len(new), np.int64)
-                    rows = [(bucket, 2, _pack(doc[new], text[new], zero, learnt[new], zero, numbers, np.bincount(of, minlength=len(new)).astype(np.int64), code[np.argsort(of, kind="stable")].astype(np.int16)))]
-                    on = np.flatnonzero(right == -1)
-                    if len(on):
-                        after = after.split(b" ")
-                        word = [after[k] for k in on.tolist()]
-                        for b, own in _bucketed(word, buckets):
-                            k = on[own]
-                            rows.append((b, 1, _pack(b" ".join([word[x] for x in own.tolist()]), b"", doc[k], text[k], learnt[k], c[k], np.full(len(k), -2, np.int64))))
-                    for k in range(0, len(rows), 256):
-                        yield _rows(rows[k : k + 256], _PART, _KINDS)
-
-    return resolve
-
-
-def _parts(batches):
+def _documents(batches):
     for batch in batches:
-        for payload in batch.column(0).to_pylist():
-            doc, text, null, learnt, copies, numbers, n, codes = _unpack(payload, *[np.int64] * 5, float, np.int64, np.int16)
-            yield doc, text, null, learnt, copies, numbers.reshape(-1, 3), n, codes
+        for docs, numbers, codes in zip(*(batch.column(k) for k in range(3))):
+            ids, null, learnt, counts = _unpack(docs.as_py(), np.int64, np.int8, np.int8, np.int64)
+            yield ids, null, learnt, counts, _unpack(numbers.as_py(), float)[0].reshape(3, -1), _unpack(codes.as_py(), np.int16)[0]
 
 
 def _class_pairs(batches):
-    total = np.zeros((CLASSES + 1) ** 2, np.int64)
-    for _, _, _, learnt, _, _, n, codes in _parts(batches):
-        total += np.bincount(codes[np.repeat(learnt > 0, n)], minlength=len(total))
-    yield _rows([(total.tobytes(),)], ["payload"], [pa.binary()])
-
-
-_FOUND = ["doc_id", "text_hash", "is_null", "copies", "n_tokens", "n_known", "log", "by_class"]
-_FOUND_KINDS = [pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-_FOUND_DDL = "doc_id long, text_hash long, is_null byte, copies long, n_tokens long, n_known long, log double, by_class double"
+    total = np.zeros(SIZE**2, np.int64)
+    for _, _, learnt, counts, _, codes in _documents(batches):
+        total += np.bincount(codes[np.repeat(learnt > 0, counts + 1)], minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["code", "n"])
 
 
 def _weigh(weights: np.ndarray):
-    """What documents have, with the log probabilities of their class pairs."""
+    """A row for each document, with the log probability of its class pairs."""
 
     @tidied
     def weigh(batches):
-        for doc, text, null, _, copies, numbers, n, codes in _parts(batches):
-            by_class = np.bincount(np.repeat(np.arange(len(doc)), n), weights[codes], len(doc))
-            columns = doc, text, null, copies, numbers[:, 0].astype(np.int64), numbers[:, 1].astype(np.int64), numbers[:, 2], by_class
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FOUND_KINDS)], _FOUND)
+        for ids, null, _, counts, numbers, codes in _documents(batches):
+            by_class = np.add.reduceat(weights[codes], np.concatenate([[0], np.cumsum(counts + 1)[:-1]]))
+            columns = [pa.array(ids, mask=null > 0), *(pa.array(numbers[k].astype(np.int64)) for k in (0, 1)), pa.array(numbers[2]), pa.array(by_class)]
+            for k in range(0, len(ids), 8192):
+                yield pa.RecordBatch.from_arrays([c.slice(k, 8192) for c in columns], ["doc_id", "n_tokens", "n_known", "log", "by_class"])
 
     return weigh
 
 
+def _chunked(docs: DataFrame) -> DataFrame:
+    spark = docs.sparkSession
+    bound_batches(spark)
+    learnt = (remainder(F.col("doc_id")) != 1).alias("learnt")
+    binary = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), learnt)
+    return cut(binary.mapInArrow(_chunks(int(spark.conf.get("spark.sql.shuffle.partitions"))), _CHUNK_DDL))
+
+
+def _words_and_classes(batches):
+    for batch in batches:
+        for payload in batch.column(0):
+            n, kinds, blob = _unpack(payload.as_py(), np.int64, np.int8, None)
+            yield pa.RecordBatch.from_arrays([pa.array(blob.split(b" ")[:-1], pa.binary()), pa.array(n), pa.array(kinds.astype(np.int32))], ["word", "n", "kind"])
+
+
+def word_classes(docs: DataFrame) -> DataFrame:
+    """The classes that :func:`score_documents` scores with: (word, n, class), a row for each distinct word of all texts.
+
+    n counts a word in training texts; words never learnt (n of 0) have the class of their ending. A table without words
+    gives no rows; nulls and repeated rows are treated as :func:`score_documents` says.
+    """
+    answers, *_ = learn(_chunked(docs))
+    rows = answers.where(F.col("chunk") == WORDS).select("payload").mapInArrow(_words_and_classes, "word binary, n long, kind int")
+    return rows.select("word", "n", F.col("kind").alias("class"))
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """Base-10 log probabilities of every whole text under the class bigrams and under single words.
 
@@ -515,39 +518,38 @@ def score_documents(docs: DataFrame) -> DataFrame:
     ``docs``. Null and empty texts are just an end; null ids are learnt from and so not held out; equal rows score
     alike, each with a row; without training documents every count is 0; an empty table gives no rows. Columns other
     than doc_id and text are not read. All counts (words, pairs, classes, distinct words) cover all training documents;
-    what the driver and the broadcasts hold (head words, classes, matrix) is bounded by OWN, HEAD and CLASSES, and the
-    counts and classes of all other words meet the documents' words in a shuffle. Words outside of OWN are given their
-    classes once, after the exchange, each by its own neighbours; words never learnt have the class of their ending.
+    what the driver and the broadcasts hold (words clustered one by one, classes, matrix) is of fixed size. Words outside
+    of OWN are given their classes once, after the exchange, each by its own neighbours; words never learnt have the
+    class of their ending. A word costs a bucket one entry a chunk, however often the chunk has it.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    model, counts, n, v, distinct = train(docs)
-    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held, known = spark.sparkContext.broadcast(model), _with_kind(counts)
-    learnt = (remainder(F.col("doc_id")) != 1).cast("int").alias("learnt")
-    binary = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), learnt)
-    parts = [cut(binary.mapInArrow(_score(held, buckets), _PART_DDL))]
-    for _ in range(2):  # words, then the second words of pairs of which neither is a head word
-        sent = known.unionByName(parts[-1].where("kind = 1"))
-        parts.append(cut(_by_bucket(sent, "kind").mapInArrow(_resolve(held, buckets), _PART_DDL)))
-    payloads = functools.reduce(DataFrame.unionByName, [p.where("kind = 2").select("payload") for p in parts])
-    matrix = sum((np.frombuffer(r.payload, np.int64) for r in payloads.mapInArrow(_class_pairs, "payload binary").collect()), np.zeros((CLASSES + 1) ** 2, np.int64)).reshape(CLASSES + 1, -1)
-    weights = np.log10((matrix + ADDED) / (matrix.sum(axis=1, keepdims=True) + ADDED * (CLASSES + 1))) - np.log10(matrix.sum(axis=0) + ADDED * (distinct + 1))
+    chunks = _chunked(docs)
+    answers, n, v, end = learn(chunks)
+    shown = chunks.select("chunk", "docs", "stream").groupBy("chunk").cogroup(answers.where("chunk >= 0").groupBy("chunk"))
+    found = cut(shown.applyInArrow(_look_up(end), "docs binary, numbers binary, codes binary"))
+    matrix = summed_matrix(found.mapInArrow(_class_pairs, "code long, n long"))
+    told = answers.where(F.col("chunk") == DISTINCT).select("payload").mapInArrow(_distinct, "code long, n long")
+    distinct = np.zeros(SIZE, np.int64)
+    for r in told.groupBy("code").agg(F.sum("n").alias("n")).collect():
+        distinct[r.code] = r.n
+    distinct[CLASSES] += end > 0
+    drop_cut(chunks)
+    drop_cut(answers)
+    weights = np.log10((matrix + ADDED) / (matrix.sum(axis=1, keepdims=True) + ADDED * SIZE)) - np.log10(matrix.sum(axis=0) + ADDED * (distinct + 1))
     base = math.log10(n + ADDED * (v + 1))
-    found = payloads.mapInArrow(_weigh(weights.ravel()), _FOUND_DDL)
-    sums = found.groupBy("doc_id", "text_hash").agg(
-        F.sum("copies").alias("copies"), F.sum("is_null").alias("nulls"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "log", "by_class"))
-    )
-    one = lambda name, kind="long": (F.col(name) / F.col("copies")).cast(kind)
-    # A null id and id 0 with one text have one sum; the first copies are the nulls.
-    rows = sums.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    doc_id = F.when(F.col("nth") > F.col("nulls"), F.col("doc_id"))
-    rows = rows.select(doc_id.alias("doc_id"), one("n_tokens").alias("n_tokens"), one("n_known").alias("n_known"), one("log", "double").alias("log"), one("by_class", "double").alias("by_class"))
+    rows = found.mapInArrow(_weigh(weights.ravel()), "doc_id long, n_tokens long, n_known long, log double, by_class double")
     return rows.select(
         "doc_id", (remainder(F.col("doc_id")) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
         (F.col("log") - F.col("n_tokens") * F.lit(base)).alias("base_score"), (F.col("log") + F.col("by_class")).alias("score"),
     ).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
+def _distinct(batches):
+    total = np.zeros(SIZE, np.int64)
+    for batch in batches:
+        for payload in batch.column(0):
+            total += np.frombuffer(payload.as_py(), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE), pa.int64()), pa.array(total)], ["code", "n"])
+
+
 def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
