@@ -499,13 +499,49 @@ def test_near_vectors(spark):
     assert neardup_vectors.near_duplicates(vectors.where("false")).count() == 0
 
 
+def test_near_vectors_in_many_groups(spark, monkeypatch):
+    for name, value in (("GROUP", 64), ("TREE", 32), ("PIVOTS", 12), ("SAMPLE", 100)):
+        monkeypatch.setattr(neardup_vectors, name, value)
+    rnd = np.random.default_rng(5)
+    base = rnd.normal(size=(150, 6))
+    data = [(k, (base[k % 150] + rnd.normal(size=6) * 0.08).tolist()) for k in range(400)] + [(1000 + k, (base[0] + rnd.normal(size=6) * 0.01).tolist()) for k in range(200)]
+    unit = np.array([np.array(v) / np.linalg.norm(v) for _, v in data])
+    link = unit @ unit.T >= 0.95
+    np.fill_diagonal(link, False)
+    label = np.array([i for i, _ in data])
+    while True:
+        new = np.array([min(label[k], *label[link[k]]) if link[k].any() else label[k] for k in range(len(data))])
+        if (new == label).all():
+            break
+        label = new
+    got = neardup_vectors.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(4))
+    assert rows(got, "vec_id", "n_links", "component_id") == sorted(((i, int(link[k].sum()), int(label[k])) for k, (i, _) in enumerate(data)), key=repr)
+
+
+def test_near_vectors_with_repeated_ids(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.01]
+    data = [(0, a), (1, a), (1, b), (5, c), (9, [0.0, 0.0, 1.0]), (9, [0.0, 0.0, -1.0]), (9, [0.0, 0.0, -1.0])]
+    got = neardup_vectors.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    assert rows(got, "vec_id", "n_links", "component_id", "kept") == sorted(
+        [(0, 1, 0, True), (1, 1, 0, False), (1, 1, 0, False), (5, 1, 0, False), (9, 0, 9, True), (9, 1, 9, True), (9, 1, 9, True)], key=repr
+    )
+
+
 def test_cover_tree_covers_and_separates():
-    units = neardup_vectors.units_of(np.random.default_rng(1).normal(size=(300, 3)))
-    tree = neardup_vectors.CoverTree(units)
-    for (centres, _, cover), radius in zip(tree.levels[:-1], neardup_vectors.RADII):
-        assert (cover <= radius + 1e-9).all()
-    a, b = neardup_vectors.CoverTree(units[:150]), neardup_vectors.CoverTree(units[150:])
-    assert (neardup_vectors.dual(a, b, 0.9) == (units[:150] @ units[150:].T >= 0.9)).all()
+    for units in (neardup_vectors.units_of(np.random.default_rng(1).normal(size=(300, 3))), neardup_vectors.units_of(np.random.default_rng(2).normal(size=(200, 32)))):
+        tree = neardup_vectors.CoverTree(units)
+        above, top = np.zeros(len(units), int), None
+        for (centres, parent, cover), radius in zip(tree.levels[:-1], neardup_vectors.RADII):
+            assert (cover <= radius + 1e-9).all() and (top is None or set(top.tolist()) <= set(centres.tolist()))
+            for k in set(parent.tolist()):
+                own = units[centres[parent == k]]
+                assert (neardup_vectors.distances(own, own)[np.triu_indices(len(own), 1)] > radius - 1e-9).all()
+            top = centres
+        assert sorted(tree.levels[-1][0].tolist()) == list(range(len(units))) and len(above) == len(units)
+        a, b = neardup_vectors.CoverTree(units[:150]), neardup_vectors.CoverTree(units[150:])
+        for threshold in (0.5, 0.9):
+            x, y = neardup_vectors.dual(a, b, threshold)
+            assert set(zip(x.tolist(), y.tolist())) == set(zip(*(z.tolist() for z in np.nonzero(units[:150] @ units[150:].T >= threshold))))
 
 
 def test_pipeline(spark, tmp_path):
