@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import Counter
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,15 +16,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import bound_batches, table
+from .common import bound_batches, cut, table
 
 #: Words in a shingle, shingle overlap of the item as a whole and of its question and answer, share of its own BM25 score.
 SHINGLE, OVERLAP, PART_OVERLAP, THRESHOLD = 5, 0.8, 0.5, 0.7
+#: Questions and answers of fewer words are compared by single words, or one changed word would leave nothing of them.
+SHORT = 10
 K1, B = 1.2, 0.75
 #: Postings in a block; words in half a passage at least; text bytes that one broadcast index holds at most.
-BLOCK, HALF, INDEX_BYTES = 16, 64, 64 << 20
-#: Ranges of items whose largest weights all passages are tried against at once, before any posting is read.
-RANGES = 64
+BLOCK, HALF, INDEX_BYTES = 16, 64, 16 << 20
+#: Ranges of items whose largest weights all passages are tried against at once, before any posting is read, and bytes of
+#: those; postings lists and items that a worker keeps unpacked.
+RANGES, RANGE_BYTES, UNPACKED = 64, 16 << 20, 20_000
+#: A word as :func:`fold_words` has it, for counting in the JVM.
+FOLDED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -52,35 +59,71 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return text[: text.rstrip().rfind(parts[-1])], parts[-1]
 
 
+class Totals(NamedTuple):
+    """What scores need of all items: how many have words, their mean and largest number of words."""
+
+    items: int
+    mean: float
+    longest: int
+
+
 class Index:
-    """BM25 postings of the items, each weight divided by its item's score against itself, in blocks with their maxima."""
+    """BM25 postings of some items, each weight divided by its item's score against itself, in blocks with their maxima.
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    Postings are arrays, one term's after the other's; weights come from the totals and document frequencies of all
+    items, so they don't depend on which items share an index.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], totals: Totals | None = None, frequency: dict[bytes, int] | None = None) -> None:
         words = [(i, fold_words(t.encode()), t) for i, t in items]
         words = [(i, w, t) for i, w, t in words if w]
-        self.ids = [i for i, _, _ in words]
-        self.parts = [tuple(shingles(fold_words(p.encode())) for p in (t, *question_and_answer(t))) for _, _, t in words]
-        self.half = max([HALF, *(len(w) for _, w, _ in words)])
-        mean = sum(len(w) for _, w, _ in words) / max(1, len(words))
-        df = Counter(x for _, w, _ in words for x in set(w))
-        postings: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
+        self.ids, self.texts = [i for i, _, _ in words], [t for _, _, t in words]
+        if totals is None:
+            totals, frequency = Totals(len(words), sum(len(w) for _, w, _ in words) / max(1, len(words)), max([0, *(len(w) for _, w, _ in words)])), Counter(x for _, w, _ in words for x in set(w))
+        self.half = max(HALF, totals.longest)
+        self.vocabulary = {x: k for k, x in enumerate(sorted({x for _, w, _ in words for x in w}))}
+        idf = np.array([math.log(1 + (totals.items - frequency[x] + 0.5) / (frequency[x] + 0.5)) for x in self.vocabulary])
+        terms, docs, weights = [], [], []
         for d, (_, w, _) in enumerate(words):
-            own = {x: math.log(1 + (len(words) - df[x] + 0.5) / (df[x] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / mean)) for x, n in Counter(w).items()}
-            full = sum(own.values())
-            for x, s in own.items():
-                postings[x].append((d, s / full))
-        self.vocabulary = {x: k for k, x in enumerate(sorted(postings))}
-        lists = [postings[x] for x in self.vocabulary]
-        self.docs = [[d for d, _ in p] for p in lists]
-        self.weights = [[w for _, w in p] for p in lists]
-        self.block_max = [[max(w[k : k + BLOCK]) for k in range(0, len(w), BLOCK)] for w in self.weights]
-        self.block_last = [[d[min(k + BLOCK, len(d)) - 1] for k in range(0, len(d), BLOCK)] for d in self.docs]
-        self.most = np.array([*(max(w) for w in self.weights), 0.0])  # the last stands for unknown words
-
-        ranges = max(1, min(RANGES, -(-len(words) // 4)))
-        self.range_max = np.zeros((len(lists) + 1, ranges), np.float32)
-        for t, (docs, weights) in enumerate(zip(self.docs, self.weights)):
-            np.maximum.at(self.range_max[t], np.array(docs) * ranges // len(words), weights)
+            own, n = np.unique(np.fromiter(map(self.vocabulary.__getitem__, w), np.int32, len(w)), return_counts=True)
+            score = idf[own] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / totals.mean))
+            terms.append(own)
+            docs.append(np.full(len(own), d, np.int32))
+            weights.append(score / score.sum())
+        terms, docs, weights = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((terms, np.int32), (docs, np.int32), (weights, float)))
+        order = np.argsort(terms, kind="stable")
+        terms, self.docs, self.weights = terms[order], docs[order], weights[order]
+        self.first = np.searchsorted(terms, np.arange(len(self.vocabulary) + 1))
+        self.most = np.zeros(len(self.vocabulary) + 1)  # the last stands for unknown words
+        np.maximum.at(self.most, terms, self.weights)
+        ranges = max(1, min(RANGES, -(-len(words) // 4), RANGE_BYTES // (4 * len(self.most))))
+        self.range_max = np.zeros((len(self.most), ranges), np.float32)
+        np.maximum.at(self.range_max, (terms, self.docs.astype(np.int64) * ranges // max(1, len(words))), self.weights.astype(np.float32))
+        self.lists: dict[int, tuple] = {}
+        self.parts: dict[int, tuple] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"lists": {}, "parts": {}}
+
+    def postings(self, term: int) -> tuple[list, list, list, list]:
+        """Items and weights of a term, and the largest weight and last item of each block, as lists."""
+        if term not in self.lists:
+            if len(self.lists) >= UNPACKED:
+                self.lists.clear()
+            docs, weights = (x[self.first[term] : self.first[term + 1]].tolist() for x in (self.docs, self.weights))
+            blocks = range(0, len(docs), BLOCK)
+            self.lists[term] = docs, weights, [max(weights[k : k + BLOCK]) for k in blocks], [docs[min(k + BLOCK, len(docs)) - 1] for k in blocks]
+        return self.lists[term]
+
+    def shingles_of(self, item: int) -> tuple:
+        """Shingles of an item, its question and its answer."""
+        if item not in self.parts:
+            if len(self.parts) >= UNPACKED:
+                self.parts.clear()
+            text = self.texts[item]
+            parts = [fold_words(p.encode()) for p in question_and_answer(text)]
+            self.parts[item] = shingles(fold_words(text.encode())), *(shingles(p, SHINGLE if len(p) >= SHORT else 1) for p in parts)
+        return self.parts[item]
 
     def may_reach(self, passages: np.ndarray, threshold: float) -> np.ndarray:
         """Which passages (sorted distinct terms, the rest unknown) have a range of items whose bound is high enough."""
@@ -91,7 +134,8 @@ class Index:
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Block-max WAND: all items with at least ``threshold`` of their own score for a passage of these distinct terms."""
-        cursors = [[self.docs[t][0], t, 0] for t in terms]
+        held = {t: self.postings(t) for t in terms}
+        cursors = [[held[t][0][0], t, 0] for t in terms]
         found = []
         while cursors:
             cursors.sort()
@@ -108,29 +152,26 @@ class Index:
                 pivot += 1
             tight, until = 0.0, None
             for _, t, at in cursors[: pivot + 1]:
-                block = at // BLOCK
-                while block < len(self.block_last[t]) and self.block_last[t][block] < doc:
-                    block += 1
-                if block < len(self.block_last[t]):
-                    tight += self.block_max[t][block]
-                    until = min(until, self.block_last[t][block]) if until is not None else self.block_last[t][block]
+                _, _, highest, last = held[t]
+                block = bisect_left(last, doc, at // BLOCK)
+                if block < len(last):
+                    tight += highest[block]
+                    until = min(until, last[block]) if until is not None else last[block]
             if tight < threshold:  # no item up to the end of these blocks can reach it
                 beyond = (until if until is not None else doc) + 1
                 if pivot + 1 < len(cursors):
                     beyond = min(beyond, cursors[pivot + 1][0])
                 move, to = cursors[: pivot + 1], max(beyond, doc + 1)
             elif cursors[0][0] == doc:
-                score = sum(self.weights[t][at] for d, t, at in cursors[: pivot + 1] if d == doc)
+                score = sum(held[t][1][at] for d, t, at in cursors[: pivot + 1] if d == doc)
                 if score >= threshold:
                     found.append((doc, score))
                 move, to = cursors[: pivot + 1], doc + 1
             else:
                 move, to = [c for c in cursors[:pivot] if c[0] < doc], doc
             for c in move:
-                docs, at = self.docs[c[1]], c[2]
-                while at < len(docs) and docs[at] < to:
-                    at += 1
-                c[2] = at
+                docs = held[c[1]][0]
+                c[2] = at = bisect_left(docs, to, c[2])
                 c[0] = docs[at] if at < len(docs) else -1
             cursors = [c for c in cursors if c[0] >= 0]
         return found
@@ -178,7 +219,7 @@ class Index:
                 begin = (at + k - int(first[d])) * size
                 own = words[d][begin : begin + 2 * size]
                 for item, score in hits:
-                    overall, question, answer = (overlap(p, own) for p in self.parts[item])
+                    overall, question, answer = (overlap(p, own) for p in self.shingles_of(item))
                     if overall >= OVERLAP and min(question, answer) >= PART_OVERLAP:
                         row = {"item_id": self.ids[item], "passage": int(begin // size), "score": float(score), "overlap": overall, "question_overlap": question, "answer_overlap": answer}
                         old = best.get((d, item))
@@ -193,55 +234,83 @@ _FIELDS = ("item_id", "passage", "score", "overlap", "question_overlap", "answer
 _LEAK = ArrayType(StructType([StructField(n, LongType() if k < 2 else DoubleType()) for k, n in enumerate(_FIELDS)]))
 
 
-def indexes(items: DataFrame) -> list:
-    """Broadcast indexes of all items with a text, each over INDEX_BYTES of item text at most; most benchmarks need one.
+def _words_of_items(batches):
+    """Distinct words of items, with the number of their shard."""
+    for batch in batches:
+        for shard, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = sorted(set(fold_words(text.encode())))
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(own), pa.int32()), pa.array(own, pa.binary())], ["shard", "word"])
+
+
+def indexes(items: DataFrame, index_bytes: int = INDEX_BYTES):
+    """Indexes of all items with a text, one after the other, each over ``index_bytes`` of item text at most, or one item.
 
-    A set of items beyond that bound is cut into several indexes by the items' hashes, and every passage queries each.
+    Items beyond that bound are dealt by size to several indexes, of which the driver makes, and workers hold, one at a
+    time. Totals and document frequencies are aggregates over all items, so that scores don't depend on the dealing.
     """
-    spark = items.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
-    held = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = -(-held // INDEX_BYTES) or 1
-    out = []
+    n = F.regexp_count("text", F.lit(FOLDED_WORD))
+    items = items.withColumn("n", n).where("n > 0")
+    count, mean, longest, held = items.agg(F.count(F.lit(1)), F.avg("n"), F.max("n"), F.sum(F.octet_length("text"))).first()
+    totals = Totals(count, mean or 0.0, longest or 0)
+    shards = max(1, -(-2 * (held or 0) // index_bytes)) if (held or 0) > index_bytes else 1
+    dealt = items.select(F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int").alias("shard"), "item_id", "text")
+    words = dealt.select("shard", "text").mapInArrow(_words_of_items, "shard int, word binary")
+    frequency = words.groupBy("word").count()
+    if shards > 1:
+        frequency, words = cut(frequency), cut(words.distinct())
     for k in range(shards):
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == k) if shards > 1 else items
-        out.append(spark.sparkContext.broadcast(Index(sorted((r.item_id, r.text) for r in own.collect()))))
-    return out
+        own = sorted((r.item_id, r.text) for r in dealt.where(F.col("shard") == k).select("item_id", "text").collect())
+        known = frequency if shards == 1 else frequency.join(words.where(F.col("shard") == k).select("word"), "word", "left_semi")
+        table_ = known.toArrow()
+        yield Index(own, totals, dict(zip(table_.column("word").to_pylist(), table_.column("count").to_pylist())))
 
 
-def leaks_column(items: DataFrame, text):
-    """A column with the leaks of ``text``, an array of structs: item_id, passage, score, overlaps."""
+def _leaks_of(spark: SparkSession, index: Index, text):
+    """A column with the leaks of ``text`` in one index, an array of structs: item_id, passage, score, overlaps."""
     kind = pa.list_(pa.struct([(n, pa.int64() if k < 2 else pa.float64()) for k, n in enumerate(_FIELDS)]))
+    held = spark.sparkContext.broadcast(index)
 
-    def one(index):
-        @arrow_udf(_LEAK)
-        def leaks(texts: pa.Array) -> pa.Array:
-            found = []
-            for at in range(0, len(texts), 512):
-                found += index.value.leaks([x or b"" for x in texts.slice(at, 512).to_pylist()])
-            return pa.array(found, kind)
-
-        return leaks(text.cast("binary"))
+    @arrow_udf(_LEAK)
+    def leaks(texts: pa.Array) -> pa.Array:
+        found = []
+        for at in range(0, len(texts), 512):
+            found += held.value.leaks([x or b"" for x in texts.slice(at, 512).to_pylist()])
+        return pa.array(found, kind)
 
-    bound_batches(items.sparkSession)
-    columns = [one(index) for index in indexes(items)]
-    return columns[0] if len(columns) == 1 else F.concat(*columns)
+    return leaks(text.cast("binary"))
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """Test items that documents hold: (doc_id, item_id, passage, score, overlap, question_overlap, answer_overlap).
 
-    A row for each item that a row of ``docs`` holds; nothing is shuffled, the index being broadcast within its bound.
+    A row for each item that a row of ``docs`` holds; no document is shuffled, an index being broadcast within its bound.
     Null and empty texts and items hold nothing; null ids and repeated rows are searched like others; items that are
-    equal are all found; an empty table gives no rows; columns other than doc_id, item_id and text are not read.
+    equal are all found; an empty table gives no rows; columns other than doc_id, item_id and text are not read. With
+    several indexes the documents are read once for each, and what is found is written before the next is made.
     """
-    found = docs.select("doc_id", leaks_column(items, F.col("text")).alias("leaks"))
-    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+    spark = items.sparkSession
+    bound_batches(spark)
+    out, waiting = None, None
+    for index in indexes(items, index_bytes):
+        if waiting is not None:
+            out = cut(waiting) if out is None else out.unionByName(cut(waiting))
+        waiting = docs.select("doc_id", F.explode(_leaks_of(spark, index, F.col("text"))).alias("leak")).select("doc_id", "leak.*")
+    return waiting if out is None else out.unionByName(cut(waiting))
 
 
-def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, with their columns."""
-    return docs.where(F.size(leaks_column(items, F.col("text"))) == 0)
+def clean_documents(docs: DataFrame, items: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no test item, with their columns.
+
+    Null and empty texts hold nothing and stay; null ids and repeated rows are judged by their own text; without items all
+    rows stay. With several indexes, what one leaves is written before the next is made.
+    """
+    spark = items.sparkSession
+    bound_batches(spark)
+    first = True
+    for index in indexes(items, index_bytes):
+        docs, first = (docs if first else cut(docs)).where(F.size(_leaks_of(spark, index, F.col("text"))) == 0), False
+    return docs
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

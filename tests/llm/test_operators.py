@@ -468,6 +468,57 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(own, bench.where("false")).count() == 0
 
 
+def plain_leaks(docs, items):
+    """Every passage against every item: BM25 of distinct words as a share of the item's own, then overlaps."""
+    fold = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    own = [(i, fold(t), t) for i, t in items if i is not None and fold(t)]
+    mean, half = sum(len(w) for _, w, _ in own) / len(own), max(64, *(len(w) for _, w, _ in own))
+    df = collections.Counter(x for _, w, _ in own for x in set(w))
+    grams = lambda w, n: {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+
+    def weight(x, w):
+        n = w.count(x)
+        return math.log(1 + (len(own) - df[x] + 0.5) / (df[x] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(w) / mean))
+
+    out = []
+    for i, text in docs:
+        w, best = fold(text), {}
+        for k in range(0, len(w), half):
+            passage = w[k : k + 2 * half]
+            for item, words_, t in own:
+                full = sum(weight(x, words_) for x in set(words_))
+                score = sum(weight(x, words_) for x in set(words_) & set(passage)) / full
+                sides = [fold(p) for p in decontaminate.question_and_answer(t)]
+                over = []
+                for side, n in ((words_, 5), *((x, 5 if len(x) >= 10 else 1) for x in sides)):
+                    g = grams(side, n)
+                    over.append(len(g & grams(passage, len(next(iter(g))))) / len(g) if g else 1.0)
+                if score >= 0.7 and over[0] >= 0.8 and min(over[1:]) >= 0.5 and (over[0], score) > best.get(item, ((-1,),))[0]:
+                    best[item] = ((over[0], score), k // half)
+        out += [(i, item, at, round(score, 6), round(overall, 6)) for item, ((overall, score), at) in best.items()]
+    return out
+
+
+def test_decontaminate_finds_what_a_plain_search_finds(spark):
+    rnd, data = random.Random(11), []
+    items = [(k, f"{words(rnd.randint(6, 50), 700 + k)}. {words(rnd.randint(2, 12), 800 + k)}.") for k in range(40)] + [(40, "x"), (41, None), (None, "lost one of all")]
+    for k in range(120):
+        own = items[k % 40][1].replace(".", "").split()
+        for _ in range(rnd.randint(0, 3)):
+            own[rnd.randrange(len(own))] = "changed"
+        data.append((k, f"{words(rnd.randint(0, 200), 900 + k)} {' '.join(own)} {words(rnd.randint(0, 90), 1900 + k)}"))
+    docs = spark.createDataFrame([(*d, "z", 1.0) for d in data], "doc_id long, text string, item_id string, score double").repartition(3)
+    bench = spark.createDataFrame([(*i, "z") for i in items], "item_id long, text string, doc_id string")
+    expected = sorted(plain_leaks(data, items))
+    assert len(expected) > 40
+    for size in (decontaminate.INDEX_BYTES, 3000):  # one index, and several
+        got = decontaminate.leaks(docs, bench, size)
+        assert sorted((r.doc_id, r.item_id, r.passage, round(r.score, 6), round(r.overlap, 6)) for r in got.collect()) == expected
+        clean = decontaminate.clean_documents(docs, bench, size)
+        assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i, _ in data} - {e[0] for e in expected}
+    assert len(list(decontaminate.indexes(bench, 3000))) > 1
+
+
 def test_wand_finds_what_brute_force_finds():
     rnd = random.Random(9)
     index = decontaminate.Index([(k, words(rnd.randint(5, 60), 1000 + k)) for k in range(120)])
@@ -475,7 +526,7 @@ def test_wand_finds_what_brute_force_finds():
         terms = sorted(rnd.sample(range(len(index.vocabulary)), rnd.randint(1, min(30, len(index.vocabulary)))))
         scores = collections.defaultdict(float)
         for t in terms:
-            for d, w in zip(index.docs[t], index.weights[t]):
+            for d, w in zip(*index.postings(t)[:2]):
                 scores[d] += w
         for threshold in (0.1, 0.3, 0.6):
             assert sorted(d for d, _ in index.search(terms, threshold)) == sorted(d for d, s in scores.items() if s >= threshold)
