@@ -451,6 +451,56 @@ def test_licenses(docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def plain_scan(text):
+    """All rules over the folded text without the prefilter; what lies inside an interval taken before is dropped."""
+    folded = licenses.fold(text)
+    found = sorted(((r.priority, m.start() - m.end(), m.start(), r.name, r) for r in licenses.rules() for m in r.pattern.finditer(folded)), key=lambda x: x[:4])
+    taken = []
+    for _, minus, at, _, r in found:
+        if not any(a <= at and at - minus <= b for a, b, _ in taken):
+            taken.append((at, at - minus, r))
+    doubt = math.prod(1 - r.confidence for *_, r in taken)
+    base = {n for p, n in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")) if f" {p} ".encode() in folded}
+    return ",".join(sorted(base | {r.label for *_, r in taken})), 1 - (0.4 if base and not taken else doubt)
+
+
+def example(pattern):
+    """A text that a signature matches: options left out, first alternatives taken."""
+    text = pattern.replace(licenses.SOMEBODY, "the person ").replace("[^ ]*", "oo").replace("\\d", "2").replace("[123]", "2").replace("[12]", "2").replace("[01]", "1")
+    text = re.sub(r"\(\?:[^()]*\)\?", "", text).replace(" ?", " ")
+    text = re.sub(r"\(\?:([^()|]*)[^()]*\)", r"\1", text)
+    return re.sub(" +", " ", text)
+
+
+def test_license_signatures_match_their_text():
+    for name, _, _, label, keyword, pattern in licenses.SINGLE:
+        text = example(pattern)
+        found = [r for r in licenses.rules() if r.name == name and r.pattern.search(licenses.fold(text.encode()))]
+        assert found and keyword in text and label in licenses.scan_text(f"Some words. {text.upper() if text.isascii() else text}, and more.".encode())["labels"].split(","), name
+
+
+def test_license_labels_are_those_of_a_plain_scan():
+    rnd = random.Random(8)
+    pieces = [example(r[5]) for r in licenses.SINGLE] + ["GPL-3.0-only", "SPDX-License-Identifier: MIT", "licensed under the Creative Commons Attribution-ShareAlike 4.0 International License", "the BSD license", "Mozilla Public License, version 2.0", "mit license mit license", ""]
+    for k in range(150):
+        text = " ".join(x for _ in range(rnd.randint(0, 6)) for x in (words(rnd.randint(0, 5), rnd.randint(0, 99)), rnd.choice(pieces)))
+        got = licenses.scan_text(text.encode())
+        labels, score = plain_scan(text.encode())
+        assert got["labels"] == labels and math.isclose(got["score"], score, abs_tol=1e-9), text
+
+
+def test_license_scan_of_a_long_text_is_linear():
+    import time
+
+    seconds = []
+    for n in (1 << 13, 1 << 16):
+        began = time.process_time()
+        found = licenses.scan_text(b"the MIT License, " * n)
+        seconds.append(time.process_time() - began)
+        assert found["n_base"] == n and found["last_word"] == 3 * n - 2 and len(found["detections"]) == n
+    assert seconds[1] < 16 * max(seconds[0], 0.1)
+
+
 def test_license_rules():
     assert len(licenses.rules()) > 200
     found = licenses.scan(licenses.fold(b"Licensed under the Apache License, Version 2.0."))
