@@ -137,7 +137,10 @@ def open_dataset(spark: SparkSession, path: str, limits: Limits = Limits(), **op
     descriptor = format_of(path)
     module = driver(descriptor)
     preflight(path, limits.max_input_bytes if not options.pop("unlimited", False) else None)
+    options.setdefault("max_rows", limits.max_rows)
     layers = guarded("open", module.describe, spark, path, options)
+    if any(x.extra.get("rows", 0) > limits.max_rows for x in layers):
+        raise EdgeError("LIMIT", "too many rows", category="resource", phase="open")
     if any(len(x.schema.fields) > limits.max_columns for x in layers):
         raise EdgeError("LIMIT", "too many columns", category="resource", phase="open")
     return Dataset(spark, path, descriptor, layers, options, limits)

@@ -48,13 +48,22 @@ def lattice(seen: set[str]) -> str:
     return "number"
 
 
-def infer_types(df: DataFrame, columns: list[str] | None = None, kinds=classify) -> dict[str, str]:
-    """Inferred types of text columns; one job whatever their number, with a partial aggregate in every task."""
+#: What the classes count as in a column's set of them, so that sets meet as whole numbers.
+_BITS = {c: 1 << k for k, c in enumerate(CLASSES)}
+
+
+def infer_types(df: DataFrame, columns: list[str] | None = None, kinds=classify, count: bool = False):
+    """Inferred types of text columns; one job whatever their number, with a partial aggregate in every task.
+
+    With ``count`` also how many rows there are.
+    """
     columns = df.columns if columns is None else columns
-    if not columns:
+    if not columns and not count:
         return {}
-    row = df.agg(*(F.collect_set(kinds(F.col(f"`{c}`"))).alias(f"c{k}") for k, c in enumerate(columns))).first()
-    return {c: lattice(set(row[k])) for k, c in enumerate(columns)}
+    bits = lambda c: F.bit_or(F.element_at(F.create_map(*(F.lit(x) for pair in _BITS.items() for x in pair)), kinds(F.col(f"`{c}`"))))
+    row = df.agg(F.count(F.lit(1)), *(bits(c).alias(f"c{k}") for k, c in enumerate(columns))).first()
+    found = {c: lattice({name for name, bit in _BITS.items() if (row[k + 1] or 0) & bit}) for k, c in enumerate(columns)}
+    return (found, row[0]) if count else found
 
 
 def typed(cell: Column, kind: str) -> Column:

@@ -103,8 +103,10 @@ def diagnose(
 
 
 def first_examples(found: DataFrame, n: int = EXAMPLES) -> DataFrame:
-    """Of (row, cause) the first ``n`` rows of each cause."""
-    return found.withColumn("nth", F.row_number().over(Window.partitionBy("cause").orderBy("row"))).where(F.col("nth") <= n)
+    """Of (row, cause) the first ``n`` rows of each cause; each partition keeps its own first ones before they meet."""
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("row"))
+    some = found.withColumn("part", F.spark_partition_id()).withColumn("nth", nth("part", "cause")).where(F.col("nth") <= n).drop("part")
+    return some.withColumn("nth", nth("cause")).where(F.col("nth") <= n)
 
 
 def geometry_types(df: DataFrame, column: str) -> list[tuple[str, str]]:

@@ -11,12 +11,15 @@ import sqlite3
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from .contract import GeometryContract, with_geometry
 from .crs import CRS84, resolved
 from .dataset import ReadRequest, open_dataset
+from .errors import EdgeError
 from .functions import curves
 from .functions.udfs import geojson_to_wkb, wkb_bbox, wkb_inspect, wkb_point, wkb_to_geojson, wkb_to_wkt, wkt_to_wkb
 from .limits import initial_batch_rows
@@ -33,6 +36,8 @@ EPSG = resolved("EPSG:4326")
 def work(spark: SparkSession) -> str:
     """A new folder for files, under the shared folder where that is a local path."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or ""
+    if not shared.startswith(("file:///", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise EdgeError("USAGE", "files need a shared folder that executors see as a path", category="usage")
     base = shared.removeprefix("file://") if shared.startswith(("file:///", "/")) else tempfile.gettempdir()
     path = os.path.join(base, "cartolith-files", uuid.uuid4().hex)
     os.makedirs(path)
@@ -224,9 +229,10 @@ def dxf_roundtrip(spark, sf_dir):
 
 
 def dxf_arc_points(spark, sf_dir):
-    @F.udf("int")
-    def n(sweep):
-        return len(curves.arc((0.0, 0.0), 1.0, 0.0, sweep))
+    """Points of arcs, worked out by the tessellation batch by batch."""
+    @arrow_udf("int")
+    def n(sweep: pa.Array) -> pa.Array:
+        return pa.array([len(curves.arc((0.0, 0.0), 1.0, 0.0, s)) for s in sweep.to_pylist()], pa.int32())
 
     return table(spark, sf_dir, "part").select("p_partkey", n(F.col("p_size").cast("double") * 7).alias("points"))
 
@@ -266,8 +272,6 @@ def coercion_loss(spark, sf_dir):
 
 def capability_matrix(spark, sf_dir):
     """Which formats accept suppliers, and why others refuse."""
-    from .errors import EdgeError
-
     rows = []
     for name in sorted(FORMATS):
         for kind, df in (("points", suppliers(spark, sf_dir)), ("crs84", suppliers(spark, sf_dir, resolved(CRS84))), ("dates", suppliers(spark, sf_dir).withColumn("day", F.current_date()))):
@@ -334,5 +338,27 @@ ORACLE_SQL = {
     "violations_by_cause": f"SELECT {_CAUSE} AS cause, count(*) AS n FROM part WHERE {_CAUSE} IS NOT NULL GROUP BY 1",
     "diagnostic_examples": f"SELECT cause, p_partkey AS row FROM (SELECT p_partkey, {_CAUSE} AS cause, row_number() OVER (PARTITION BY {_CAUSE} ORDER BY p_partkey) AS k FROM part) WHERE cause IS NOT NULL AND k <= 3",
     "batch_plan": "SELECT CAST(65536 // (512 + 8 + 4 + 64 + 8) AS INTEGER) AS batch_rows, count(*) AS n, CAST(ceil(count(*) / (65536 // (512 + 8 + 4 + 64 + 8))) AS BIGINT) AS batches FROM customer",
+    "capability_matrix": """
+        SELECT f AS format, k AS layer, CASE WHEN f = 'filegdb' THEN 'UNSUPPORTED' WHEN k = 'points' AND f IN ('geojson', 'kml') THEN 'REPROJECTION_REQUIRED'
+            WHEN k = 'crs84' AND f = 'gpkg' OR k = 'dates' AND f NOT IN ('dxf', 'geoparquet', 'ipc') THEN 'CONTRACT' ELSE 'accepted' END AS verdict
+        FROM (VALUES ('csv'), ('dxf'), ('filegdb'), ('geojson'), ('geoparquet'), ('gpkg'), ('ipc'), ('kml'), ('shp'), ('xls')) a(f), (VALUES ('points'), ('crs84'), ('dates')) b(k)""",
+    "catalog": """
+        SELECT * FROM (VALUES
+            ('csv', 'sequential', 'streaming', false, false, 'multiple', 'exact', 'none', 'none', 'none', 'conditional', true, NULL),
+            ('dxf', 'sequential', 'buffered', false, false, 'single', 'none', 'none', 'none', 'embedded', 'approximating', true, NULL),
+            ('filegdb', 'materializing', 'streaming', true, true, 'single', 'exact', 'none', 'none', 'embedded', 'conditional', false, 'gdal'),
+            ('geojson', 'sequential', 'streaming', false, false, 'multiple', 'exact', 'none', 'none', 'fixed', 'lossless', true, NULL),
+            ('geoparquet', 'columnar', 'streaming', false, false, 'multiple', 'exact', 'numeric_min_max', 'bbox_statistics', 'embedded', 'lossless', true, NULL),
+            ('gpkg', 'sequential', 'streaming', true, false, 'multiple', 'exact', 'none', 'optional_rtree', 'embedded', 'conditional', true, NULL),
+            ('ipc', 'sequential', 'streaming', false, false, 'multiple', 'exact', 'none', 'none', 'embedded_optional', 'lossless', true, NULL),
+            ('kml', 'sequential', 'streaming', false, false, 'single', 'none', 'none', 'none', 'fixed', 'conditional', true, NULL),
+            ('shp', 'sequential', 'streaming', false, true, 'multiple', 'exact', 'none', 'none', 'embedded', 'conditional', true, NULL),
+            ('xls', 'sequential', 'buffered', false, false, 'single', 'none', 'none', 'none', 'none', 'conditional', true, NULL)
+        ) t(id, read_mode, write_mode, multi_layer, multi_file, concurrency, projection, predicate_pruning, spatial_pruning, crs_handling, fidelity, available, required_feature)""",
     "coercion_loss": "SELECT 'real_truncated_to_integer' AS category, count(*) AS n FROM supplier WHERE s_suppkey % 2 = 0 HAVING count(*) > 0",
 }
+
+from . import kernel_queries  # noqa: E402  (they use what stands above)
+
+QUERIES |= kernel_queries.QUERIES
+ORACLE_SQL |= kernel_queries.ORACLE_SQL

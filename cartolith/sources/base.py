@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -62,7 +64,7 @@ class EdgeReader(DataSourceReader):
             if places is None:
                 places = [names.index(f.name) for f in self.schema.fields]
             seen += 1
-            if seen > Limits().max_rows:
+            if seen > plan.get("max_rows", Limits().max_rows):
                 raise EdgeError("LIMIT", "too many rows", category="resource")
             rows.append(row)
             if len(rows) >= size:
@@ -95,6 +97,12 @@ def load(spark: SparkSession, fmt: str, path: str, layer: Layer, options: dict,
     return with_geometry(df, layer.geometry) if layer.geometry and any(f.name == layer.geometry.name for f in fields) else df
 
 
+def in_order(df: DataFrame) -> DataFrame:
+    """``df`` in one partition with its rows in order; what comes before still runs in parallel."""
+    at = "__place"
+    return df.withColumn(at, F.monotonically_increasing_id()).repartition(1).sortWithinPartitions(at).drop(at)
+
+
 def write_one(df: DataFrame, write) -> dict:
     """Run ``write(batches) -> dict`` over all rows in one task, in order; what it returns comes back.
 
@@ -103,7 +111,54 @@ def write_one(df: DataFrame, write) -> dict:
     def task(batches):
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(write(batches))])], ["report"])
 
-    return json.loads(df.coalesce(1).mapInArrow(task, "report string").first().report)
+    return json.loads(in_order(df).mapInArrow(task, "report string").first().report)
+
+
+def write_text(df: DataFrame, path: str, texts, head: str = "", between: str = "", tail: str = "") -> dict:
+    """Write a text file whose rows are put into words in parallel, by ``texts(batch) -> str``, and joined in order by one task."""
+
+    def worded(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([texts(batch).encode()], pa.binary())], ["n", "body"])
+
+    def task(batches):
+        n = 0
+        with open(path, "wb") as f:
+            f.write(head.encode())
+            for batch in batches:
+                for rows, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    f.write((between.encode() if n else b"") + body.as_py())
+                    n += rows
+            f.write(tail.encode())
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return {"rows": in_order(df.mapInArrow(worded, "n long, body binary")).mapInArrow(task, "n long").first().n}
+
+
+def plain_points(cells: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+    """x and y of a column that holds nothing but plain little-endian points, else None."""
+    if cells.null_count or not len(cells):
+        return None
+    cells = cells.cast(pa.binary())
+    offsets = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1]
+    if (np.diff(offsets) != 21).any():
+        return None
+    raw = np.frombuffer(cells.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, 21)
+    if (raw[:, :5] != [1, 1, 0, 0, 0]).any():
+        return None
+    xy = np.ascontiguousarray(raw[:, 5:]).view("<f8")
+    return (xy[:, 0], xy[:, 1]) if np.isfinite(xy).all() else None
+
+
+def text_column(column: pa.Array) -> list[str]:
+    """A column's values as the text formats write them, null as nothing."""
+    kind = column.type
+    if pa.types.is_string(kind):
+        return column.fill_null("").to_pylist()
+    if pa.types.is_integer(kind):
+        return column.cast(pa.string()).fill_null("").to_pylist()
+    return ["" if v is None else text_of(v) for v in column.to_pylist()]
 
 
 def dicts(batches):

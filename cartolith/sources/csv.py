@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import csv
+import io
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -15,13 +17,16 @@ from ..functions import wkb, wkt
 from ..functions.udfs import wkb_point, wkt_to_wkb
 from ..operators.infer import NUMBER, TYPES, infer_types, typed
 from ..operators.validate import geometry_types
-from .base import dicts, text_of, write_one
+from .base import plain_points, text_column, write_text
 
 
-def _raw(spark: SparkSession, path: str, options: dict) -> DataFrame:
-    """Cells as text. Rows of the wrong width fail. ``multiline=false`` lets large files be split."""
+def _raw(spark: SparkSession, path: str, options: dict, whole: bool = False) -> DataFrame:
+    """Cells as text. Rows of the wrong width fail. Files are split unless ``multiline`` says that quotes hold line ends.
+
+    whole: also cells that nobody asks for are parsed, so that every row's width is looked at.
+    """
     multi = str(options.get("multiline", True)).lower() == "true"
-    return spark.read.csv(path, header=True, inferSchema=False, mode="FAILFAST", enforceSchema=False, multiLine=multi, sep=(options.get("delimiter") or ",")[0], quote='"', escape='"', maxCharsPerColumn=-1, maxColumns=4096)
+    return spark.read.option("columnPruning", not whole).csv(path, header=True, inferSchema=False, mode="FAILFAST", enforceSchema=False, multiLine=multi, sep=(options.get("delimiter") or ",")[0], quote='"', escape='"', maxCharsPerColumn=-1, maxColumns=4096)
 
 
 def _geometry_columns(options: dict, names: list[str]) -> list[str]:
@@ -46,15 +51,25 @@ def geometry_expression(columns: list[str]):
     return wkb_point(*numbers)
 
 
+def quoted(spark: SparkSession, path: str) -> bool:
+    """Whether the file has a quotation mark, and so perhaps cells with line ends; looked for in parallel."""
+    return not spark.read.text(path).where(F.col("value").contains('"')).limit(1).isEmpty()
+
+
 def describe(spark: SparkSession, path: str, options: dict) -> list[Layer]:
-    raw = _raw(spark, path, options)
+    if "multiline" not in options:  # what is found is kept for the reads to come
+        options["multiline"] = quoted(spark, path)
+    raw = _raw(spark, path, options, whole=True)
     if len(set(raw.columns)) < len(raw.columns):
         raise EdgeError("FORMAT", "the header names a column twice", phase="open")
     taken = _geometry_columns(options, raw.columns)
     if taken and not options.get("assume_crs"):
         raise EdgeError("CRS_REQUIRED", "the format carries no CRS; assume_crs must be given", category="contract", phase="open")
     attributes = [c for c in raw.columns if c not in taken]
-    kinds = infer_types(raw, attributes)
+    most = options.get("max_rows")
+    kinds, n = infer_types(raw, attributes, count=True)
+    if most is not None and n > most:
+        raise EdgeError("LIMIT", "too many rows", category="resource", phase="open")
     fields = [StructField(c, TYPES[kinds[c]], True) for c in attributes]
     if taken:
         types, dims = (("point",), {"xy"}) if len(taken) == 2 else _types(raw, taken)
@@ -83,26 +98,25 @@ def write(spark: SparkSession, frames: list[tuple[Layer, DataFrame]], path: str,
     g, names = layer.geometry, [f.name for f in layer.attributes]
     as_xy, sep = options.get("geometry_encoding") == "xy", (options.get("delimiter") or ",")[0]
 
-    def cells(row: dict) -> list[str]:
-        out = ["" if row[n] is None else text_of(row[n]) for n in names]
-        if g:
-            cell = row[g.name]
-            shape = None if cell is None else wkb.decode(cell)
-            if not as_xy:
-                return [*out, "" if shape is None else wkt.format(shape)]
-            if shape is not None and (shape.kind != "point" or shape.dims != "xy" or shape.content is None):
-                raise EdgeError("DATA_MAPPING", "only points of two ordinates have x and y", phase="write")
-            out += ["", ""] if shape is None else [wkt.number(v) for v in shape.content]
-        return out
-
-    def task(batches):
-        n = 0
-        with open(path, "w", newline="", encoding="utf-8") as f:
-            sheet = csv.writer(f, delimiter=sep, lineterminator="\n")
-            sheet.writerow(names + ([] if not g else ["x", "y"] if as_xy else ["geometry"]))
-            for row in dicts(batches):
-                sheet.writerow(cells(row))
-                n += 1
-        return {"rows": n}
-
-    return write_one(df, task)
+    def shapes(cells: pa.Array) -> list[list[str]]:
+        plain = plain_points(cells)
+        if plain is not None:
+            x, y = ([wkt.number(v) for v in c.tolist()] for c in plain)
+            return [x, y] if as_xy else [[f"POINT({a} {b})" for a, b in zip(x, y)]]
+        decoded = [None if c is None else wkb.decode(c) for c in cells.to_pylist()]
+        if not as_xy:
+            return [["" if g is None else wkt.format(g) for g in decoded]]
+        if any(g is not None and (g.kind != "point" or g.dims != "xy" or g.content is None) for g in decoded):
+            raise EdgeError("DATA_MAPPING", "only points of two ordinates have x and y", phase="write")
+        return [["" if g is None else wkt.number(g.content[k]) for g in decoded] for k in (0, 1)]
+
+    def texts(batch: pa.RecordBatch) -> str:
+        columns = [text_column(batch.column(batch.schema.get_field_index(n))) for n in names]
+        columns += shapes(batch.column(batch.schema.get_field_index(g.name))) if g else []
+        out = io.StringIO()
+        csv.writer(out, delimiter=sep, lineterminator="\n").writerows(zip(*columns))
+        return out.getvalue()
+
+    head = io.StringIO()
+    csv.writer(head, delimiter=sep, lineterminator="\n").writerow(names + ([] if not g else ["x", "y"] if as_xy else ["geometry"]))
+    return write_text(df, path, texts, head.getvalue())

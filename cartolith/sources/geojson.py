@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import itertools
 import json
 import math
+import os
+import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
@@ -13,65 +18,156 @@ from ..crs import CRS84, resolved
 from ..errors import EdgeError
 from ..functions import geojson, wkb
 from ..operators.infer import TYPES, lattice, value_as, value_class
-from .base import dicts, load, write_one
+from .base import load, plain_points, write_text
 
 _DECODER = json.JSONDecoder(object_pairs_hook=geojson._no_twins, parse_constant=lambda _: (_ for _ in ()).throw(EdgeError("FORMAT", "not JSON")))
 
 
-def features(path: str):
-    """The features of a file, parsed one at a time from its text."""
-    with open(path, encoding="utf-8") as f:
-        text = f.read()
+#: Letters read at once, and the most that one value may take; bytes of a piece of a file with a feature on each line, and
+#: of what stands before its first feature and after its last.
+CHUNK, MOST, PIECE_BYTES, EDGE_BYTES = 4 << 20, 64 << 20, 4 << 20, 1 << 16
 
-    def skip(at: int) -> int:
-        while at < len(text) and text[at] in " \t\r\n":
-            at += 1
-        return at
 
-    def value(at: int):
-        try:
-            return _DECODER.raw_decode(text, skip(at))
-        except ValueError:
-            raise EdgeError("FORMAT", "not JSON") from None
+class _Text:
+    """A file's text, of which only the part that is being parsed is held."""
 
-    def expect(at: int, marks: str) -> int:
-        at = skip(at)
-        if at >= len(text) or text[at] not in marks:
+    def __init__(self, read) -> None:
+        self.read, self.text, self.at, self.ended = read, "", 0, False
+
+    def more(self) -> bool:
+        if self.ended:
+            return False
+        got = self.read(CHUNK)
+        if len(self.text) - self.at > MOST:
+            raise EdgeError("LIMIT", "a value is too large", category="resource")
+        self.text, self.at, self.ended = self.text[self.at :] + got, 0, not got
+        return bool(got)
+
+    def peek(self) -> str:
+        """The next letter that is not blank, or nothing at the end."""
+        while True:
+            while self.at < len(self.text):
+                if self.text[self.at] not in " \t\r\n":
+                    return self.text[self.at]
+                self.at += 1
+            if not self.more():
+                return ""
+
+    def expect(self, marks: str) -> None:
+        if self.peek() not in marks or not self.peek():
             raise EdgeError("FORMAT", "not JSON")
-        return at + 1
+        self.at += 1
+
+    def value(self):
+        self.peek()
+        while True:
+            try:
+                found, end = _DECODER.raw_decode(self.text, self.at)
+                if end < len(self.text) or not self.more():  # a number might go on
+                    self.at = end
+                    return found
+            except ValueError:
+                if not self.more():
+                    raise EdgeError("FORMAT", "not JSON") from None
 
-    at, seen = expect(0, "{"), set()
-    while skip(at) < len(text) and text[skip(at)] != "}":
-        key, at = value(at)
+
+def parsed(read):
+    """The features of a text, parsed one at a time."""
+    text, seen = _Text(read), set()
+    text.expect("{")
+    while text.peek() and text.peek() != "}":
+        key = text.value()
         if key in seen:
             raise EdgeError("FORMAT", "a key stands twice")
         seen.add(key)
-        at = expect(at, ":")
+        text.expect(":")
         if key != "features":
-            found, at = value(at)
+            found = text.value()
             if key == "type" and found != "FeatureCollection":
                 raise EdgeError("FORMAT", "not a feature collection")
         else:
-            at = skip(expect(at, "["))
-            while text[at : at + 1] != "]":
-                feature, at = value(at)
-                if not isinstance(feature, dict) or feature.get("type") != "Feature":
-                    raise EdgeError("FORMAT", "not a feature")
-                yield feature
-                at = skip(at)
-                if text[at : at + 1] == ",":
-                    at = skip(at + 1)
-                elif text[at : at + 1] != "]":
+            text.expect("[")
+            while text.peek() != "]":
+                yield _feature(text.value())
+                if text.peek() == ",":
+                    text.at += 1
+                elif text.peek() != "]":
                     raise EdgeError("FORMAT", "not JSON")
-            at += 1
-        at = skip(at)
-        if text[at : at + 1] == ",":
-            at += 1
-    expect(at, "}")
+            text.at += 1
+        if text.peek() == ",":
+            text.at += 1
+    text.expect("}")
     if not {"type", "features"} <= seen:
         raise EdgeError("FORMAT", "not a feature collection")
 
 
+def _feature(value) -> dict:
+    if not isinstance(value, dict) or value.get("type") != "Feature":
+        raise EdgeError("FORMAT", "not a feature")
+    return value
+
+
+def line_span(path: str) -> tuple[int, int] | None:
+    """The bytes of a file in which each line is a feature, or None where the file does not look like that.
+
+    What stands before and after must make an empty feature collection. Whether the lines are features, only reading
+    them tells.
+    """
+    size = os.path.getsize(path)
+    with open(path, "rb") as f:
+        head = f.read(EDGE_BYTES)
+        f.seek(max(0, size - EDGE_BYTES))
+        tail = f.read()
+    found = re.match(rb'\s*\{[^\[{]*"features"\s*:\s*\[[ \t\r]*\n', head)
+    last = [m for m in re.finditer(rb"\n[ \t]*(?=\][^\]]*$)", tail)]
+    if not found or not last:
+        return None
+    first, end = found.end(), max(0, size - EDGE_BYTES) + last[-1].start() + 1
+    if end <= first:
+        return None
+    try:
+        around = io.StringIO((head[:first] + tail[last[-1].start() :]).decode())
+        return (first, end) if list(parsed(around.read)) == [] else None
+    except (EdgeError, UnicodeDecodeError):
+        return None
+
+
+def line_pieces(span: tuple[int, int]) -> list[list[int]]:
+    first, end = span
+    n = max(1, -(-(end - first) // PIECE_BYTES))
+    edges = [first + (end - first) * k // n for k in range(n + 1)]
+    return [[a, b, end] for a, b in zip(edges, edges[1:])]
+
+
+def lines(path: str, first: int, last: int, end: int, start: int):
+    """Features on the lines that begin in a range of bytes; each line but the last of all ends with a comma."""
+    with open(path, "rb") as f:
+        if first > start:  # the line that goes over the edge belongs to the range before
+            f.seek(first - 1)
+            f.readline()
+        at = f.tell() if first > start else f.seek(first)
+        while at < last:
+            line = f.readline()
+            at += len(line)
+            line = line.strip()
+            comma = line.endswith(b",")
+            if comma != (at < end):
+                raise EdgeError("FORMAT", "not JSON")
+            try:
+                yield _feature(_DECODER.decode((line[:-1] if comma else line).decode()))
+            except ValueError:
+                raise EdgeError("FORMAT", "not JSON") from None
+
+
+def features(path: str, piece=None, start: int = 0):
+    """The features of a file, or of a piece of one whose lines are features."""
+    if piece:
+        yield from lines(path, *piece, start)
+    else:
+        with open(path, encoding="utf-8") as f:
+            yield from parsed(f.read)
+
+
 def _properties(feature: dict) -> dict:
     found = feature.get("properties")
     if found is not None and not isinstance(found, dict):
@@ -79,40 +175,82 @@ def _properties(feature: dict) -> dict:
     return found or {}
 
 
-def describe(spark: SparkSession, path: str, options: dict) -> list[Layer]:
+def survey(found) -> dict:
+    """Of features how many there are, the classes of their properties, and the types of their geometries."""
     seen: dict[str, set] = {}
-    types, dims = set(), set()
-    for feature in features(path):
+    types, n = set(), 0
+    for feature in found:
+        n += 1
         for key, v in _properties(feature).items():
             seen.setdefault(key, set()).add(value_class(v))
-        found = feature.get("geometry")
-        if geojson.plain_point(found):
-            types.add("point")
-            dims.add("xy")
+        own = feature.get("geometry")
+        if geojson.plain_point(own):
+            types.add(("point", "xy"))
             continue
-        shape = geojson.parse(found)
+        shape = geojson.parse(own)
         if shape is not None:
-            types.add(shape.kind)
-            dims.add(shape.dims)
+            types.add((shape.kind, shape.dims))
+    return {"n": n, "seen": {k: sorted(v) for k, v in seen.items()}, "types": sorted(types)}
+
+
+def _surveyed(spark: SparkSession, path: str, parts: list[list[int]], start: int) -> list[dict] | None:
+    """Surveys of a file's pieces, in parallel; None if a line turns out to be no feature."""
+
+    def task(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                try:
+                    found = json.dumps(survey(features(path, parts[k], start)))
+                except EdgeError as error:
+                    if error.code != "FORMAT":
+                        raise
+                    found = None
+                yield pa.RecordBatch.from_arrays([pa.array([found], pa.string())], ["found"])
+
+    got = [r.found for r in spark.range(0, len(parts), 1, len(parts)).mapInArrow(task, "found string").collect()]
+    return None if None in got else [json.loads(x) for x in got]
+
+
+def describe(spark: SparkSession, path: str, options: dict) -> list[Layer]:
+    span, extra, found = line_span(path), {}, None
+    if span and span[1] - span[0] > PIECE_BYTES:
+        found = _surveyed(spark, path, line_pieces(span), span[0])
+        extra = {"span": list(span), "counts": [x["n"] for x in found]} if found else {}
+    found = found or [survey(features(path))]
+    n, most = sum(x["n"] for x in found), options.get("max_rows")
+    if most is not None and n > most:
+        raise EdgeError("LIMIT", "too many rows", category="resource", phase="open")
+    seen: dict[str, set] = {}
+    for x in found:
+        for key, classes in x["seen"].items():
+            seen.setdefault(key, set()).update(classes)
+    pairs = {tuple(t) for x in found for t in x["types"]}
+    types, dims = {t for t, _ in pairs}, {d for _, d in pairs}
     kinds = {k: lattice(v) for k, v in sorted(seen.items())}
     name = "geometry" if "geometry" not in kinds else "_geometry"
     contract = GeometryContract(name, resolved(CRS84), True, "wkb", dims.pop() if len(dims) == 1 else "unknown", types=tuple(sorted(types)), declaration="exact" if types else "unresolved")
-    return [Layer(0, "geojson", StructType([geometry_field(contract), *(StructField(k, TYPES[v], True) for k, v in kinds.items())]), {"kinds": kinds})]
+    return [Layer(0, "geojson", StructType([geometry_field(contract), *(StructField(k, TYPES[v], True) for k, v in kinds.items())]), {"kinds": kinds, **extra})]
 
 
 def pieces(path: str, plan: dict, extra: dict) -> list:
-    return [0]
+    """(piece, number of features before it), or one piece for a file that must be read in a row."""
+    if "span" not in extra:
+        return [[None, 0, 0]]
+    before = [0, *itertools.accumulate(extra["counts"])]
+    return [[p, n, extra["span"][0]] for p, n in zip(line_pieces(tuple(extra["span"])), before)]
 
 
 def rows(path: str, plan: dict, extra: dict, piece):
     kinds, wanted = extra["kinds"], set(plan["wanted"])
     name, keys = plan["names"][0], [k for k in plan["names"][1:-1]]
-    for n, feature in enumerate(features(path)):
+    part, before, start = piece
+    text = lambda v: json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+    for n, feature in enumerate(features(path, part, start), before):
         found, own = feature.get("geometry"), _properties(feature)
         cell = geojson.plain_point(found)
         if cell is None and (shape := geojson.parse(found)) is not None:
             cell = wkb.encode(shape)
-        values = [value_as(own.get(k), kinds[k], lambda v: json.dumps(v, ensure_ascii=False, separators=(",", ":"))) if k in wanted else None for k in keys]
+        values = [value_as(own.get(k), kinds[k], text) if k in wanted else None for k in keys]
         yield (cell if name in wanted else None, *values, n)
 
 
@@ -131,17 +269,21 @@ def write(spark: SparkSession, frames: list[tuple[Layer, DataFrame]], path: str,
             raise EdgeError("DATA_MAPPING", "the format has no value for this type", phase="write")
         return v
 
-    def task(batches):
-        n = 0
-        with open(path, "w", encoding="utf-8") as f:
-            f.write('{"type":"FeatureCollection","features":[')
-            for row in dicts(batches):
-                cell = row[g.name]
-                shape = "null" if cell is None else geojson.dumps(wkb.decode(cell))
-                own = json.dumps({k: member(row[k]) for k in names}, ensure_ascii=False, allow_nan=False, separators=(",", ":"))
-                f.write(("," if n else "") + '\n{"type":"Feature","geometry":' + shape + ',"properties":' + own + "}")
-                n += 1
-            f.write("\n]}\n")
-        return {"rows": n}
-
-    return write_one(df, task)
+    def members(column: pa.Array) -> list:
+        values = column.to_pylist()
+        return values if pa.types.is_string(column.type) or pa.types.is_integer(column.type) or pa.types.is_boolean(column.type) else [member(v) for v in values]
+
+    def shapes(cells: pa.Array) -> list[str]:
+        plain = plain_points(cells)
+        if plain is not None:
+            return [f'{{"type":"Point","coordinates":[{x!r},{y!r}]}}' for x, y in zip(*(c.tolist() for c in plain))]
+        return ["null" if c is None else geojson.dumps(wkb.decode(c)) for c in cells.to_pylist()]
+
+    def texts(batch: pa.RecordBatch) -> str:
+        columns = [members(batch.column(batch.schema.get_field_index(n))) for n in names]
+        encode = json.JSONEncoder(ensure_ascii=False, allow_nan=False, separators=(",", ":")).encode
+        own = [encode(dict(zip(names, row))) for row in zip(*columns)] if names else ["{}"] * batch.num_rows
+        cells = shapes(batch.column(batch.schema.get_field_index(g.name)))
+        return ",".join([f'\n{{"type":"Feature","geometry":{shape},"properties":{row}}}' for shape, row in zip(cells, own)])
+
+    return write_text(df, path, texts, '{"type":"FeatureCollection","features":[', ",", "\n]}\n")

@@ -51,7 +51,7 @@ def _contract(geo: dict, name: str, nullable: bool) -> GeometryContract:
 
 
 def describe(spark: SparkSession, path: str, options: dict) -> list[Layer]:
-    """Only the footer is read."""
+    """Only footers are read; the number of rows is theirs too."""
     schema = spark.read.parquet(path).schema
     raw = (pq.read_metadata(first_file(path)).metadata or {}).get(b"geo")
     geo = json.loads(raw) if raw else {}
@@ -66,7 +66,7 @@ def describe(spark: SparkSession, path: str, options: dict) -> list[Layer]:
         contract = stamped
     if options.get("assume_crs") and contract.crs.resolution != "resolved":
         contract = replace(contract, crs=resolved(options["assume_crs"]))
-    return [Layer(0, "geoparquet", StructType([geometry_field(contract) if f.name == name else f for f in fields]), {"covering": set(COVERING) <= set(schema.names)})]
+    return [Layer(0, "geoparquet", StructType([geometry_field(contract) if f.name == name else f for f in fields]), {"covering": set(COVERING) <= set(schema.names), "rows": spark.read.parquet(path).count()})]
 
 
 def read(spark: SparkSession, path: str, layer: Layer, options: dict, columns: list[str] | None = None, index: bool = False) -> DataFrame:

@@ -84,7 +84,8 @@ def describe(spark: SparkSession, path: str, options: dict) -> list[Layer]:
             if any(f.name.lower() in RESERVED for f in fields):
                 raise EdgeError("UNSUPPORTED", "a column hides the row number", category="capability", phase="open")
             rtree = db.execute("SELECT 1 FROM sqlite_master WHERE type = 'table' AND name = ?", (f"rtree_{name}_{column}",)).fetchone()
-            layers.append(Layer(number, name, StructType(fields), {"geometry": column, "key": key, "rtree": bool(rtree and db.execute("SELECT 1 FROM sqlite_master WHERE name = 'gpkg_extensions'").fetchone())}))
+            n = db.execute(f"SELECT count(*) FROM {_quoted(name)}").fetchone()[0]
+            layers.append(Layer(number, name, StructType(fields), {"geometry": column, "key": key, "rows": n, "rtree": bool(rtree and db.execute("SELECT 1 FROM sqlite_master WHERE name = 'gpkg_extensions'").fetchone())}))
     return layers
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 
 import pyarrow as pa
@@ -32,7 +33,8 @@ def _contract(f: pa.Field) -> GeometryContract | None:
 
 def describe(spark: SparkSession, path: str, options: dict) -> list[Layer]:
     with pa.memory_map(path) as source:
-        schema = pa.ipc.open_file(source).schema
+        reader = pa.ipc.open_file(source)
+        schema, n = reader.schema, sum(reader.get_batch(k).num_rows for k in range(reader.num_record_batches))
     shapes = {f.name: c for f in schema if (c := _contract(f))}
     if len(shapes) > 1:
         raise EdgeError("CONTRACT", "more than one geometry column", category="contract", phase="open")
@@ -44,20 +46,23 @@ def describe(spark: SparkSession, path: str, options: dict) -> list[Layer]:
                 raise EdgeError("CONTRACT", "a geometry column is binary", category="contract", phase="open")
             f = geometry_field(shapes[f.name])
         fields.append(f)
-    return [Layer(0, "ipc", StructType([StructField(f.name, f.dataType, f.nullable, f.metadata) for f in fields]))]
+    return [Layer(0, "ipc", StructType([StructField(f.name, f.dataType, f.nullable, f.metadata) for f in fields]), {"rows": n})]
 
 
 def pieces(path: str, plan: dict, extra: dict) -> list:
+    """Batches, each with the number of rows before it."""
     with pa.memory_map(path) as source:
-        return list(range(pa.ipc.open_file(source).num_record_batches)) or [-1]
+        reader = pa.ipc.open_file(source)
+        sizes = [reader.get_batch(k).num_rows for k in range(reader.num_record_batches)]
+    return [[k, n] for k, n in enumerate([0, *itertools.accumulate(sizes)][: len(sizes)])] or [[-1, 0]]
 
 
-def rows(path: str, plan: dict, extra: dict, piece: int):
+def rows(path: str, plan: dict, extra: dict, piece: list[int]):
+    piece, first = piece
     with pa.memory_map(path) as source:
         reader = pa.ipc.open_file(source)
         if piece < 0:
             return
-        first = sum(reader.get_batch(k).num_rows for k in range(piece))
         batch, wanted = reader.get_batch(piece), set(plan["wanted"])
         columns = [batch.column(k).to_pylist() if n in wanted else [None] * batch.num_rows for k, n in enumerate(batch.schema.names)]
         yield from zip(*columns, range(first, first + batch.num_rows))

@@ -109,20 +109,22 @@ def parse_shape(raw: bytes, dims: str) -> Geometry | None:
     rings = [points[a:b] for a, b in zip(parts, parts[1:])]
     if kind == "multilinestring":
         return Geometry(kind, dims, [Geometry("linestring", dims, r) for r in rings])
+    areas = [ring_area(r) for r in rings]
+    # Faults are told in this order, whichever ring has them; a ring closes by its x and y alone.
+    if not rings:
+        raise EdgeError("INVALID_GEOMETRY", NO_OUTER)
+    if any(r[0][:2] != r[-1][:2] for r in rings):
+        raise EdgeError("INVALID_GEOMETRY", UNCLOSED)
+    if any(len(r) < 4 or area == 0 or not math.isfinite(area) for r, area in zip(rings, areas)):
+        raise EdgeError("INVALID_GEOMETRY", DEGENERATE)
+    if areas[0] > 0:
+        raise EdgeError("INVALID_GEOMETRY", ORPHAN)
     polygons: list[list] = []
-    for ring in rings:
-        area = ring_area(ring)
-        fault = UNCLOSED if ring[0] != ring[-1] else DEGENERATE if len(ring) < 4 or area == 0 or not math.isfinite(area) else None
-        if fault is None and area > 0 and not polygons:
-            fault = ORPHAN
-        if fault:
-            raise EdgeError("INVALID_GEOMETRY", fault)
+    for ring, area in zip(rings, areas):
         if area < 0:  # clockwise: an outer ring
             polygons.append([ring])
         else:
             polygons[-1].append(ring)
-    if not polygons:
-        raise EdgeError("INVALID_GEOMETRY", NO_OUTER)
     return Geometry(kind, dims, [Geometry("polygon", dims, p) for p in polygons])
 
 
@@ -187,7 +189,7 @@ def describe(spark: SparkSession, path: str, options: dict) -> list[Layer]:
     for name, letter, width, decimals in fields:
         whole = letter == "N" and decimals == 0 and width >= 10
         columns.append(StructField(name, LongType() if whole else DoubleType() if letter in "NF" else BooleanType() if letter == "L" else StringType(), True))
-    return [Layer(0, os.path.basename(base), StructType([geometry_field(contract), *columns]), {"dims": contract.dimensions, "fields": [list(f) for f in fields], "records": n, "names": names})]
+    return [Layer(0, os.path.basename(base), StructType([geometry_field(contract), *columns]), {"dims": contract.dimensions, "fields": [list(f) for f in fields], "records": n, "rows": n, "names": names})]
 
 
 def pieces(path: str, plan: dict, extra: dict) -> list:
