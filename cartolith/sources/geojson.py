@@ -58,6 +58,16 @@ class _Text:
             raise EdgeError("FORMAT", "not JSON")
         self.at += 1
 
+    def follow(self, end: str) -> None:
+        """Go past a comma that something follows, or stay before the end."""
+        if self.peek() == ",":
+            self.at += 1
+            if self.peek() != end:
+                return
+        elif self.peek() == end:
+            return
+        raise EdgeError("FORMAT", "not JSON")
+
     def value(self):
         self.peek()
         while True:
@@ -89,13 +99,9 @@ def parsed(read):
             text.expect("[")
             while text.peek() != "]":
                 yield _feature(text.value())
-                if text.peek() == ",":
-                    text.at += 1
-                elif text.peek() != "]":
-                    raise EdgeError("FORMAT", "not JSON")
-            text.at += 1
-        if text.peek() == ",":
+                text.follow("]")
             text.at += 1
+        text.follow("}")
     text.expect("}")
     if not {"type", "features"} <= seen:
         raise EdgeError("FORMAT", "not a feature collection")
@@ -214,8 +220,9 @@ def _surveyed(spark: SparkSession, path: str, parts: list[list[int]], start: int
 def describe(spark: SparkSession, path: str, options: dict) -> list[Layer]:
     span, extra, found = line_span(path), {}, None
     if span and span[1] - span[0] > PIECE_BYTES:
-        found = _surveyed(spark, path, line_pieces(span), span[0])
-        extra = {"span": list(span), "counts": [x["n"] for x in found]} if found else {}
+        parts = line_pieces(span)
+        found = _surveyed(spark, path, parts, span[0])
+        extra = {"pieces": parts, "counts": [x["n"] for x in found]} if found else {}
     found = found or [survey(features(path))]
     n, most = sum(x["n"] for x in found), options.get("max_rows")
     if most is not None and n > most:
@@ -234,10 +241,10 @@ def describe(spark: SparkSession, path: str, options: dict) -> list[Layer]:
 
 def pieces(path: str, plan: dict, extra: dict) -> list:
     """(piece, number of features before it), or one piece for a file that must be read in a row."""
-    if "span" not in extra:
+    if "pieces" not in extra:
         return [[None, 0, 0]]
     before = [0, *itertools.accumulate(extra["counts"])]
-    return [[p, n, extra["span"][0]] for p, n in zip(line_pieces(tuple(extra["span"])), before)]
+    return [[p, n, extra["pieces"][0][0]] for p, n in zip(extra["pieces"], before)]
 
 
 def rows(path: str, plan: dict, extra: dict, piece):

@@ -16,12 +16,14 @@ from cartolith.crs import CRS84, resolved
 from cartolith.dataset import ReadRequest, open_dataset
 from cartolith.errors import EdgeError, guarded
 from cartolith.functions import wkb, wkt
+from cartolith.limits import Limits
 from cartolith.operators.validate import Diagnostics, diagnose
 from cartolith.plans.capabilities import validate_write
 from cartolith.plans.catalog import FORMATS, catalog, catalog_json, format_of
 from cartolith.plans.convert import convert, layer_of, write_dataset
 from cartolith.plans.loss import Fidelity, LossReport, end_to_end
 from cartolith.plans.publish import Stage, preflight
+from cartolith.sources import geojson as geojson_source
 
 OPTIONS = {"csv": {"wkt_column": "geometry", "assume_crs": "EPSG:4326"}, "xlsx": {"wkt_column": "geometry", "assume_crs": "EPSG:4326"}, "dxf": {"assume_crs": "EPSG:4326"}}
 
@@ -340,3 +342,54 @@ def test_stream_of_points(spark, tmp_path):
     query = timed.writeStream.format("memory").outputMode("complete").queryName("extents").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert [(r.n, r.minx, r.maxy) for r in spark.table("extents").collect()] == [(1, 1.0, 2.0)]
+
+
+def _collection(n, between=",\n", tail="\n]}\n", head='{"type":"FeatureCollection","features":[\n'):
+    one = lambda k: json.dumps({"type": "Feature", "geometry": {"type": "Point", "coordinates": [k, -k]} if k % 5 else None, "properties": {"id": k, "name": "}],{" * (k % 3) + "é"}}, ensure_ascii=False)
+    return head + between.join(one(k) for k in range(n)) + tail
+
+
+@pytest.mark.parametrize("text", [_collection(400), _collection(400, between=", "), _collection(400, tail='\n], "crs": null}'), _collection(400, head='{"features": [\n', tail='\n],\n"type": "FeatureCollection"}'), _collection(400, between=",\n\n")])
+def test_geojson_in_pieces(spark, tmp_path, monkeypatch, text):
+    """A feature on each line is read in pieces; other files in a row; rows and their numbers are the same."""
+    monkeypatch.setattr(geojson_source, "PIECE_BYTES", 3000)
+    monkeypatch.setattr(geojson_source, "CHUNK", 700)
+    path = tmp_path / "p.geojson"
+    path.write_text(text, encoding="utf-8")
+    data = open_dataset(spark, str(path))
+    assert ("pieces" in data.layers[0].extra) == (",\n{" in text and "\n\n{" not in text)
+    got = data.read(ReadRequest(source_index=True)).collect()
+    assert sorted((r._source_row, r.id, r.name.count("}"), r.geometry is None) for r in got) == [(k, k, k % 3, k % 5 == 0) for k in range(400)]
+    assert list(geojson_source.features(str(path)))[399]["properties"]["id"] == 399
+
+
+def test_geojson_faults_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(geojson_source, "PIECE_BYTES", 2000)
+    good = _collection(100).split("\n")
+    for k, line in ((50, good[50][:-1]), (50, good[50][:-3] + ","), (50, "{},"), (100, good[100] + ",")):
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.geojson"
+        path.write_text("\n".join([*good[:k], line, *good[k + 1 :]]), encoding="utf-8")
+        with pytest.raises(EdgeError) as error:
+            open_dataset(spark, str(path))
+        assert error.value.code == "FORMAT"
+
+
+def test_row_limits_bind(spark, tmp_path):
+    df = frame(spark, ["POINT(1 2)"] * 5)
+    path = str(tmp_path / "l.csv")
+    write_dataset(spark, {"l": df}, path)
+    for limit, fits in ((4, False), (5, True)):
+        try:
+            assert open_dataset(spark, path, Limits(max_rows=limit), **OPTIONS["csv"]).read().count() == 5 and fits
+        except EdgeError as error:
+            assert error.code == "LIMIT" and not fits
+
+
+def test_text_sinks_keep_rows_in_order(spark, tmp_path):
+    df = frame(spark, [f"POINT({k} {-k}.5)" for k in range(60)]).repartition(5)
+    df = with_geometry(df, geometry_of(frame(spark, ["POINT(1 2)"]).schema))
+    order = [wkt.format(wkb.decode(bytes(r.geometry))) for r in df.collect()]
+    path = str(tmp_path / "o.csv")
+    write_dataset(spark, {"o": df}, path)
+    with open(path) as f:
+        assert [line.rstrip("\n").rsplit(",", 1)[-1].strip('"') for line in f][1:] == order
