@@ -5,42 +5,84 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import LongType
+from pyspark.sql.types import BinaryType, LongType
 
 from .common import bound_batches, components, cut, drop_cut, groups, star_edges, table
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: Parts of a fingerprint as (lowest bit, bits, radius): their radii, each with one added, sum up to more than RADIUS.
-PARTS, ALL = ((0, 22, 1), (22, 22, 1), (44, 20, 0)), np.uint64((1 << 64) - 1)
+ALL = np.uint64((1 << 64) - 1)
+#: Documents count as near-duplicates if they share so much of their shingles of so many words; they are looked for by
+#: fingerprints of their distinct words within so many bits. Texts of one component that are compared in one group at most.
+NEAR, NEAR_SHINGLE, NEAR_RADIUS, TOGETHER = 0.8, 5, 6, 1024
 #: Fingerprints that trees are made from at most, sampled ones to a leaf at least, fingerprints that a shard shall hold,
 #: that are dealt at once, and that are compared one by one in a shard's own tree.
 SAMPLE, LEAST, SHARD, DEAL, LEAF = 1 << 16, 8, 1 << 14, 1 << 18, 256
 
 
-def fingerprint(text: bytes) -> int:
-    """The 64-bit SimHash of one text; no words give 0."""
+def fingerprint(text: bytes, size: int = SHINGLE, distinct: bool = False) -> int:
+    """The 64-bit SimHash of one text's shingles of ``size`` words, repeats included or not; no words give 0."""
     words = text.lower().split()
     if not words:
         return 0
-    n = max(1, len(words) - SHINGLE + 1)
+    if distinct and size == 1:
+        words = list(set(words))
+        return _majority(np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), dtype=">u8", count=len(words)))
+    n = max(1, len(words) - size + 1)
     if n == 1:
         shingles = [b" ".join(words)]
     else:
         ends = np.cumsum([len(w) + 1 for w in words]).tolist()
         whole = b" ".join(words)
         starts = [0, *ends]
-        shingles = [whole[a : b - 1] for a, b in zip(starts, ends[SHINGLE - 1 :])]
+        shingles = [whole[a : b - 1] for a, b in zip(starts, ends[size - 1 :])]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, SEED) for s in shingles), dtype=">u8", count=len(shingles))
-    ones = np.zeros(64, np.int64)
+    h = np.fromiter((digest(s, SEED) for s in (set(shingles) if distinct else shingles)), dtype=">u8")
+    return _majority(h)
+
+
+def _majority(h: np.ndarray) -> int:
+    """The bits that over half of the big-endian hashes have."""
+    ones, n = np.zeros(64, np.int64), len(h)
     for k in range(0, n, 1 << 16):
         ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+@arrow_udf(LongType())
+def words_fingerprint_column(text: pa.Array) -> pa.Array:
+    """Fingerprints of the distinct words, as signed longs; null texts count as empty."""
+    values = [fingerprint(x or b"", 1, True) for x in text.cast(pa.binary()).to_pylist()]
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+@arrow_udf(BinaryType())
+def shingles_column(text: pa.Array) -> pa.Array:
+    """Sorted distinct hashes of a text's shingles of NEAR_SHINGLE words; fewer words are one shingle, none have none."""
+    return pa.array([shingle_hashes(x or b"").tobytes() for x in text.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def shingle_hashes(text: bytes, size: int = 5) -> np.ndarray:
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, "<u8")
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(words[k : k + size]), SEED) for k in range(max(1, len(words) - size + 1))), "<u8"))
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets share at least this part of their union; two empty sets do."""
+    if not len(a) and not len(b):
+        return True
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
+    return both >= least * (len(a) + len(b) - both)
+
+
 @arrow_udf(LongType())
 def fingerprint_column(text: pa.Array) -> pa.Array:
     """Fingerprints as signed longs; null texts count as empty."""
@@ -48,8 +90,10 @@ def fingerprint_column(text: pa.Array) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def fingerprint_of(text: Column) -> Column:
-    return fingerprint_column(text.cast("binary"))
+def parts_of(radius: int) -> tuple[tuple[int, int, int], ...]:
+    """Parts of a fingerprint as (lowest bit, bits, radius): their radii, each with one added, sum up to more than ``radius``."""
+    each, more = divmod(max(0, radius - 2), 3)
+    return tuple((shift, bits, each + (k < more)) for k, (shift, bits) in enumerate(((0, 22), (22, 22), (44, 20))))
 
 
 class VantageTree:
@@ -117,10 +161,10 @@ class VantageTree:
         return np.concatenate([r for r, _ in done]), np.concatenate([n for _, n in done])
 
 
-def trees_of(sample: np.ndarray, fingerprints: int) -> list[VantageTree]:
+def trees_of(sample: np.ndarray, fingerprints: int, radius: int = RADIUS) -> list[VantageTree]:
     """A tree for each part, with as many leaves as shards of SHARD fingerprints, or as the sample can tell apart."""
     leaves = min(-(-fingerprints // SHARD), max(1, len(sample) // LEAST))
-    return [VantageTree(sample, ((1 << bits) - 1) << shift, radius, leaves) for shift, bits, radius in PARTS]
+    return [VantageTree(sample, ((1 << bits) - 1) << shift, radius, leaves) for shift, bits, radius in parts_of(radius)]
 
 
 def _route(trees, first: list[int]):
@@ -158,14 +202,14 @@ def _route(trees, first: list[int]):
     return route
 
 
-def near_pairs(home: np.ndarray, visitor: np.ndarray, mask: int, radius: int, done: list | None = None):
-    """Index pairs (home, visitor) whose fingerprints differ in RADIUS bits or fewer, if they differ in ``radius`` or fewer under the mask.
+def near_pairs(home: np.ndarray, visitor: np.ndarray, mask: int, reach: int, radius: int = RADIUS, done: list | None = None):
+    """Index pairs (home, visitor) whose fingerprints differ in ``radius`` bits or fewer, if they differ in ``reach`` or fewer under the mask.
 
     A vantage-point tree made on the way: home fingerprints fall into rings around a vantage point, and visitors enter the
     rings that the triangle bound leaves; first by the bits of the mask, where those are all equal by all bits. done:
     gets the number of comparisons.
     """
-    todo = [(np.arange(len(home)), np.arange(len(visitor)), np.uint64(mask), radius)]
+    todo = [(np.arange(len(home)), np.arange(len(visitor)), np.uint64(mask), reach)]
     while todo:
         h, v, bits, reach = todo.pop()
         if not len(h) or not len(v):
@@ -175,7 +219,7 @@ def near_pairs(home: np.ndarray, visitor: np.ndarray, mask: int, radius: int, do
             to_home = np.bitwise_count((home[h] ^ point) & bits)
             if (to_home == to_home[0]).all():
                 if bits != ALL:
-                    todo.append((h, v, ALL, RADIUS))
+                    todo.append((h, v, ALL, radius))
                     continue
             else:
                 to_visitor = np.bitwise_count((visitor[v] ^ point) & bits).astype(np.int64)
@@ -192,16 +236,16 @@ def near_pairs(home: np.ndarray, visitor: np.ndarray, mask: int, radius: int, do
             done.append(len(h) * len(v))
         own = home[h]
         for k in range(0, len(v), step):
-            x, y = np.nonzero(np.bitwise_count(visitor[v[k : k + step], None] ^ own) <= RADIUS)
+            x, y = np.nonzero(np.bitwise_count(visitor[v[k : k + step], None] ^ own) <= radius)
             if len(x):
                 yield h[y], v[k + x]
 
 
-def _search(parts: list[tuple[int, int]], first: list[int]):
+def _search(parts: list[tuple[int, int]], first: list[int], radius: int):
     """Links within each shard, reduced to a spanning forest for every batch of visitors."""
 
     def links(home: np.ndarray, visitor: np.ndarray, part: int):
-        mask, radius = parts[part]
+        mask, reach = parts[part]
         ids = np.concatenate([home, visitor]).view(np.int64)
         held, size = [], 0
 
@@ -211,7 +255,7 @@ def _search(parts: list[tuple[int, int]], first: list[int]):
             a, b = star_edges(ends[: len(h)], ends[len(h) :], ids[used])
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-        for h, v in near_pairs(home, visitor, mask, radius):
+        for h, v in near_pairs(home, visitor, mask, reach, radius):
             live = home[h] != visitor[v]
             held.append((h[live], v[live]))
             size += int(live.sum())
@@ -243,31 +287,31 @@ def _search(parts: list[tuple[int, int]], first: list[int]):
     return search
 
 
-def fingerprint_components(fingerprints: DataFrame) -> DataFrame:
-    """Components of distinct fingerprints (fp: long) whose Hamming distance is 4 or less: (id, component) of linked ones.
+def fingerprint_components(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Components of distinct fingerprints (fp: long) whose Hamming distance is ``radius`` or less: (id, component) of linked ones.
 
     Fingerprints are cut into three parts; of two within 4 bits one part differs in no more than its radius (1, 1 or 0),
-    since otherwise they differ in 2 + 2 + 1 bits. Each part has a vantage-point tree over a bounded sample of the
+    since otherwise they differ in 2 + 2 + 1 bits; other radii likewise. Each part has a vantage-point tree over a bounded sample of the
     fingerprints, whose leaves are the shards.
     """
     spark = fingerprints.sparkSession
     sample = fingerprints.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toArrow().column("fp").to_numpy().view(np.uint64)
-    trees = trees_of(sample, fingerprints.count())
+    trees = trees_of(sample, fingerprints.count(), radius)
     first = np.cumsum([0, *(t.leaves for t in trees[:-1])]).tolist()
     parts = [(int(t.mask), t.radius) for t in trees]
     sent = fingerprints.select("fp").mapInArrow(_route(spark.sparkContext.broadcast(trees), first), "shard int, role byte, payload binary")
-    links = sent.repartition("shard").sortWithinPartitions("shard", "role").mapInArrow(_search(parts, first), "a long, b long")
+    links = sent.repartition("shard").sortWithinPartitions("shard", "role").mapInArrow(_search(parts, first, radius), "a long, b long")
     return components(links, reduced=True)
 
 
-def _grouped(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, id_column: str, text_column: str, column=None, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
     """Tables of all rows' fingerprints (doc_id, text_hash, fp), and of each fingerprint's component and least row in it."""
     bound_batches(docs.sparkSession)
     text = F.col(text_column)
-    prints = cut(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), fingerprint_of(text).alias("fp")))
+    prints = cut(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), (column or fingerprint_column)(text.cast("binary")).alias("fp")))
     row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))
     distinct = cut(prints.groupBy("fp").agg(F.min(row).alias("first")))
-    linked = fingerprint_components(distinct)
+    linked = fingerprint_components(distinct, radius)
     named = cut(distinct.join(linked, distinct.fp == linked.id, "left").select("fp", "first", F.coalesce("component", "fp").alias("component")))
     drop_cut(distinct)
     return prints, named
@@ -290,15 +334,53 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
 
 
+def _leaders(batches):
+    """Of each group's texts, by id, those that are not alike to one that stayed before."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    for _, part in groups(batches, "group"):
+        stay: list[np.ndarray] = []
+        for batch in part:
+            rows = []
+            for component, least, text_hash, blob in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
+                own = np.frombuffer(blob, "<u8")
+                if not any(alike(own, x, NEAR) for x in stay):
+                    stay.append(own)
+                    rows.append((component, least, text_hash, blob))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["component", "least", "text_hash", "shingles"])
+
+
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` less their near-duplicates, with their columns: of each component the row with the smallest id.
+    """The rows of ``docs`` less their near-duplicates, with their columns.
+
+    Near-duplicates share NEAR of their distinct shingles of NEAR_SHINGLE words. Candidates are texts whose fingerprints,
+    here those of their distinct words, lie within NEAR_RADIUS bits, directly or through others; of each such component
+    texts go by their smallest id, and one that is alike to a text that stayed goes, so that each group keeps its
+    smallest. Components of many texts are dealt to several groups first and their leaders meet afterwards.
 
-    Rows are judged one by one: rows with one id and different texts stand in the components of their texts; if a
-    component's smallest id has several texts in it, the one with the smallest hash stays, and of equal rows one. Rows
-    with a null id stay. Null and empty texts are near-duplicates of each other. An empty table gives no rows.
+    Rows are judged one by one: rows with one id and different texts go by their texts, of equal rows one stays. Rows
+    with a null id stay and make nothing go. Null and empty texts are near-duplicates of each other. An empty table gives
+    no rows.
     """
-    prints, named = _grouped(docs, "doc_id", "text")
-    kept = named.groupBy("component").agg(F.min("first").alias("least")).where("least is not null").select(F.col("least.doc_id").alias("__kept"), F.col("least.text_hash").alias("__hash"))
+    prints, named = _grouped(docs, "doc_id", "text", words_fingerprint_column, NEAR_RADIUS)
+    texts = prints.where("doc_id is not null").groupBy("fp", "text_hash").agg(F.min("doc_id").alias("least"))
+    texts = cut(texts.join(named.select(F.col("fp").alias("of"), "component"), F.col("fp") == F.col("of")).select("component", "text_hash", "least"))
+    size = texts.groupBy(F.col("component").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    sized = cut(texts.join(size, F.col("component") == F.col("of")).select("component", "text_hash", "least", "n"))
+    single = sized.where("n = 1").select("least", "text_hash")
+    several = sized.where("n > 1").select("component", F.col("text_hash").alias("of_hash"), "least", "n")
+    held = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(several, (F.col("id") == F.col("least")) & (F.xxhash64("text") == F.col("of_hash")))
+    parts = F.ceil(F.col("n") / TOGETHER)
+    group = F.xxhash64("component", F.pmod("of_hash", parts))
+    schema = "component long, least long, text_hash long, shingles binary"
+    dealt = held.select(group.alias("group"), "component", "least", F.col("of_hash").alias("text_hash"), shingles_column(F.col("text").cast("binary")).alias("shingles"))
+    order = ("group", "least", "text_hash")
+    leaders = cut(dealt.repartition("group").sortWithinPartitions(*order).mapInArrow(_leaders, schema))
+    again = leaders.select(F.col("component").alias("group"), "component", "least", "text_hash", "shingles")
+    final = again.repartition("group").sortWithinPartitions(*order).mapInArrow(_leaders, schema)
+    kept = cut(single.unionByName(final.select("least", "text_hash")).distinct().select(F.col("least").alias("__kept"), F.col("text_hash").alias("__hash")))
+    for df in (texts, sized, leaders):
+        drop_cut(df)
     again = prints.where("doc_id is not null").groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")
     nameless = docs.where("doc_id is null")
     same = lambda left: (left["doc_id"].cast("long") == F.col("__kept")) & (F.xxhash64(left["text"]) == F.col("__hash"))

@@ -71,10 +71,6 @@ def test_simhash(docs, empty):
     expected = sorted(((i, f"{f:016x}", None if i is None else smallest[label[k]]) for k, (i, f) in enumerate(own)), key=repr)
     assert rows(simhash.near_duplicates(docs), "doc_id", "fingerprint", "component_id") == expected
     assert simhash.near_duplicates(empty).count() == 0
-    kept = simhash.distinct_documents(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(set(smallest.values()))
-    assert kept.where("doc_id is null").count() == 2
 
 
 def scattered(n, seed):
@@ -101,18 +97,21 @@ def test_simhash_tree_finds_all_within_radius():
 
 
 def test_simhash_parts_cover_the_radius():
-    assert sum(r + 1 for _, _, r in simhash.PARTS) > simhash.RADIUS and sorted(b for s, n, _ in simhash.PARTS for b in range(s, s + n)) == list(range(64))
+    for radius in range(12):
+        parts = simhash.parts_of(radius)
+        assert sum(r + 1 for _, _, r in parts) > radius and sorted(b for s, n, _ in parts for b in range(s, s + n)) == list(range(64))
 
 
 @pytest.mark.parametrize("fold", [0, 40])
 def test_simhash_pairs_in_a_shard(fold):
     fp = np.unique(scattered(2500, 5) >> np.uint64(fold))  # folded: crowded together
-    near = {(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(np.bitwise_count(fp[:, None] ^ fp) <= 4)))}
-    found = set()
-    for shift, bits, radius in simhash.PARTS:
-        for h, v in simhash.near_pairs(fp, fp, ((1 << bits) - 1) << shift, radius):
-            found |= set(zip(h.tolist(), v.tolist()))
-    assert found == near
+    for radius in (4, 6):
+        near = {(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(np.bitwise_count(fp[:, None] ^ fp) <= radius)))}
+        found = set()
+        for shift, bits, reach in simhash.parts_of(radius):
+            for h, v in simhash.near_pairs(fp, fp, ((1 << bits) - 1) << shift, reach, radius):
+                found |= set(zip(h.tolist(), v.tolist()))
+        assert found == near
 
 
 def test_simhash_components(spark, monkeypatch):
@@ -144,12 +143,61 @@ def test_simhash_comparisons_grow_less_than_the_square():
             order = np.argsort(visit, kind="stable")
             at = np.searchsorted(visit[order], np.arange(tree.leaves + 1))
             for k in range(tree.leaves):
-                for _ in simhash.near_pairs(fp[home == k], fp[rows[order[at[k] : at[k + 1]]]], int(tree.mask), tree.radius, total):
+                for _ in simhash.near_pairs(fp[home == k], fp[rows[order[at[k] : at[k + 1]]]], int(tree.mask), tree.radius, done=total):
                     pass
         count.append(sum(total))
     assert math.log(count[1] / count[0], 4) < 1.5 and count[1] < 0.05 * 64_000**2
 
 
+def plain_distinct(data):
+    """Texts by smallest id: one whose shingles are 0.8 those of a text that stayed goes, if a chain of close fingerprints links them."""
+    first = {}
+    for i, t in data:
+        if i is not None:
+            first[t] = min(first.get(t, i), i)
+    own = sorted((i, xxhash.xxh64_intdigest(repr(t)), t) for t, i in first.items())
+    shown = [split(t and "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)) for _, _, t in own]
+    grams = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in shown]
+
+    def bits(w):
+        h = [xxhash.xxh64_intdigest(x, 42) for x in set(w)]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    fp, label = [bits(w) for w in shown], list(range(len(own)))
+    for _ in own:
+        label = [min(label[j] for j in range(len(own)) if (fp[i] ^ fp[j]).bit_count() <= 6) for i in range(len(own))]
+    stay = []
+    for k in range(len(own)):
+        same = lambda j: len(grams[k] & grams[j]) >= 0.8 * len(grams[k] | grams[j])  # noqa: E731, B023
+        if not any(label[j] == label[k] and same(j) for j in stay):
+            stay.append(k)
+    return {own[k][0] for k in stay}
+
+
+def test_distinct_documents_are_those_of_a_plain_version(docs, empty):
+    kept = simhash.distinct_documents(docs)
+    assert kept.columns == docs.columns and simhash.distinct_documents(empty).count() == 0
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(plain_distinct([(i, t) for i, t, _ in texts()]))
+    assert kept.where("doc_id is null").count() == 2
+
+
+@pytest.mark.parametrize("together", [1024, 5])
+def test_near_copies_go(spark, monkeypatch, together):
+    """Edited copies go and other texts stay, also where a group is dealt to several tasks."""
+    monkeypatch.setattr(simhash, "TOGETHER", together)
+    rnd, data = random.Random(12), []
+    for k in range(60):
+        own = [f"w{rnd.randint(0, 5000)}" for _ in range(rnd.randint(60, 200))]
+        data.append((k, " ".join(own)))
+        for n in range(20 if k == 0 else 1):
+            for at in rnd.sample(range(len(own)), max(1, len(own) // 100)):
+                data.append((100 + 100 * k + n, " ".join([*own[:at], "edited", *own[at + 1 :]])))
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = {r.doc_id for r in simhash.distinct_documents(docs).collect()}
+    assert set(range(60)) <= got and len(got - set(range(60))) <= 0.05 * (len(data) - 60)
+    assert together < 1024 or got == plain_distinct(data)
+
+
 def test_distinct_documents_judges_rows(spark):
     long, other = words(200, 1), words(200, 2)
     data = [(5, long, "a"), (5, other, "a"), (3, long, "b"), (5, other, "a"), (5, other, "b"), (None, long, "a"), (None, long, "a"), (9, None, "a"), (10, "", "a")]
