@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import threading
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .contract import Layer
 from .errors import EdgeError, guarded
-from .limits import BATCH_BYTES, BATCH_ROWS, Limits, initial_batch_rows
+from .limits import BATCH_BYTES, BATCH_ROWS, Budget, Cancellation, Limits, initial_batch_rows, next_batch_rows
 from .operators import prune
 from .operators.validate import EXAMPLES, Diagnostics, diagnose
 from .plans.catalog import Descriptor, driver, format_of
@@ -43,6 +45,8 @@ class Dataset:
     options: dict
     limits: Limits
     gate: threading.Lock = field(default_factory=threading.Lock)
+    cancellation: Cancellation = field(default_factory=Cancellation)
+    budget: Budget | None = None
 
     def layer(self, key: int | str = 0) -> Layer:
         for x in self.layers:
@@ -52,6 +56,7 @@ class Dataset:
 
     def read(self, request: ReadRequest = ReadRequest()) -> DataFrame:
         """A lazy DataFrame of one layer; formats without exact projection read all columns."""
+        self.cancellation.check()
         layer = self.layer(request.layer)
         exact = self.descriptor.projection == "exact"
         names = None
@@ -82,23 +87,29 @@ class Dataset:
         return df
 
     def open_reader(self, request: ReadRequest = ReadRequest()):
-        """Record batches of a layer, one reader at a time where the format allows one only."""
+        """Arrow record batches of a layer, one reader at a time where the format allows one only.
+
+        A partition's batches come to the driver one partition at a time, and are sliced anew to the size asked for: the
+        first by estimate, each next one by the bytes of the one before. The token is looked at before each batch, the
+        budget's memory is leased for the batch that is out, and a request's limit ends the read after a whole batch.
+        """
         if self.descriptor.concurrency == "single" and not self.gate.acquire(blocking=False):
             raise EdgeError("READER_BUSY", "another reader is open", category="conflict", retry="later")
 
         def batches():
+            token = self.cancellation.child(self.budget.duration_s if self.budget else None)
+            seen = 0
             try:
-                df = self.read(request)
-                size = initial_batch_rows(df.schema, request.batch_bytes, request.batch_rows)
-                rows, names = [], df.columns
-                for row in df.toLocalIterator():
-                    rows.append(row.asDict())
-                    if len(rows) >= size:
-                        yield rows
-                        rows = []
-                if rows:
-                    yield rows
-                del names
+                with self.budget.lease("concurrency") if self.budget else nullcontext():
+                    df = self.read(request)
+                    size = initial_batch_rows(df.schema, request.batch_bytes, request.batch_rows)
+                    for batch in resliced(arrow_batches(df), size, request):
+                        token.check()
+                        with self.budget.lease("memory_bytes", batch.nbytes) if self.budget else nullcontext():
+                            yield batch
+                        seen += batch.num_rows
+                        if request.limit is not None and seen >= request.limit:
+                            return
             finally:
                 if self.descriptor.concurrency == "single":
                     self.gate.release()
@@ -132,8 +143,47 @@ class Dataset:
         return {"schema": "layers-v1", "layers": [{"id": x.id, "name": x.name, "crs": x.geometry.crs.id if x.geometry else None, "field_count": len(x.schema.fields)} for x in self.layers]}
 
 
-def open_dataset(spark: SparkSession, path: str, limits: Limits = Limits(), **options) -> Dataset:
-    """Open a dataset by its extension: size and links are checked, then header, schema and CRS are read."""
+def arrow_batches(df: DataFrame):
+    """The record batches of a DataFrame, in order; the driver holds one partition's at a time."""
+
+    def packed(batches):
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch"])
+
+    if not df.columns:
+        n = df.count()
+        yield pa.RecordBatch.from_struct_array(pa.array([{}] * n, pa.struct([])))
+        return
+    for row in df.mapInArrow(packed, "batch binary").toLocalIterator():
+        yield from pa.ipc.open_stream(row.batch)
+
+
+def resliced(batches, size: int, request: ReadRequest):
+    """Batches of ``size`` rows at first, and then of what the bytes of the one before make of it; the last may be smaller."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        while sum(b.num_rows for b in held) >= size:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            first, rest = whole.slice(0, size), whole.slice(size)
+            held = [rest] if rest.num_rows else []
+            size = next_batch_rows(first.num_rows, first.nbytes, request.batch_bytes, request.batch_rows)
+            yield first
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def open_dataset(spark: SparkSession, path: str, limits: Limits = Limits(), cancellation: Cancellation | None = None, budget: Budget | None = None, **options) -> Dataset:
+    """Open a dataset by its extension: size and links are checked, then header, schema and CRS are read.
+
+    A cancelled token stops opening, reading and converting; a budget bounds what readers hold, how many are open and for
+    how long, and columns.
+    """
+    cancellation = cancellation or Cancellation()
+    cancellation.check()
     descriptor = format_of(path)
     module = driver(descriptor)
     preflight(path, limits.max_input_bytes if not options.pop("unlimited", False) else None)
@@ -143,4 +193,8 @@ def open_dataset(spark: SparkSession, path: str, limits: Limits = Limits(), **op
         raise EdgeError("LIMIT", "too many rows", category="resource", phase="open")
     if any(len(x.schema.fields) > limits.max_columns for x in layers):
         raise EdgeError("LIMIT", "too many columns", category="resource", phase="open")
-    return Dataset(spark, path, descriptor, layers, options, limits)
+    if budget:
+        for x in layers:
+            budget.lease("columns", len(x.schema.fields)).commit()
+    cancellation.check()
+    return Dataset(spark, path, descriptor, layers, options, limits, cancellation=cancellation, budget=budget)

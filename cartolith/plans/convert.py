@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from ..contract import Layer, geometry_field, geometry_of, with_geometry
 from ..dataset import Dataset, ReadRequest, open_dataset
 from ..errors import EdgeError
-from ..limits import Limits
+from ..limits import Cancellation, Limits
 from ..operators.validate import diagnose, geometry_types
 from .capabilities import planned_loss, validate_write
 from .catalog import driver, format_of
@@ -35,12 +35,15 @@ def layer_of(name: str, df: DataFrame, number: int = 0) -> Layer:
     return Layer(number, name, StructType([geometry_field(g) if g and f.name == g.name else f for f in df.schema.fields]))
 
 
-def write_dataset(spark: SparkSession, layers: dict[str, DataFrame], path: str, validate: bool = True, limits: Limits = Limits(), expected_rows: dict[str, int] | None = None, **options) -> dict:
+def write_dataset(spark: SparkSession, layers: dict[str, DataFrame], path: str, validate: bool = True, limits: Limits = Limits(), expected_rows: dict[str, int] | None = None, cancellation: Cancellation | None = None, **options) -> dict:
     """Write layers (DataFrames whose geometry carries its contract) to a new dataset.
 
     Nothing is visible at ``path`` until all is written. With ``validate`` a scan looks for rows that violate the
-    contract first, and the write is refused with their diagnostics. ``expected_rows`` must match what was written.
+    contract first, and the write is refused with their diagnostics. ``expected_rows`` must match what was written, and
+    more rows than the limit are not published. A cancelled token ends the write between its steps.
     """
+    token = cancellation or Cancellation()
+    token.check()
     descriptor = format_of(path)
     plan = [layer_of(name, df, k) for k, (name, df) in enumerate(layers.items())]
     validate_write(descriptor, plan, limits.max_columns)
@@ -53,7 +56,11 @@ def write_dataset(spark: SparkSession, layers: dict[str, DataFrame], path: str,
     loose = descriptor.id == "shp" and not path.rstrip("/").lower().endswith(".shp.d")
     with ExitStack() as stack:
         stage = stack.enter_context(Stage(path, limits.max_output_bytes))
+        token.check()
         report = driver(descriptor).write(spark, frames, stage.path, options)
+        token.check()
+        if report["rows"] > limits.max_rows:
+            raise EdgeError("LIMIT", "too many rows", category="resource", phase="write")
         if expected_rows is not None and sum(expected_rows.values()) != report["rows"]:
             raise EdgeError("CONTRACT", "the declared total does not match the rows written", category="contract", phase="publish")
         if loose:
@@ -69,12 +76,12 @@ def write_dataset(spark: SparkSession, layers: dict[str, DataFrame], path: str,
     return {"rows": report["rows"], **published, "fidelity": fidelity(descriptor.fidelity, losses).to_dict(), "losses": losses.to_dict()}
 
 
-def convert(spark: SparkSession, source: str, target: str, layer: int | str | None = None, validate: bool = True, source_options: dict | None = None, limits: Limits = Limits(), **options) -> dict:
+def convert(spark: SparkSession, source: str, target: str, layer: int | str | None = None, validate: bool = True, source_options: dict | None = None, limits: Limits = Limits(), cancellation: Cancellation | None = None, **options) -> dict:
     """Transcode a dataset, all layers or one; nothing is published unless every row of every layer passes.
 
     Types that the source leaves open are found out from its rows, so that the target's checks can judge them.
     """
-    dataset: Dataset = open_dataset(spark, source, limits, **(source_options or {}))
+    dataset: Dataset = open_dataset(spark, source, limits, cancellation, **(source_options or {}))
     chosen = dataset.layers if layer is None else [dataset.layer(layer)]
     if len(chosen) > 1 and not format_of(target).writes.multi_layer:
         raise EdgeError("UNSUPPORTED", "SINGLE_LAYER_SINK: the target holds one layer", category="capability", phase="plan")
@@ -84,7 +91,7 @@ def convert(spark: SparkSession, source: str, target: str, layer: int | str | No
         if x.geometry and x.geometry.declaration == "unresolved":
             df = declare_types(df)
         frames[x.name] = df
-    written = write_dataset(spark, frames, target, validate, limits, **options)
+    written = write_dataset(spark, frames, target, validate, limits, cancellation=cancellation, **options)
     seen = dataset.losses()
     read_side = fidelity(dataset.descriptor.fidelity, seen)
     write_losses = LossReport(dict(written["losses"]["counts"]), [(e["category"], e["field"]) for e in written["losses"]["examples"]])

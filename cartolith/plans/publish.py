@@ -45,6 +45,10 @@ class Stage:
 
     def publish(self) -> dict:
         size = preflight(self.path, self.limit)
+        for folder, _, names in os.walk(self.path) if os.path.isdir(self.path) else [(os.path.dirname(self.path), [], [os.path.basename(self.path)])]:
+            for name in names:  # what is published is on the disk before it has its name
+                with open(os.path.join(folder, name), "rb") as f:
+                    os.fsync(f.fileno())
         if os.path.isdir(self.path):
             try:
                 os.mkdir(self.target)  # takes the name or fails; a rename then replaces the empty folder at once

@@ -16,7 +16,7 @@ from cartolith.crs import CRS84, resolved
 from cartolith.dataset import ReadRequest, open_dataset
 from cartolith.errors import EdgeError, guarded
 from cartolith.functions import wkb, wkt
-from cartolith.limits import Limits
+from cartolith.limits import Budget, Cancellation, Limits
 from cartolith.operators.validate import Diagnostics, diagnose
 from cartolith.plans.capabilities import validate_write
 from cartolith.plans.catalog import FORMATS, catalog, catalog_json, format_of
@@ -322,7 +322,7 @@ def test_single_reader(spark, tmp_path):
     with pytest.raises(EdgeError) as busy:
         data.open_reader()
     assert busy.value.code == "READER_BUSY" and sum(map(len, first)) == 1
-    assert sum(map(len, data.open_reader())) == 1
+    assert sum(b.num_rows for b in data.open_reader()) == 1
 
 
 def test_stream_of_points(spark, tmp_path):
@@ -393,3 +393,41 @@ def test_text_sinks_keep_rows_in_order(spark, tmp_path):
     write_dataset(spark, {"o": df}, path)
     with open(path) as f:
         assert [line.rstrip("\n").rsplit(",", 1)[-1].strip('"') for line in f][1:] == order
+
+
+def test_readers_slice_batches_and_heed_tokens(spark, tmp_path):
+    df = frame(spark, [f"POINT({k} 1)" for k in range(100)])
+    path = str(tmp_path / "r.csv")
+    write_dataset(spark, {"r": df}, path)
+    data = open_dataset(spark, path, **OPTIONS["csv"])
+    sizes = [b.num_rows for b in data.open_reader(ReadRequest(batch_rows=30))]
+    assert sum(sizes) == 100 and max(sizes) == 30 and all(n == 30 for n in sizes[:-1])
+    assert sum(b.num_rows for b in data.open_reader(ReadRequest(batch_rows=30, limit=31))) == 60
+    assert sum(b.num_rows for b in data.open_reader(ReadRequest(columns=()))) == 100
+    token = Cancellation()
+    reader = open_dataset(spark, path, cancellation=token.child(), **OPTIONS["csv"]).open_reader(ReadRequest(batch_rows=30))
+    next(reader)
+    token.cancel()
+    with pytest.raises(EdgeError) as error:
+        next(reader)
+    assert error.value.code == "CANCELLED"
+    for f in (lambda: open_dataset(spark, path, cancellation=token, **OPTIONS["csv"]), lambda: convert(spark, path, str(tmp_path / "r.gpkg"), source_options=OPTIONS["csv"], cancellation=token), lambda: write_dataset(spark, {"r": df}, str(tmp_path / "s.csv"), cancellation=token)):
+        with pytest.raises(EdgeError) as error:
+            f()
+        assert error.value.code == "CANCELLED"
+    assert sorted(os.listdir(tmp_path)) == ["r.csv"]
+
+
+def test_budgets_bind(spark, tmp_path):
+    path = str(tmp_path / "b.csv")
+    write_dataset(spark, {"b": frame(spark, ["POINT(1 1)"] * 20)}, path)
+    for budget in (Budget(columns=1), Budget(memory_bytes=10), Budget(concurrency=0), Budget(duration_s=0.0)):
+        with pytest.raises(EdgeError) as error:
+            list(open_dataset(spark, path, budget=budget, **OPTIONS["csv"]).open_reader())
+        assert error.value.code in ("LIMIT", "CANCELLED")
+    budget = Budget()
+    assert sum(b.num_rows for b in open_dataset(spark, path, budget=budget, **OPTIONS["csv"]).open_reader()) == 20
+    assert budget.used["memory_bytes"] == budget.used["concurrency"] == 0
+    with pytest.raises(EdgeError) as error:
+        write_dataset(spark, {"b": frame(spark, ["POINT(1 1)"] * 20)}, str(tmp_path / "c.csv"), limits=Limits(max_rows=19))
+    assert error.value.code == "LIMIT" and sorted(os.listdir(tmp_path)) == ["b.csv"]
