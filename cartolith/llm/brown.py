@@ -552,4 +552,5 @@ def _distinct(batches):
 
 
 def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every row of ``documents``; see :func:`score_documents` for nulls, empties, repeats and empty tables."""
     return score_documents(table(spark, sf_dir, "documents"))

@@ -314,4 +314,5 @@ def clean_documents(docs: DataFrame, items: DataFrame, index_bytes: int = INDEX_
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of ``benchmark`` held by every row of ``documents``; see :func:`leaks` for nulls, empties, repeats and empty tables."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -371,4 +371,5 @@ def scan_licenses(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License detections of every row of ``documents``; see :func:`scan_licenses` for nulls, empties, repeats and empty tables."""
     return scan_licenses(table(spark, sf_dir, "documents"))

@@ -121,4 +121,5 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every row of ``documents``; see :func:`mix` for nulls, ties, repeats and empty tables."""
     return mix(table(spark, sf_dir, "documents")).drop("source")

@@ -338,4 +338,5 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
 
 def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and representative of every row of ``embeddings``; see :func:`near_duplicates` for nulls, ties, repeats and empty tables."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -395,4 +395,5 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every row of ``documents``; see :func:`near_duplicates` for nulls, empties, repeats and empty tables."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -293,4 +293,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every row of ``documents``; see :func:`remove_repeats` for nulls, short texts, repeats and empty tables."""
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")

@@ -426,4 +426,5 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False, block: int = BLOCK
 
 
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every row of ``documents``; see :func:`remove_repeats` for nulls, short texts, equal ids and empty tables."""
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")

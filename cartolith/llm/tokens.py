@@ -355,11 +355,16 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False, doc_id:
 
 
 def token_file(docs: DataFrame) -> DataFrame:
-    """Write ``docs`` into a new folder among the shared ones and read the file back, a row for each document."""
+    """Write ``docs`` into a new folder among the shared ones and read the file back, a row for each document.
+
+    Null and empty texts have just the end id; null ids come first; rows of one id, equal ones too, have a row each; an
+    empty table gives no rows; columns other than doc_id and text are not read.
+    """
     path = f"{shared_dir(docs.sparkSession)}/cartolith-tokens/{uuid.uuid4().hex}"
     write_tokens(docs, path)
     return read_tokens(docs.sparkSession, path)
 
 
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of ``documents``, read back from the file written; see :func:`write_tokens` for nulls, ties, repeats and empty tables."""
     return token_file(table(spark, sf_dir, "documents"))

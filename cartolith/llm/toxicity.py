@@ -18,8 +18,9 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from .common import bound_batches, table, tidy
 
-#: The fit's bounded sample: documents of either label, bytes of each; tokens in a training segment, random segments of each.
-SAMPLE, SAMPLE_BYTES, SEGMENT, RANDOM = {1: 1500, 0: 3000}, 65_536, 12, 8
+#: The fit's bounded sample: documents of either label, bytes of each and of all together; tokens in a training segment,
+#: random segments of each.
+SAMPLE, SAMPLE_BYTES, SAMPLE_TOTAL, SEGMENT, RANDOM = {1: 1500, 0: 3000}, 65_536, 32 << 20, 12, 8
 #: Hashed features; contexts that mark a feature as toxic, and the share of them that must be of toxic documents.
 FEATURES, CONTEXTS, PURITY = 1 << 18, 10, 0.98
 #: Slots in which documents are counted by feature before contexts are kept of the few that may be toxic.
@@ -57,21 +58,33 @@ def mark_tokens(documents: list[list[bytes]], toxic: list[bool]) -> list[np.ndar
     A feature is toxic if the documents and the contexts (word before and word after) that it is seen in are several and nearly all of
     toxic documents. Contexts, unlike documents, don't multiply with copies of a document.
     """
-    spread = np.zeros((2, SPREAD), np.int32)
+    spread = np.zeros((2, SPREAD), np.int32)  # only discards what too few toxic documents hold
     for words, label in zip(documents, toxic):
         own = [zlib.crc32(f) % SPREAD for w in {w for w in words if len(w) >= 4} for f in features_of(w)[:4]]
         if own:
             np.add.at(spread[int(label)], own, 1)
     share = [max(1, sum(x == label for x in toxic)) for label in (False, True)]
     pure = lambda clean, own: own / share[1] >= PURITY * (own / share[1] + clean / share[0])
-    likely = (spread[1] >= CONTEXTS) & pure(spread[0], spread[1])
+    likely = spread[1] >= CONTEXTS
+    held: dict[bytes, list[bytes]] = {}
+    holds: dict[bytes, list[int]] = defaultdict(lambda: [0, 0])
+    for words, label in zip(documents, toxic):
+        own = set()
+        for word in set(words):
+            if len(word) >= 4:
+                if word not in held:
+                    held[word] = [f for f in features_of(word)[:4] if likely[zlib.crc32(f) % SPREAD]]
+                own.update(held[word])
+        for f in own:
+            holds[f][label] += 1
+    likely_features = {f for f, (clean, own) in holds.items() if own >= CONTEXTS and pure(clean, own)}
+    held = {w: kept for w, found in held.items() if (kept := [f for f in found if f in likely_features])}
     seen: dict[bytes, tuple[set, set]] = defaultdict(lambda: (set(), set()))
     for words, label in zip(documents, toxic):
         for k, word in enumerate(words):
-            if len(word) >= 4:
-                for f in features_of(word)[:4]:
-                    if likely[zlib.crc32(f) % SPREAD]:
-                        seen[f][label].add((words[k - 1] if k else b"", words[k + 1] if k + 1 < len(words) else b""))
+            if word in held:
+                for f in held[word]:
+                    seen[f][label].add((words[k - 1] if k else b"", words[k + 1] if k + 1 < len(words) else b""))
     bad = {f for f, (clean, own) in seen.items() if len(own) >= CONTEXTS and pure(len(clean), len(own))}
     return [np.array([label and len(w) >= 4 and any(f in bad for f in features_of(w)[:4]) for w in words], bool) for words, label in zip(documents, toxic)]
 
@@ -252,15 +265,22 @@ def _scorer(broadcast_id: int, broadcast) -> Scorer:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on labelled documents whose crc32(doc_id as text) mod 5 is not 0, a bounded sample of them (SAMPLE, SAMPLE_BYTES).
 
-    The sample has the documents with the smallest hashes of their ids; only their ids are collected to find it.
-    A document labelled twice is toxic if one label says so; null labels and ids are left out.
+    The sample has the documents with the smallest hashes of their ids, as many of each label as SAMPLE and half of
+    SAMPLE_TOTAL allow; only their ids and sizes are collected to find it. A document labelled twice is toxic if one label
+    says so; null labels and ids are left out.
     """
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     marked = marked.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).withColumnRenamed("doc_id", "labelled")
     sized = docs.select(F.col("doc_id"), F.col("text")).where("text is not null").where(F.octet_length("text") <= SAMPLE_BYTES)
-    known = sized.select("doc_id").join(marked, F.col("doc_id") == F.col("labelled"), "left_semi").distinct().join(marked, F.col("doc_id") == F.col("labelled"))
-    chosen = [r for label, n in SAMPLE.items() for r in known.where(F.col("label") == label).select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
-    label_of = {r.doc_id: bool(r.label) for r in chosen}
+    sizes = sized.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("size"))
+    known = sizes.join(marked, F.col("doc_id") == F.col("labelled")).select("doc_id", "label", "size", F.xxhash64("doc_id").alias("h"))
+    label_of: dict[int, bool] = {}
+    first = known.where("label = 1").orderBy("h", "doc_id").limit(SAMPLE[1]).unionByName(known.where("label = 0").orderBy("h", "doc_id").limit(SAMPLE[0]))
+    held = {0: 0, 1: 0}
+    for r in sorted(first.collect(), key=lambda r: (r.h, r.doc_id)):
+        held[r.label] += r.size
+        if held[r.label] <= SAMPLE_TOTAL // 2:
+            label_of[r.doc_id] = bool(r.label)
     if not label_of:
         return fit([], [])
     spark = docs.sparkSession
@@ -317,4 +337,5 @@ def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, prediction and spans of every row of ``documents``; see :func:`score_documents` for nulls, empties, repeats and unusable labels."""
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -710,3 +710,68 @@ def test_pipeline(spark, tmp_path):
     assert 2 in seen["simhash"] and 2 not in seen["decontaminate"] and len(seen["toxicity"]) == len(data)
     assert sorted(seen["tokens"]) == sorted(seen["mix"])
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, folder).collect()) == sorted(seen["tokens"])
+
+
+def _tables(spark, folder, documents, labels, items):
+    extra = "lang string, source string, n_chars long, score string, fp string, shard string, component string"
+    spark.createDataFrame([(i, t, "en", s, len(t or ""), "z", "z", "z", "z") for i, t, s in documents], f"doc_id long, text string, {extra}").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null sources and texts, clashing columns, and nothing to learn from or to look for."""
+    import corpus_pipeline
+
+    a, b, c = words(80, 1), words(90, 2), words(70, 3)
+    data = [(1, a, "s"), (1, b, "s"), (1, b, "s"), (2, c, None), (None, a, "s"), (None, None, None), (3, None, "t"), (4, "", "t")]
+    _tables(spark, str(tmp_path), data, [], [])
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert name == "tokens" or out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        seen[name] = docs.collect()
+    assert len(seen["toxicity"]) == len(data)
+    both = sorted(((r.doc_id, r.text) for r in seen["simhash"]), key=repr)
+    assert both == sorted([(1, a), (1, b), (2, c), (None, a), (None, None), (3, None)], key=repr) and len(seen["decontaminate"]) == len(both)
+    assert {r.text for r in seen["mix"]} <= {a, b, c} and len(seen["tokens"]) == len(seen["mix"])
+
+
+def test_pipeline_of_three_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    _tables(spark, str(tmp_path), [(1, words(30, 1), "s"), (1, words(30, 2), "s"), (2, words(30, 3), "s")], [], [])
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 2}
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    _tables(spark, str(tmp_path), [], [(1, 1, 1)], [(1, "an item")])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_toxicity_scores_are_those_of_a_plain_field(labelled):
+    """Scores of a fitted model by enumerating marginals with plain sums over both tags, text by text."""
+    docs, labels = labelled
+    model = toxicity.train(docs, labels)
+    shown = [r.text for r in docs.limit(40).collect()] + ["", "grumpf grumpf!", "a Zoggish zoggish b"]
+    got, spans = toxicity.Scorer(model).score([(t or "").encode() for t in shown])
+    for text, score, own in zip(shown, got, spans):
+        words_ = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+        e = [sum(float(model.weights[zlib.crc32(f) % toxicity.FEATURES]) for f in toxicity.features_of(w.encode())) for w in words_]
+        t, n = model.transitions, len(e)
+        alpha, beta = np.zeros((n, 2)), np.zeros((n, 2))
+        for k in range(n):
+            for b in (0, 1):
+                alpha[k, b] = e[k] * b + (t[0, b] if k == 0 else np.logaddexp(alpha[k - 1, 0] + t[0, b], alpha[k - 1, 1] + t[1, b]))
+        for k in range(n - 2, -1, -1):
+            for a in (0, 1):
+                beta[k, a] = np.logaddexp(t[a, 0] + beta[k + 1, 0], t[a, 1] + e[k + 1] + beta[k + 1, 1])
+        p = [1 / (1 + math.exp(alpha[k, 0] + beta[k, 0] - alpha[k, 1] - beta[k, 1])) for k in range(n)]
+        high = sum(x for x in p if x > 0.5)
+        z = float(model.document @ [1, max(p, default=0), math.log1p(high), high / n if n else 0])
+        assert math.isclose(score, 1 / (1 + math.exp(-z)), rel_tol=1e-6)
+        assert sum(x > 0.5 and (k == 0 or p[k - 1] <= 0.5) for k, x in enumerate(p)) == len(own)
