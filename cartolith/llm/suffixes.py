@@ -2,11 +2,12 @@
 
 Suffixes are compared to a depth of 50 bytes, so a suffix can tie with another only if the cover sample at one offset
 under the period ties too: two equal suffixes have, wherever they stand, a common offset at which both are in the
-cover, and there the samples of 20 bytes are equal. So the samples (6 of 31 positions) are sorted and ranked first, and
-only suffixes with a tying sample ahead go on to be sorted, bucket by bucket, to their full depth. Samples stand for
-themselves as hashes there, which may only let more suffixes through. Suffixes travel as their bytes: those that follow
-each other and share the least sample of their depth go to one bucket as one string. What ties by hash is told apart by
-its bytes.
+cover, and there the samples of 20 bytes are equal. So the samples (6 of 31 positions) are sorted first, and only
+suffixes with a tying sample ahead go on to be sorted, one bucket at a time, by their bytes to their full depth. Samples
+stand for themselves as hashes, which may only let more suffixes through; whether one ties, not its rank, is what the
+suffixes need of it, since no comparison goes beyond the depth. A block first drops what it holds more than once, by hash
+and then by bytes. Suffixes travel as their bytes: those that follow each other and share the least sample of their depth
+go to one bucket as one string.
 """
 
 from __future__ import annotations
@@ -104,6 +105,48 @@ def ordered_strings(flat: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> tup
     return order, new
 
 
+def bytes_from(flat: np.ndarray, at: np.ndarray, offset: int) -> np.ndarray:
+    """The eight bytes at an offset of each suffix as numbers in the order of the bytes, zeros from DEPTH on."""
+    over = max(0, offset + 8 - DEPTH)
+    found = np.ndarray(len(flat) - 7, ">u8", flat, strides=(1,))[at + offset - over].astype(np.uint64)
+    return found << np.uint64(8 * over) if over else found
+
+
+def sorted_suffixes(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at ``at`` in the order of their first DEPTH bytes, and where in that order each new string begins.
+
+    Sorted by their first bytes; groups that tie there and are not one string all through are sorted by the bytes that
+    follow, until none is left. Long copies, which tie all through, are done after one comparison of their bytes.
+    """
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    key = bytes_from(flat, at, 0)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(order), bool)
+    new[1:] = key[1:] != key[:-1]
+    live, offset = np.arange(len(order)), 8
+    while offset < DEPTH:
+        ties = live[~new[live]]
+        differ = ties[~same_strings(flat, at[order[ties - 1]], at[order[ties]])]
+        if not len(differ):
+            break
+        group = np.cumsum(new[live]) - 1
+        mixed = np.zeros(int(group[-1]) + 1, bool)
+        mixed[group[np.searchsorted(live, differ)]] = True
+        live = live[mixed[group]]
+        group = np.cumsum(new[live]) - 1
+        room = (64 - int(group[-1]).bit_length()) // 8  # bytes that go into a key beside the group's number
+        key = bytes_from(flat, at[order[live]], offset)
+        if room < 8:
+            key = (group.astype(np.uint64) << np.uint64(8 * room)) | (key >> np.uint64(64 - 8 * room))
+        by_key = np.argsort(key)
+        order[live], key = order[live][by_key], key[by_key]
+        new[live[1:]] |= key[1:] != key[:-1]
+        offset += room
+    return order, new
+
+
 def string_buckets(flat: np.ndarray, at: np.ndarray, buckets: int, step: int = 1 << 15) -> np.ndarray:
     """The bucket of the string at each of the ascending positions ``at``, from the least hash of the samples within it."""
     out, edges = np.empty(len(at), np.uint64), np.searchsorted(at, np.arange(0, len(flat) + step, step))
@@ -316,7 +359,7 @@ def _mark_suffixes(batches):
         n = np.concatenate([x[3][0] for x in held]).astype(np.int64)
         held = [x[:3] for x in held]
         at = np.arange(n.sum()) + np.repeat(np.arange(len(n)) * (DEPTH - 1), n)
-        order, new = ordered_strings(flat, at, window_hashes(flat, DEPTH, at))
+        order, new = sorted_suffixes(flat, at)
         hit = np.zeros(len(at), bool)  # places run with the blocks, so the least place of a suffix is in its earliest block
         hit[order] = order > np.minimum.reduceat(order, np.flatnonzero(new))[np.cumsum(new) - 1]
         yield from _marked(held, hit)
@@ -403,7 +446,7 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False, block: int = BLOCK
     other than doc_id and text are not read. Documents are dealt once to ranges of ids and laid out in blocks in their order;
     each round reads the same exchange, and only keys, suffixes and bits travel between; a block sends a key or suffix once however often it holds it, so that a passage of a
     third of all documents reaches its bucket once a block. A sample's key of 36 bits may collide, which only lets a
-    suffix through to be sorted; suffixes are compared by all their bytes.
+    suffix through to be sorted; suffixes are compared and sorted by all their bytes.
     """
     spark = docs.sparkSession
     bound_batches(spark)

@@ -272,6 +272,17 @@ def test_suffixes_that_tie_by_hash_only(spark, block):
     assert rows(got, "doc_id", "n_removed", "kept") == [(1, 0, data[0][1].encode()), (2, 0, data[1][1].encode()), (3, 50, b"C"), (4, 50, b"D")]
 
 
+def test_suffixes_are_sorted_by_their_bytes():
+    rnd = random.Random(3)
+    for letters, n in (("ab", 3000), ("a", 300), ("abcdefghijklmnop\x00\xff", 5000)):
+        raw = "".join(rnd.choice(letters) for _ in range(n)).encode("latin-1")
+        raw += raw[: n // 2] + raw[n // 3 : n // 2]
+        at = np.array(sorted(rnd.sample(range(len(raw) - 49), min(2000, len(raw) - 49))))
+        order, new = suffixes.sorted_suffixes(np.frombuffer(raw, np.uint8), at)
+        strings = [raw[p : p + 50] for p in at[order].tolist()]
+        assert strings == sorted(strings) and new.tolist() == [k == 0 or strings[k] != strings[k - 1] for k in range(len(strings))]
+
+
 def test_cover_has_every_difference():
     assert {(a - b) % suffixes.PERIOD for a in suffixes.COVER for b in suffixes.COVER} == set(range(suffixes.PERIOD))
 
