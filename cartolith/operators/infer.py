@@ -15,22 +15,22 @@ CLASSES = ("null", "integer", "wide_integer", "number", "boolean", "text")
 TYPES: dict[str, DataType] = {"integer": LongType(), "number": DoubleType(), "boolean": BooleanType(), "text": StringType()}
 
 
-def classify(cell: Column) -> Column:
+def classify(cell: Column, names=lambda name: name) -> Column:
     """The class of a text cell: null (blank), integer, wide_integer (beyond 2^53), number, boolean or text.
 
     Whole numbers that don't fit 64 bits stay text rather than lose digits; so do NaN and infinities, and decimals that
-    overflow a double.
+    overflow a double. ``names`` gives what stands for a class in the result, its name if not told otherwise.
     """
     t = F.trim(cell)
     whole, long = t.rlike(INTEGER), t.try_cast("bigint")
     return (
-        F.when(F.coalesce(t == "", F.lit(True)), "null")
-        .when(whole & long.isNull(), "text")
-        .when(whole & ((long > EXACT) | (long < -EXACT)), "wide_integer")
-        .when(whole, "integer")
-        .when(t.rlike(NUMBER) & (F.abs(t.try_cast("double")) < float("inf")), "number")
-        .when(F.lower(t).isin("true", "false"), "boolean")
-        .otherwise("text")
+        F.when(F.coalesce(t == "", F.lit(True)), names("null"))
+        .when(whole & long.isNull(), names("text"))
+        .when(whole & ((long > EXACT) | (long < -EXACT)), names("wide_integer"))
+        .when(whole, names("integer"))
+        .when(t.rlike(NUMBER) & (F.abs(t.try_cast("double")) < float("inf")), names("number"))
+        .when(F.lower(t).isin("true", "false"), names("boolean"))
+        .otherwise(names("text"))
     )
 
 
@@ -60,7 +60,7 @@ def infer_types(df: DataFrame, columns: list[str] | None = None, kinds=classify,
     columns = df.columns if columns is None else columns
     if not columns and not count:
         return {}
-    bits = lambda c: F.bit_or(F.element_at(F.create_map(*(F.lit(x) for pair in _BITS.items() for x in pair)), kinds(F.col(f"`{c}`"))))
+    bits = lambda c: F.bit_or(kinds(F.col(f"`{c}`"), _BITS.__getitem__))
     row = df.agg(F.count(F.lit(1)), *(bits(c).alias(f"c{k}") for k, c in enumerate(columns))).first()
     found = {c: lattice({name for name, bit in _BITS.items() if (row[k + 1] or 0) & bit}) for k, c in enumerate(columns)}
     return (found, row[0]) if count else found
