@@ -35,7 +35,9 @@ def inspect_row(cell: bytes | None) -> dict | None:
 
 @arrow_udf(INSPECTION)
 def wkb_inspect(cells: pa.Array) -> pa.Array:
-    """Structure of each cell, or why it is not a geometry."""
+    """Structure of each cell, or why it is not a geometry; plain points are all alike."""
+    if wkb.plain_points(cells) is not None:
+        return pa.array([inspect_row(cells[0].as_py())], _INSPECTION).take(pa.array(np.zeros(len(cells), np.int64)))
     return pa.array([inspect_row(c) for c in cells.to_pylist()], _INSPECTION)
 
 
@@ -63,6 +65,9 @@ def _each(column: pa.Array, f, kind: pa.DataType) -> pa.Array:
 
 @arrow_udf(StringType())
 def wkb_to_wkt(cells: pa.Array) -> pa.Array:
+    plain = wkb.plain_points(cells)
+    if plain is not None:
+        return pa.array([f"POINT({wkt.number(x)} {wkt.number(y)})" for x, y in zip(*(c.tolist() for c in plain))], pa.string())
     return _each(cells, lambda c: wkt.format(wkb.decode(c)), pa.string())
 
 
@@ -74,6 +79,9 @@ def wkt_to_wkb(texts: pa.Array) -> pa.Array:
 
 @arrow_udf(StringType())
 def wkb_to_geojson(cells: pa.Array) -> pa.Array:
+    plain = wkb.plain_points(cells)
+    if plain is not None:
+        return pa.array([f'{{"type":"Point","coordinates":[{x!r},{y!r}]}}' for x, y in zip(*(c.tolist() for c in plain))], pa.string())
     return _each(cells, lambda c: geojson.dumps(wkb.decode(c)), pa.string())
 
 

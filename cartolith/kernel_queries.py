@@ -117,7 +117,7 @@ def gpkg_coerced_values(spark, sf_dir):
     with sqlite3.connect(path) as db:
         for k, value in enumerate(("1e300", "nation + 0.25", "9e999", "'a word'", "-1e300")):
             db.execute(f"UPDATE layer SET nation = {value} WHERE id % 7 = {k}")
-    return open_dataset(spark, path).read(ReadRequest(columns=("id", "nation"))).select("id", "nation")
+    return open_dataset(spark, path).read(ReadRequest(columns=("id", "nation"))).select("id", F.coalesce(F.col("nation").cast("string"), F.lit("null")).alias("nation"))
 
 
 def shp_ring_faults(spark, sf_dir):
@@ -201,7 +201,7 @@ def accepted_rows(spark, sf_dir):
     data = open_dataset(spark, path)
     for limit in (None, 0, 1, 100, 1_000_000):
         found = data.read_summary(ReadRequest(limit=limit, batch_rows=64))
-        rows.append((limit, found["rows_read"], found["batches"], found["truncated"]))
+        rows.append((-1 if limit is None else limit, found["rows_read"], found["batches"], found["truncated"]))
     return spark.createDataFrame(rows, "asked long, rows_read long, batches long, truncated boolean")
 
 
@@ -339,7 +339,7 @@ ORACLE_SQL = {
         SELECT category, count(*) AS n FROM (SELECT CASE s_suppkey % 7 WHEN 0 THEN 'real_truncated_to_integer' WHEN 1 THEN 'real_truncated_to_integer' WHEN 2 THEN 'non_finite_to_null'
             WHEN 3 THEN 'value_of_other_type_to_null' WHEN 4 THEN 'value_of_other_type_to_null' END AS category FROM supplier) WHERE category IS NOT NULL GROUP BY category""",
     "gpkg_coerced_values": """
-        SELECT s_suppkey AS id, CASE s_suppkey % 7 WHEN 0 THEN 9223372036854775807 WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN -9223372036854775808 ELSE CAST(s_nationkey AS BIGINT) END AS nation FROM supplier""",
+        SELECT s_suppkey AS id, CASE s_suppkey % 7 WHEN 0 THEN '9223372036854775807' WHEN 2 THEN 'null' WHEN 3 THEN 'null' WHEN 4 THEN '-9223372036854775808' ELSE CAST(s_nationkey AS VARCHAR) END AS nation FROM supplier""",
     "shp_ring_faults": _values("polygon, verdict", [
         ("good", "accepted"), ("open", "shapefile.unclosed_ring"), ("flat", "shapefile.degenerate_ring"), ("short", "shapefile.degenerate_ring"), ("hole first", "shapefile.inner_before_outer"),
         ("hole only", "shapefile.inner_before_outer"), ("flat and open", "shapefile.unclosed_ring"), ("none", "shapefile.no_outer_ring"), ("not a number", "shapefile.degenerate_ring")]),
@@ -349,7 +349,7 @@ ORACLE_SQL = {
     "kml_polygons": f"SELECT CAST(p_partkey AS VARCHAR) AS name, {_WKT_SQUARE} AS geometry FROM part",
     "geometry_types_found": _values("kind, dims", [("linestring", "xyz"), ("multipoint", "xy"), ("point", "xy")]),
     "accepted_rows": """
-        SELECT CAST(asked AS BIGINT) AS asked, CASE WHEN asked = 0 THEN 0 WHEN asked IS NULL OR least(n, ceil(asked / 64) * 64) = n THEN n ELSE CAST(ceil(asked / 64) * 64 AS BIGINT) END AS rows_read,
+        SELECT CAST(coalesce(asked, -1) AS BIGINT) AS asked, CASE WHEN asked = 0 THEN 0 WHEN asked IS NULL OR least(n, ceil(asked / 64) * 64) = n THEN n ELSE CAST(ceil(asked / 64) * 64 AS BIGINT) END AS rows_read,
             CASE WHEN asked = 0 THEN 0 WHEN asked IS NULL OR ceil(asked / 64) * 64 >= n THEN CAST(ceil(n / 64) AS BIGINT) ELSE CAST(ceil(asked / 64) AS BIGINT) END AS batches, coalesce(asked = 0 OR ceil(asked / 64) * 64 < n, false) AS truncated
         FROM (SELECT count(*) AS n FROM customer), (VALUES (NULL), (0), (1), (100), (1000000)) a(asked)""",
     "source_index": "SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY s_suppkey) - 1 AS BIGINT) AS row, s_suppkey AS id FROM supplier, (VALUES ('s.geojson'), ('s.arrow'), ('s.parquet')) f(file)",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,21 +135,6 @@ def write_text(df: DataFrame, path: str, texts, head: str = "", between: str = "
     return {"rows": in_order(df.mapInArrow(worded, "n long, body binary")).mapInArrow(task, "n long").first().n}
 
 
-def plain_points(cells: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
-    """x and y of a column that holds nothing but plain little-endian points, else None."""
-    if cells.null_count or not len(cells):
-        return None
-    cells = cells.cast(pa.binary())
-    offsets = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1]
-    if (np.diff(offsets) != 21).any():
-        return None
-    raw = np.frombuffer(cells.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, 21)
-    if (raw[:, :5] != [1, 1, 0, 0, 0]).any():
-        return None
-    xy = np.ascontiguousarray(raw[:, 5:]).view("<f8")
-    return (xy[:, 0], xy[:, 1]) if np.isfinite(xy).all() else None
-
-
 def text_column(column: pa.Array) -> list[str]:
     """A column's values as the text formats write them, null as nothing."""
     kind = column.type

@@ -17,7 +17,7 @@ from ..functions import wkb, wkt
 from ..functions.udfs import wkb_point, wkt_to_wkb
 from ..operators.infer import NUMBER, TYPES, infer_types, typed
 from ..operators.validate import geometry_types
-from .base import plain_points, text_column, write_text
+from .base import text_column, write_text
 
 
 def _raw(spark: SparkSession, path: str, options: dict, whole: bool = False) -> DataFrame:
@@ -99,7 +99,7 @@ def write(spark: SparkSession, frames: list[tuple[Layer, DataFrame]], path: str,
     as_xy, sep = options.get("geometry_encoding") == "xy", (options.get("delimiter") or ",")[0]
 
     def shapes(cells: pa.Array) -> list[list[str]]:
-        plain = plain_points(cells)
+        plain = wkb.plain_points(cells)
         if plain is not None:
             x, y = ([wkt.number(v) for v in c.tolist()] for c in plain)
             return [x, y] if as_xy else [[f"POINT({a} {b})" for a, b in zip(x, y)]]

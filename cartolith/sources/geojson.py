@@ -18,7 +18,7 @@ from ..crs import CRS84, resolved
 from ..errors import EdgeError
 from ..functions import geojson, wkb
 from ..operators.infer import TYPES, lattice, value_as, value_class
-from .base import load, plain_points, write_text
+from .base import load, write_text
 
 _DECODER = json.JSONDecoder(object_pairs_hook=geojson._no_twins, parse_constant=lambda _: (_ for _ in ()).throw(EdgeError("FORMAT", "not JSON")))
 
@@ -281,7 +281,7 @@ def write(spark: SparkSession, frames: list[tuple[Layer, DataFrame]], path: str,
         return values if pa.types.is_string(column.type) or pa.types.is_integer(column.type) or pa.types.is_boolean(column.type) else [member(v) for v in values]
 
     def shapes(cells: pa.Array) -> list[str]:
-        plain = plain_points(cells)
+        plain = wkb.plain_points(cells)
         if plain is not None:
             return [f'{{"type":"Point","coordinates":[{x!r},{y!r}]}}' for x, y in zip(*(c.tolist() for c in plain))]
         return ["null" if c is None else geojson.dumps(wkb.decode(c)) for c in cells.to_pylist()]
