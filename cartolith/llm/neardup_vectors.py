@@ -169,12 +169,12 @@ def grouped_cells(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray
 
     Small cells that follow each other share a group, a larger one is dealt to several of its own.
     """
-    first, parts, members, held = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), [], most
+    first, parts, members, held = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), [], most + 1
     for k, n in enumerate(counts.tolist()):
         if n > most:
             first[k], parts[k] = len(members), -(-n // most)
             members += [[k]] * int(parts[k])
-            held = most
+            held = most + 1
             continue
         if held + n > most:
             members.append([])

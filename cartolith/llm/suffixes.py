@@ -27,7 +27,7 @@ from .substrings import _pack, _unpack, mixed
 DEPTH, PERIOD, COVER = 50, 31, (1, 5, 11, 24, 25, 27)
 SAMPLE = DEPTH - PERIOD + 1
 #: Text bytes in a block and dealt at once, buckets for each shuffle partition, bits of a sample's key.
-BLOCK, DEAL, BUCKETS, SAMPLE_BITS = 16 << 20, 48 << 20, 1, 36
+BLOCK, DEAL, BUCKETS, SAMPLE_BITS = 16 << 20, 48 << 20, 2, 36
 
 ORACLE_SQL = """
 WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -359,6 +359,7 @@ def _mark_suffixes(batches):
         n = np.concatenate([x[3][0] for x in held]).astype(np.int64)
         held = [x[:3] for x in held]
         at = np.arange(n.sum()) + np.repeat(np.arange(len(n)) * (DEPTH - 1), n)
+        del n
         order, new = sorted_suffixes(flat, at)
         hit = np.zeros(len(at), bool)  # places run with the blocks, so the least place of a suffix is in its earliest block
         hit[order] = order > np.minimum.reduceat(order, np.flatnonzero(new))[np.cumsum(new) - 1]

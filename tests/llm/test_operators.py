@@ -678,6 +678,14 @@ def test_near_vectors_in_many_groups(spark, monkeypatch):
     assert rows(got, "vec_id", "n_links", "component_id") == sorted(((i, int(link[k].sum()), int(label[k])) for k, (i, _) in enumerate(data)), key=repr)
 
 
+def test_cells_are_packed_into_groups():
+    for counts in ([0, 3, 5, 0], [10, 0, 2], [0, 0], [4, 4, 4, 30, 1], []):
+        first, parts, members = neardup_vectors.grouped_cells(np.array(counts, np.int64), 8)
+        for k, n in enumerate(counts):
+            assert [g for g, own in enumerate(members) if k in own] == list(range(first[k], first[k] + parts[k])) and parts[k] >= n / 8
+        assert all(sum(counts[k] for k in own) <= 8 or len(own) == 1 for own in members)
+
+
 def test_near_vectors_with_repeated_ids(spark):
     a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.01]
     data = [(0, a), (1, a), (1, b), (5, c), (9, [0.0, 0.0, 1.0]), (9, [0.0, 0.0, -1.0]), (9, [0.0, 0.0, -1.0])]
